@@ -212,7 +212,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
             out += c.encode(part) if part else []
             yield _added(batch, ids_col, pa.array(out, pa.binary()))
 
-    return df.mapInArrow(run, _schema(df, ids_col))
+    return map_arrow(df, run, _schema(df, ids_col))
 
 
 def decode(df: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -223,7 +223,7 @@ def decode(df: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids", b
         for batch in batches:
             yield _added(batch, bytes_col, pa.array([c.decode(x.as_py() or b"") for x in batch.column(ids_col)], pa.binary()))
 
-    return df.mapInArrow(run, _schema(df, bytes_col))
+    return map_arrow(df, run, _schema(df, bytes_col))
 
 
 def digests(documents: DataFrame, vocab_path: str, pattern: str) -> DataFrame:

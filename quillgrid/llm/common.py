@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_path, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, through Spark's reader so that any file system works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["map_arrow", "remainder", "shared_path", "table", "written"]
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (single-machine tests) a temporary folder
-    of this machine takes its place, set once for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, through Spark's reader so that any file system works."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here, and a lost
-    executor costs a reread instead of a recomputation."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of few rows: texts may be long, and a batch is
+    held by the JVM and by Python at once.  A session's own setting stands."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, "500")
+    return df.mapInArrow(run, schema)
 
 
 def remainder(id_col: Column, n: int) -> Column:

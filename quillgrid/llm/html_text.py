@@ -354,4 +354,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([page_text(x.as_py()) for x in part.column(html_col)], pa.string())], names=[*names, text_col])
 
     kinds = "".join(f"`{n}` {pages.schema[n].dataType.simpleString()}, " for n in names)
-    return pages.mapInArrow(run, f"{kinds}`{text_col}` string")
+    return map_arrow(pages, run, f"{kinds}`{text_col}` string")

@@ -185,7 +185,7 @@ def store(documents: DataFrame) -> DataFrame:
                 raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([wrap(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 TRACKS = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))]))
@@ -208,7 +208,7 @@ def media_tracks(df: DataFrame, media_col: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, TRACKS)], names=[*names, "tracks"])
 
     kinds = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
-    return df.mapInArrow(run, kinds + "tracks array<struct<handler:string,codec:string,timescale:long,duration:long,keyframes:array<struct<offset:long,length:long>>>>")
+    return map_arrow(df, run, kinds + "tracks array<struct<handler:string,codec:string,timescale:long,duration:long,keyframes:array<struct<offset:long,length:long>>>>")
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -226,4 +226,4 @@ def digests(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return store(documents).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(store(documents), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -135,7 +135,7 @@ def train(labelled: DataFrame, train_rows: int = 5_000, dim: int = DIM) -> tuple
             names=["lang", "j", "v"],
         )
 
-    total = sample.mapInArrow(run, "lang string, j int, v double").groupBy("lang", "j").agg(F.sum("v").alias("v"))
+    total = map_arrow(sample, run, "lang string, j int, v double").groupBy("lang", "j").agg(F.sum("v").alias("v"))
     rows_ = total.collect()
     langs = sorted({r["lang"] for r in rows_})
     place, m = {x: i for i, x in enumerate(langs)}, np.zeros((len(langs), dim))
@@ -173,7 +173,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
             yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "lang_pred string", "score double"]))
+    return map_arrow(df, run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "lang_pred string", "score double"]))
 
 
 def identify(documents: DataFrame, train_rows: int = 5_000) -> DataFrame:

@@ -139,4 +139,4 @@ def groups_as_json(groups: DataFrame) -> DataFrame:
 
 def json_rows(files: DataFrame) -> DataFrame:
     """Rows of (src, json); what is no array gives none."""
-    return files.select("src", F.posexplode(F.from_json("json", GROUP_SCHEMA)).alias("i", "g")).select("src", "i", "g.*")
+    return files.select("src", F.posexplode(F.when(F.col("json").rlike(r"^\s*\["), F.from_json("json", GROUP_SCHEMA))).alias("i", "g")).select("src", "i", "g.*")

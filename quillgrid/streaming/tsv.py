@@ -15,8 +15,8 @@ from ..operators import ocr
 
 def tsv_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """(src, content) of new files under a path."""
-    reader = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("src"), F.col("value").alias("content"))
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return reader.option("maxFilesPerTrigger", files_per_batch).load(path).select(F.col("path").alias("src"), F.decode("content", "UTF-8").alias("content"))
 
 
 def group_stream(files: DataFrame, out: str, checkpoint: str, scale: float = 1.0) -> StreamingQuery:
