@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Encoded pieces that a task keeps at most, and characters handled in one go.

@@ -25,6 +25,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 DEEP = 200
 # Fixed values of the HTML standard: names of elements by role.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from .common import map_arrow, remainder
 
 UNKNOWN = "und"
 DIM = 1024
@@ -179,7 +179,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
 def identify(documents: DataFrame, train_rows: int = 5_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from the
     documents whose crc32(id) mod 4 is not 2."""
-    held = common.remainder(F.col("doc_id"), 4) == 2
+    held = remainder(F.col("doc_id"), 4) == 2
     model = train(documents.where(~held).select("doc_id", "text", "lang"), train_rows)
     out = predict(documents.select("doc_id", "text"), model)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

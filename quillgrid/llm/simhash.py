@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .graph import components
+from ..operators.graph import components
 
 BLOCK = 23
 MASK = (1 << BLOCK) - 1
