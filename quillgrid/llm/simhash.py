@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_arrow, written
 from ..operators.graph import components
 
 BLOCK = 23
@@ -177,6 +177,9 @@ def near_groups(documents: DataFrame, words: int = 3) -> DataFrame:
 TABLES = 10
 SAMPLE = 3
 NEIGHBOURS = 4
+#: Members of a block, and shingles of a step, in whole comparisons of a bucket.
+BLOCK_ROWS = 256
+BLOCK_COLUMNS = 8192
 
 
 @lru_cache(maxsize=1)
@@ -223,28 +226,102 @@ def _sketches(documents: DataFrame, words: int) -> DataFrame:
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, keys array<struct<place:int,key:long,tail:long>>, shingles array<int>")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, node long, keys array<struct<place:int,key:long,tail:long>>, shingles array<int>")
+
+
+def _linked_roots(similarity: float):
+    """For applyInPandas on one block pair of a bucket: the links (u, v) that join
+    the components (``root``) of its members, at most one per component."""
+
+    def run(rows):
+        import pandas as pd
+
+        sets, root = rows["shingles"].tolist(), rows["root"].to_numpy()
+        sizes = np.array([len(x) for x in sets], np.int64)
+        member = np.repeat(np.arange(len(sets)), sizes)
+        values, column, seen = np.unique(np.concatenate([*sets, np.zeros(0, np.int32)]), return_inverse=True, return_counts=True)
+        shared = seen[column] > 1  # a shingle of one member alone is common to none
+        member, column = member[shared], column[shared]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, values.size, BLOCK_COLUMNS):
+            part = (column >= lo) & (column < lo + BLOCK_COLUMNS)
+            if part.any():
+                has = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
+                has[member[part], column[part] - lo] = 1
+                common += has @ has.T
+        alike = (common > 0) & (common >= similarity * (sizes[:, None] + sizes - common) - 1e-6)
+        # least root over all links and over equal roots, until nothing changes
+        near = alike | (root[:, None] == root)
+        label = root.copy()
+        while True:
+            lower = np.where(near, label, np.iinfo(np.int64).max).min(1)
+            if (lower == label).all():
+                break
+            label = lower
+        moved = label != root
+        return pd.DataFrame({"u": root[moved], "v": label[moved]}).drop_duplicates()
+
+    return run
+
+
+def _links_of_the_rest(at: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between components that still share a bucket: there, every pair of
+    members that can reach ``similarity`` by size is compared.
+
+    Only buckets with members of several components count.  A member goes to the
+    band of its size and to the next lower one, so that sizes which allow the
+    similarity meet; a band's members are dealt to blocks of about ``BLOCK_ROWS``,
+    and each pair of blocks is one group.  No pairs are made as rows.
+    """
+    several = F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
+    rooted = at.select("place", "key", "node").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # up to so many members, the neighbours have been all
+    still = rooted.groupBy("place", "key").agg(*several).where(f"low < high AND n > {NEIGHBOURS + 1}").select("place", "key")
+    sized = rooted.join(still, ["place", "key"]).join(sets.select("node", F.size("shingles").alias("size")), "node")
+    band = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + F.lit(1e-9)).cast("int")
+    banded = written(sized.where("size > 0").withColumn("band", F.explode(F.array(band, band - 1))).select("place", "key", "band", "node", "root"), "bands")
+    # the same members under several keys are compared once
+    groups = banded.groupBy("place", "key", "band").agg(*several, F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")).where("low < high")
+    once = groups.groupBy("same", "n").agg(F.min(F.struct("place", "key", "band")).alias("k")).select("k.*", "n")
+    dealt = banded.join(once, ["place", "key", "band"]).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("place", "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+    return dealt.join(sets, "node").groupBy("place", "key", "band", "i", "j").applyInPandas(_linked_roots(similarity), "u long, v long").distinct()
 
 
 def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, keeper) of every document with an id: keeper is the smallest id
-    of its group of near-duplicates by shingle-set similarity."""
+    of its group of near-duplicates by shingle-set similarity.
+
+    Documents that share a fingerprint share a bucket.  First each is compared
+    with the least one and a few neighbours of its bucket, which joins almost all
+    that belong together; then buckets which still hold several components are
+    compared whole (``_links_of_the_rest``), so no pair of a bucket is left out.
+    """
     sketch = written(_sketches(documents, words), "sketches")
-    at = sketch.select("node", F.explode("keys").alias("k")).select("node", "k.place", "k.key", "k.tail").distinct()
-    # in a bucket: the least node, and the next few in the order of the next least hash
-    bucket = "PARTITION BY place, key ORDER BY tail, node"
-    near = at.selectExpr("node", "min(node) OVER (PARTITION BY place, key) AS least", *(f"lead(node, {i}) OVER ({bucket}) AS n{i}" for i in range(1, NEIGHBOURS + 1)))
+    at = written(sketch.select("node", F.explode("keys").alias("k")).select("node", "k.place", "k.key", "k.tail").distinct(), "buckets")
+    sizes = at.groupBy("place", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # neighbours in the order of the next least hash; large buckets are salted
+    at = written(at.join(sizes, ["place", "key"]).withColumn("salt", F.expr(f"pmod(xxhash64(node), ceil(n / {BLOCK_ROWS}))")), "shared-buckets")
+    bucket = "PARTITION BY place, key, salt ORDER BY tail, node"
+    near = at.selectExpr("node", "least", *(f"lead(node, {i}) OVER ({bucket}) AS n{i}" for i in range(1, NEIGHBOURS + 1)))
     pairs = near.select(F.col("node").alias("a"), F.explode(F.array("least", *(f"n{i}" for i in range(1, NEIGHBOURS + 1)))).alias("b")).where("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
-    in_pairs = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = sketch.select("doc_id", "node", "shingles").join(in_pairs, "node", "left_semi")
-    sets = written(sets.groupBy("node").agg(F.min_by("shingles", "doc_id").alias("shingles")), "shingle-sets")
+    in_buckets = at.select("node").distinct()
+    # copies are merged before the join, so that none of them is a hot key
+    sets = sketch.groupBy("node").agg(F.min_by("shingles", "doc_id").alias("shingles")).join(in_buckets, "node", "left_semi")
+    sets = written(sets.where("shingles IS NOT NULL"), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))
-    alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)
-    roots = components(both.where(alike).select("u", "v"))
+    alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)
+    roots = written(components(both.where(alike).select("u", "v")), "roots")
+    rest = written(_links_of_the_rest(at, roots, sets, similarity), "rest")
     ids = sketch.select("doc_id", "node").where("doc_id IS NOT NULL")
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if not rest.isEmpty():
+        joined = components(rest).select(F.col("v").alias("root"), F.col("root").alias("top"))
+        nodes = nodes.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     least = nodes.groupBy("root").agg(F.min("least").alias("keeper"))
     return ids.join(nodes.select("node", "root").join(least, "root").select("node", "keeper"), "node").select("doc_id", "keeper").distinct()
 

@@ -200,6 +200,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {i for i in sets if find(i) == i}
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """One bucket of families whose members resemble only some of their own, in many blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    rng = random.Random(5)
+    sets = []
+    for family in range(12):
+        at = rng.randrange(1000)
+        for _ in range(12):  # a chain: each is like its neighbours, not like all
+            size = rng.randrange(30, 60)
+            sets.append({family * 10_000 + x for x in range(at, at + size)})
+            at += rng.randrange(1, 9)
+    sets += [{rng.randrange(2**31) for _ in range(rng.randrange(1, 50))} for _ in range(30)]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 40 < len(set(root)) < len(root) - 20
+    at = spark.createDataFrame([(0, 7, n, 0) for n in range(len(sets))], "place int, key long, node long, tail long")
+    known = spark.createDataFrame([(1, 0)] if root[1] == 0 else [], "v long, root long")
+    table_of_sets = spark.createDataFrame([(n, sorted(x)) for n, x in enumerate(sets)], "node long, shingles array<int>")
+    found = {n: n for n in range(len(sets))} | {r.v: r.root for r in known.collect()}
+    joined = {r.v: r.root for r in simhash.components(simhash._links_of_the_rest(at, known, table_of_sets, 0.8)).collect()}
+    assert [joined.get(found[n], found[n]) for n in range(len(sets))] == root
+
+
 def test_bpe_against_tiktoken(spark):
     import base64
 
