@@ -201,8 +201,8 @@ def word_counts(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for text, held in zip(batch.column("text"), batch.column("held")):
                 if held.as_py():
-                    for w in set(words(text.as_py())) - counts.keys():
-                        counts[w] = 0
+                    for w in words(text.as_py()):
+                        counts.setdefault(w, 0)
                 else:
                     counts.update(words(text.as_py()))
                 if len(counts) > HELD_WORDS:
