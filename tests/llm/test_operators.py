@@ -104,6 +104,61 @@ def test_anchors_are_closed_syncmers():
     assert whole and whole <= set(alone)
 
 
+def syncmers_by_brute_force(text):
+    """(hash, position) of each closed syncmer, k-mer by k-mer."""
+    low64, p1, p2, p3 = 2**64 - 1, int(syncmers.P1), int(syncmers.P2), int(syncmers.P3)
+
+    def mix(h):
+        h = (h ^ h >> 29) * p2 & low64
+        return h ^ h >> 32
+
+    def of(part):
+        h = 0
+        for c in part:
+            h = h * p3 + (ord(c) + 1) * p1 & low64
+        return h
+
+    out = []
+    for i in range(len(text) - syncmers.K + 1):
+        h = [of(text[j : j + syncmers.S]) for j in range(i, i + syncmers.SPAN)]
+        if min(map(mix, h)) in (mix(h[0]), mix(h[-1])):
+            out.append((mix(h[0] * p1 + h[-1] & low64), i))
+    return out
+
+
+def likeness_by_brute_force(a, b):
+    def ranked(found):
+        seen = Counter()
+        return [((h, seen.update([h]) or seen[h]), p) for h, p in found]
+
+    a, b = ranked(a), dict(ranked(b))
+    both = [b[x] for x, _ in a if x in b]
+    best = []
+    for i, p in enumerate(both):
+        best.append(1 + max((best[j] for j in range(i) if both[j] < p), default=0))
+    return max(best, default=0) / (len(a) + len(b) - len(both))
+
+
+def test_fingerprints_hold_every_anchor(spark):
+    """Long texts that share a short passage, and one with a repeated passage."""
+    rng = random.Random(11)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    shared = prose(50)
+    texts = [f"{prose(1500)} {shared} {prose(300)}", f"{prose(200)} {shared} {prose(1700)}", f"{shared} {prose(90)} {shared} {shared}", f"{shared} {prose(90)}"]
+    brute = [syncmers_by_brute_force(t) for t in texts]
+    got = sorted(syncmers.fingerprints(frame(spark, list(enumerate(texts)))).collect())
+    for k, r in enumerate(got):
+        assert r.fingerprint and [tuple(int(y, 16) for y in x.split("@")) for x in r.fingerprint.split(",")] == brute[k]
+        assert r.near_next == likeness_by_brute_force(brute[k], brute[(k + 1) % len(texts)])
+        cut = len(texts[k]) // 4
+        edited = syncmers_by_brute_force(texts[k][: len(texts[k]) - cut] + texts[(k + 1) % len(texts)][:cut])
+        assert r.near_edited == likeness_by_brute_force(brute[k], edited)
+        assert r.near_next > 0
+
+
 def test_media_round_trip(spark):
     got = {r.doc_id: r for r in isomedia.digests(frame(spark, [x for x in ODD if x[0] != 6])).where("doc_id IS NOT NULL").collect()}
     for i, text in ODD:
