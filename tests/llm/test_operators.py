@@ -443,6 +443,15 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, junk, SMALL).collect()} == {3}
 
 
+def test_language_stage_keeps_short_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    short = docs.where("size(split(trim(text), '\\\\s+')) <= 2 AND text RLIKE '\\\\p{L}'")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SMALL).select("doc_id").collect()}
+    want = {r.doc_id: r.text for r in short.collect()}
+    assert {"Avec.", "A."} <= set(want.values())
+    assert not {i: t for i, t in want.items() if i not in kept}
+
+
 def test_no_machine_local_paths():
     import inspect
 
