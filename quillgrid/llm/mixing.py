@@ -110,12 +110,22 @@ def mixed(documents: DataFrame, weights: dict[str, int], other_weight: int = 1,
     return placed.withColumn("p", phase).select("doc_id", "source", "n_chars", "block", slot.alias("slot"), "start_char")
 
 
+def places(documents: DataFrame, weights: dict[str, int], other_weight: int = 1, block_chars: int = 65_536) -> DataFrame:
+    """(__id, slot, start_char): of each id, the first place in the mixture."""
+    at = mixed(documents, weights, other_weight, block_chars).groupBy("doc_id").agg(F.min(F.struct("slot", "start_char")).alias("at"))
+    return at.select(F.col("doc_id").alias("__id"), "at.slot", "at.start_char")
+
+
+def with_places(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """``rows`` with the place of their doc_id, as many as before."""
+    return rows.join(at, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+
+
 def in_mixed_order(documents: DataFrame, weights: dict[str, int], other_weight: int = 1, block_chars: int = 65_536) -> DataFrame:
     """``documents``, range-partitioned and sorted by the mixture's order: files
     written from it hold the mixture from the first to the last row."""
-    at = mixed(documents, weights, other_weight, block_chars).groupBy("doc_id").agg(F.min(F.struct("slot", "start_char")).alias("at"))
-    at = at.select(F.col("doc_id").alias("__id"), F.col("at.slot").alias("__slot"), F.col("at.start_char").alias("__start"))
-    known = documents.join(at, F.col("doc_id").eqNullSafe(F.col("__id")))
+    at = places(documents, weights, other_weight, block_chars)
+    known = with_places(documents, at.withColumnsRenamed({"slot": "__slot", "start_char": "__start"}))
     order = ["__slot", "__start", "doc_id"]
     return known.repartitionByRange(*order).sortWithinPartitions(*order).select(*documents.columns)
 

@@ -452,6 +452,24 @@ def test_language_stage_keeps_short_texts(spark):
     assert not {i: t for i, t in want.items() if i not in kept}
 
 
+def test_pipeline_output_is_the_mixture(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randrange(0, 60), rng.choice(["a", "a", "b", None, "zz"])) for i in range(3000)]
+    for name, value in (("WEIGHTS", {"a": 5, "b": 2}), ("OTHER_WEIGHT", 3), ("BLOCK_CHARS", 100)):
+        monkeypatch.setattr(corpus_pipeline, name, value)
+    got = corpus_pipeline.tokenise(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), SMALL).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _, _ in rows]
+    assert [(r.slot, r.start_char, r.doc_id) for r in got] == sorted((r.slot, r.start_char, r.doc_id) for r in got)
+    source = {i: s if s in ("a", "b") else mixing.OTHER for i, _, s in rows}
+    weights = {"a": 5, "b": 2, mixing.OTHER: 3}
+    owner = {r.slot: source[r.doc_id] for r in got}
+    ends = min(max(s for s, o in owner.items() if o == w) for w in weights)
+    done = Counter()
+    for slot in range(ends):
+        done[owner.get(slot)] += 1
+        assert all(abs(done[w] - (slot + 1) * weights[w] / 10) < 1 for w in weights)
+
+
 def test_no_machine_local_paths():
     import inspect
 
