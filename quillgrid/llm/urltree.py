@@ -4,7 +4,10 @@ Method of the tree, in DataFrame functions throughout: a path's segments are
 first generalised by form (runs of digits become ``#``; long segments become
 ``*``), then by the tree: below one (host, template so far), where a node has at
 least ``BRANCHES`` children, a child that holds less than 1/BRANCHES of the
-node's URLs is variable and becomes ``*``.  Sibling templates whose share of bad
+node's URLs is variable and becomes ``*``.  The tree is made level by level: what
+stands below all variable values of a node is pooled before the next level is
+judged.  Levels go on to the deepest segment; a node of fewer than ``BRANCHES``
+forms is left out of further ones, as nothing below it can branch.  Sibling templates whose share of bad
 labels is statistically the same as that of all siblings together (``Z``
 standard errors) are merged.  A template is rejected if its purity, the share of
 bad labels smoothed by ``PRIOR`` labels at the corpus's rate, reaches ``REJECT``.
@@ -57,15 +60,32 @@ def rule_of(rules: list[Rule]):
 
 def templates(forms: DataFrame) -> DataFrame:
     """(host, form, template) from (host, form, n): forms generalised by the tree."""
-    parts = forms.select("host", "form", "n", F.posexplode(F.split("form", "/")).alias("depth", "seg"), F.split("form", "/").alias("segs"))
-    parts = parts.withColumn("above", F.array_join(F.slice("segs", 1, F.col("depth")), "/")).drop("segs")
-    child = parts.groupBy("host", "depth", "above", "seg").agg(F.sum("n").alias("n"))
-    node = child.groupBy("host", "depth", "above").agg(F.count("*").alias("kids"), F.sum("n").alias("total"))
-    variable = child.join(node, ["host", "depth", "above"]).where((F.col("kids") >= BRANCHES) & (F.col("n") * BRANCHES < F.col("total"))).select("host", "depth", "above", "seg", F.lit("*").alias("wild"))
-    named = parts.join(variable, ["host", "depth", "above", "seg"], "left").withColumn("seg", F.coalesce("wild", "seg"))
-    # the segments of one path: as many as it has slashes
-    ordered = F.array_sort(F.collect_list(F.struct("depth", "seg")))
-    return named.groupBy("host", "form").agg(F.array_join(F.transform(ordered, lambda x: x["seg"]), "/").alias("template"))
+    from .common import written
+
+    # a form's template up to a level, what is left of its segments, and whether its node can still branch
+    now = forms.select("host", "form", "n", F.lit("").alias("above"), F.split("form", "/").alias("left"))
+    done, level = [], 0
+    while True:
+        own = ["host", "above"]
+        room = now.groupBy(*own).agg(F.count("*").alias("forms"))
+        child = now.groupBy(*own, F.col("left")[0].alias("seg")).agg(F.sum("n").alias("seg_n"))
+        node = child.groupBy(*own).agg(F.count("*").alias("kids"), F.sum("seg_n").alias("total"))
+        wild = child.join(node, own).where((F.col("kids") >= BRANCHES) & (F.col("seg_n") * BRANCHES < F.col("total"))).select(*own, "seg", F.lit("*").alias("wild"))
+        named = now.withColumn("seg", F.col("left")[0]).join(room, own).join(wild, [*own, "seg"], "left")
+        step = F.coalesce("wild", "seg")
+        above = step if not level else F.concat_ws("/", "above", step)
+        rest = F.slice("left", 2, F.greatest(F.size("left") - 1, F.lit(0)))
+        now = named.select("host", "form", "n", above.alias("above"), rest.alias("left"), ((F.size("left") > 1) & (F.col("forms") >= BRANCHES)).alias("goes_on"))
+        now = written(now, "level")
+        ended = now.where("NOT goes_on")
+        done.append(ended.select("host", "form", F.when(F.size("left") > 0, F.concat_ws("/", "above", F.array_join("left", "/"))).otherwise(F.col("above")).alias("template")))
+        now, level = now.where("goes_on").drop("goes_on"), level + 1
+        if now.isEmpty():
+            break
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def judged_templates(urls: DataFrame) -> DataFrame:

@@ -406,6 +406,18 @@ def test_url_rules_and_templates(spark):
     assert urltree.judge(empty, registry.RULES, ["page_id"]).count() == 0
 
 
+def test_url_templates_pool_below_wildcards(spark):
+    """Two variable word segments; no first value has many second ones."""
+    def word(k):
+        return "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+
+    forms = [("h", f"/shop/{word(c)}/{word(100 + 3 * c + i)}/view", 1) for c in range(20) for i in range(3)] + [("h", "/about", 1), ("g", "/a/b", 1), ("g", "", 1)]
+    got = {(r.host, r.form): r.template for r in urltree.templates(spark.createDataFrame(forms, "host string, form string, n long")).collect()}
+    assert len(got) == len(forms)
+    assert {t for (h, f), t in got.items() if f.startswith("/shop")} == {"/shop/*/*/view"}
+    assert (got["h", "/about"], got["g", "/a/b"], got["g", ""]) == ("/about", "/a/b", "")
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a.b/c", "x"), (2, "http://a.b/d e", "x"), (3, None, None), (4, "http://q.r", ""), (5, "http://a.b/c", "x"), (5, "http://a.b/c", "x"), (None, "u", "y"), (6, "http://l.m", LONG), (7, "http://ü.de/\n", "ü")]
     capture = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
