@@ -6,7 +6,7 @@ renderer.  All visible text comes out: blocks start on lines of their own,
 paragraph-like blocks are set off by a blank line, lists have bullets or numbers
 and indents, table cells are padded to the width of their column.  Invisible are
 head, script, style, template and similar elements, hidden attributes, closed
-dialogs, and what inline styles or the page's own simple style rules (a tag,
+dialogs, definitions and descriptions of svg and math, and what inline styles or the page's own simple style rules (a tag,
 class or id) set to display:none or visibility:hidden.
 
 Map-only: pages are rendered one by one in the task that reads them.
@@ -31,7 +31,12 @@ DEEP = 200
 # Fixed values of the HTML standard: names of elements by role.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template title noembed noframes iframe datalist object audio video canvas svg math".split())
+UNSEEN = set("head script style template title noembed noframes iframe datalist object audio video canvas".split())
+# Hidden inside svg or math only; elements in which HTML goes on; HTML elements that end svg and math.
+FOREIGN_UNSEEN = set("desc defs metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+INTEGRATION = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+BUTTONS = {"submit", "button", "reset"}
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
 BLOCK = SPACED | set("html body div section article aside header footer nav main address form li dt dd tr caption figcaption details summary legend center option optgroup search hgroup dialog thead tbody tfoot".split())
 CLOSES_P = BLOCK - set("html body tr caption thead tbody tfoot option optgroup".split())
@@ -68,7 +73,7 @@ class Node:
 def tree(page: str) -> tuple[Node, set[str]]:
     """The document's root, and the selectors that its style rules hide."""
     root = Node("html", {})
-    stack, hidden, at, has_body = [root], set(), 0, False
+    stack, hidden, at, has_body, has_foreign = [root], set(), 0, False, False
 
     def top() -> Node:
         return stack[-1]
@@ -91,6 +96,15 @@ def tree(page: str) -> tuple[Node, set[str]]:
             stack.append(node)
         return node
 
+    def foreign() -> int:
+        """The place of the open svg or math whose rules hold here, or 0."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in ("svg", "math"):
+                return i
+            if stack[i].tag in INTEGRATION:
+                return 0
+        return 0
+
     def body() -> None:
         nonlocal has_body
         if not has_body:
@@ -136,6 +150,9 @@ def tree(page: str) -> tuple[Node, set[str]]:
         if m[3] and m[3].strip(" /"):
             for a in ATTRIBUTE.finditer(m[3]):
                 attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
+        has_foreign = has_foreign or tag in ("svg", "math")
+        if has_foreign and tag in BREAKOUT and (i := foreign()):
+            del stack[i:]
         if tag == "html":
             root.attrs = {**attrs, **root.attrs}
             continue
@@ -158,7 +175,14 @@ def tree(page: str) -> tuple[Node, set[str]]:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and top().tag in ("table", "thead", "tbody", "tfoot"):
             start("tr", {})
+        inside = has_foreign and (foreign() or tag in ("svg", "math"))
+        if inside and tag in FOREIGN_UNSEEN:
+            attrs["hidden"] = ""
         node = start(tag, attrs)
+        if inside and re.search(r"/\s*\Z", m[3]) and not re.search(r"=[^\s\"']*/\Z", m[3]):
+            if top() is node:
+                stack.pop()
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inner = page[at : end.start()] if end else page[at:]
@@ -176,7 +200,7 @@ def tree(page: str) -> tuple[Node, set[str]]:
 
 def visible(node: Node, hidden: set[str]) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input":
+    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() not in BUTTONS:
         return False
     if "style" in a and GONE.search(a["style"]):
         return False
@@ -323,13 +347,16 @@ def _render(node, page: Page, hidden: set[str], pre: bool, depth: int) -> None:
     if tag == "img":
         page.put(node.attrs.get("alt", ""), pre)
         return
+    if tag == "input":
+        page.put(node.attrs.get("value", ""), pre)
+        return
     if tag == "hr":
         page.space()
         return
     block = tag in BLOCK
     if block:
         page.space() if tag in SPACED else page.flush()
-    if tag in ("td", "th"):  # outside of a table
+    if tag in ("td", "th", "text"):  # outside of a table; labels of an svg
         page.put(" ", pre)
     for kid in node.kids:
         _render(kid, page, hidden, pre or tag in ("pre", "textarea"), depth)

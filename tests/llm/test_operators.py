@@ -381,6 +381,21 @@ def test_html(page, want):
     assert html_text.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("a <svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>x1</text><text>x2</text></svg> b", "a x1 x2 b"),
+        ("<svg><defs/><desc>no</desc><text>yes</text></svg>", "yes"),
+        ("<svg><defs><p>out</p>", "out"),
+        ("<math><semantics><mi>a</mi><mo>+</mo><mi>b</mi><annotation>no</annotation></semantics></math> c", "a+b c"),
+        ("<form><input type=submit value=Send> <input type=text value=no> <input type='button' value='Go &amp; see'></form>", "Send Go & see"),
+        ("<defs>plain</defs>", "plain"),
+    ],
+)
+def test_html_shows_svg_math_and_buttons(page, want):
+    assert html_text.page_text(page) == want
+
+
 def test_html_tables_align_and_keep_all_text(spark):
     text = html_text.page_text("<table><tr><td>aa<td>b</tr><tr><td>c<td>dd</table>")
     first, second = text.split("\n")
