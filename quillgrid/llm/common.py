@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_path, written
 
-__all__ = ["map_arrow", "remainder", "shared_path", "table", "written"]
+__all__ = ["hot_join", "map_arrow", "pieces", "remainder", "shared_path", "table", "written"]
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of what a task works on at a time; one longer row stands alone.
+PIECE_ROWS = 512
+PIECE_BYTES = 4 << 20
+#: A key with more rows than this is hot; its join is dealt out in parts of this size.
+HOT_ROWS = 100_000
+#: Hot keys that may be broadcast (a few dozen bytes each).
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +26,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` in batches of few rows: texts may be long, and a batch is
-    held by the JVM and by Python at once.  A session's own setting stands."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS) == "10000":
-        conf.set(BATCH_ROWS, "500")
-    return df.mapInArrow(run, schema)
+def pieces(batches, rows: int = PIECE_ROWS):
+    """The rows of the batches in slices of at most so many rows and, but for
+    single longer rows, about ``PIECE_BYTES``."""
+    for batch in batches:
+        at = 0
+        step = max(1, min(rows, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        while at < batch.num_rows:
+            part = batch.slice(at, step)
+            while part.num_rows > 1 and part.nbytes > 2 * PIECE_BYTES:  # long rows in a row
+                part = part.slice(0, part.num_rows // 2)
+            at += part.num_rows
+            yield part
+
+
+def map_arrow(df: DataFrame, run, schema, rows: int = PIECE_ROWS) -> DataFrame:
+    """``df.mapInArrow`` over ``pieces`` of Spark's batches, which Spark itself
+    bounds by rows and bytes.  Python's and Arrow's free memory goes back to the
+    system when a task ends, as workers live on for other stages."""
+
+    def bounded(batches):
+        yield from run(pieces(batches, rows))
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` on ``key``, without a hot key in one task.
+
+    keyed: one row per key, with ``copies``, how many rows carry it (not
+    returned).  Keys with more than ``HOT_ROWS`` of them, of which there are at
+    most rows / ``HOT_ROWS``, are dealt out in as many parts by the hash of
+    ``spread``, a column of ``rows``; their row in ``keyed`` goes to each part.
+    """
+    parts = F.ceil(F.col("copies") / HOT_ROWS)
+    hot = written(keyed.where(F.col("copies") > HOT_ROWS).select(F.col(key).alias("__key"), parts.alias("__parts")), "hot-keys")
+    n = hot.limit(MAX_BROADCAST_KEYS + 1).count()
+    if not n:
+        return rows.join(keyed.drop("copies"), key)
+    dealt = rows.join(F.broadcast(hot) if n <= MAX_BROADCAST_KEYS else hot, F.col(key) == F.col("__key"), "left")
+    dealt = dealt.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(spread), "__parts"), F.lit(0))).drop("__key", "__parts")
+    each = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("copies")
+    return dealt.join(each, [key, "__part"]).drop("__part")
 
 
 def remainder(id_col: Column, n: int) -> Column:
