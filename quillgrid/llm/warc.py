@@ -35,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import hot_join, map_arrow, shared_path, written
 
 BLOCK = 1000
+#: Sorted keys looked up with one reading of the directory.
+LOOKUP_KEYS = 10_000
 #: An archive is closed when it has grown to so many bytes.
 ROLL = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -97,7 +99,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     headers = {}
     for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:]:
         name, _, value = line.partition(":")
-        headers[name.lower()] = value.strip()
+        headers[name.lower()] = value.strip(" \t")  # other white space may belong to a URL
     body = rest[: int(headers["content-length"])]
     return headers, body.partition(b"\r\n\r\n")[2]
 
@@ -203,15 +205,15 @@ def write(pages: DataFrame, least_bytes: int = 0) -> Capture:
     # roles by digest, without the payloads: a hot digest moves a few bytes a row
     slim = rows.where(F.col("n") >= least_bytes).select("page_id", "url", "sha")
     winners = slim.where("page_id IS NOT NULL").groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count("*").alias("copies"))
-    shared = winners.where("copies > 1").select("sha", "w.*").selectExpr("sha", "page_id AS winner", "url AS winner_url")
-    roles = slim.join(shared, "sha").where("NOT page_id <=> winner").select("page_id", "sha", "winner", "winner_url").distinct()
+    shared = written(winners.where("copies > 1").selectExpr("sha", "w.page_id AS winner", "w.url AS winner_url", "copies"), "shared-payloads")
+    roles = hot_join(slim, shared, "sha", F.col("page_id")).where("NOT page_id <=> winner").select("page_id", "sha", "winner", "winner_url").distinct()
     roles = roles.select(F.col("page_id").alias("its_id"), F.col("sha").alias("its_sha"), "winner", "winner_url")
     same = (F.col("sha") == F.col("its_sha")) & F.col("page_id").eqNullSafe(F.col("its_id"))
     told = rows.join(roles, same, "left").withColumn("html", F.when(F.col("winner").isNull(), F.col("html")))
-    lines = told.select("page_id", "url", "html", _base32(F.col("sha")).alias("digest"), "winner", "winner_url").mapInArrow(_writer(at.archives), "key string, file string, offset long, length long")
+    lines = map_arrow(told.select("page_id", "url", "html", _base32(F.col("sha")).alias("digest"), "winner", "winner_url"), _writer(at.archives), "key string, file string, offset long, length long")
     lines.write.parquet(at.lines)
     sorted_lines = spark.read.parquet(at.lines).repartitionByRange("key").sortWithinPartitions("key", "file", "offset")
-    sorted_lines.mapInArrow(_indexer(at.blocks), "first_key string, last_key string, file string, offset long, length long").write.parquet(at.directory)
+    map_arrow(sorted_lines, _indexer(at.blocks), "first_key string, last_key string, file string, offset long, length long").write.parquet(at.directory)
     return at
 
 
@@ -245,8 +247,20 @@ def lookup(at: Capture, wanted: DataFrame) -> DataFrame:
             return open_files[path].read_at(length, offset)
 
         held, lines, keys = None, [], []
-        for b in batches:
-            want = sorted(set(b.column("key").to_pylist()) - {None})
+
+        def steps():
+            """Keys of many small batches together, so that the directory is read
+            for them once."""
+            own: list = []
+            for b in batches:
+                own += b.column("key").to_pylist()
+                if len(own) >= LOOKUP_KEYS:
+                    yield own
+                    own = []
+            yield own
+
+        for wanted_keys in steps():
+            want = sorted(set(wanted_keys) - {None})
             if not want:
                 continue
             span = (pc.field("last_key") >= want[0]) & (pc.field("first_key") <= want[-1])
@@ -274,7 +288,7 @@ def lookup(at: Capture, wanted: DataFrame) -> DataFrame:
             f.close()
 
     sorted_keys = wanted.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return sorted_keys.mapInArrow(run, "key string, page_id long, payload_bytes long, payload_digest string")
+    return map_arrow(sorted_keys, run, "key string, page_id long, payload_bytes long, payload_digest string")
 
 
 def records(at: Capture) -> DataFrame:
@@ -311,16 +325,20 @@ def records(at: Capture) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 10_000]), kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_key"])
 
     files = at.files().repartition("file")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_key string")
+    return map_arrow(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_key string")
 
 
 def read(at: Capture) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every
-    record; revisits get the payload that the index finds for them."""
+    record; revisits get the payload that the index finds for them.  A target
+    that the index does not find is an error."""
     found = written(records(at), "records")
-    revisits = found.where("record_type = 'revisit'")
-    targets = lookup(at, revisits.select(F.col("refers_key").alias("key"))).select(F.col("key").alias("refers_key"), F.col("payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest"))
-    full = revisits.join(targets, "refers_key", "left").select("page_id", F.col("target_bytes").alias("payload_bytes"), F.col("target_digest").alias("payload_digest"), "record_type", "refers_to")
+    revisits = found.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "refers_key")
+    keys = written(revisits.groupBy(F.col("refers_key").alias("key")).agg(F.count("*").alias("copies")), "targets")
+    targets = keys.join(lookup(at, keys).withColumnsRenamed({"page_id": "target"}), "key", "left")
+    lost = F.raise_error(F.concat(F.lit("no capture for "), "key"))
+    targets = targets.select(F.col("key").alias("refers_key"), "copies", F.when(F.col("payload_digest").isNull(), lost.cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest")
+    full = hot_join(revisits, written(targets, "target-payloads"), "refers_key", F.col("page_id")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return found.where("record_type = 'response'").select(*full.columns).unionByName(full)
 
 
