@@ -6,10 +6,12 @@ recursion in log space sums over them, so a text's probability is marginal, not
 that of one segmentation.  A text's pieces never cross words, hence its log
 probability is the sum over its words plus the end symbol.
 
-The vocabulary is taken as it is; its scores give the first piece probabilities
-(the file orders pieces by score; p falls with the rank), and one step of
-expectation maximisation over the counts of all training words makes the piece
-probabilities of this corpus.
+The vocabulary is taken as it is; its scores give the piece probabilities.  The
+file at hand scores pieces by rank (minus the place in the order of merges), which
+is no log probability: p is taken as 1 / (10 + rank), normalised.  With ``fitted``
+one step of expectation maximisation over the counts of all training words, from
+these probabilities and smoothed by them, makes those of this corpus; without it
+the vocabulary's own weight the segmentations.
 
 Spark's part: word counts of the whole corpus (counted in each task, summed by
 key), expected piece counts per partition, a lattice score for every distinct
@@ -27,6 +29,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -35,18 +38,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, written
+from .common import map_arrow, remainder, written
 
 MARK = "▁"
 #: Distinct words that a task counts before it passes them on.
 HELD_WORDS = 400_000
+#: Words of the table of counts that are scored together.
+WORD_ROWS = 10_000
 LOG10 = np.log(10.0)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: bytes | None) -> list[bytes]:
     """ASCII lower case, split at the bytes 32 and 9 to 13."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return (text or b"").lower().split()
 
 
 class Vocabulary:
@@ -186,15 +191,15 @@ def expected(v: Vocabulary, logp: np.ndarray, own: list[str], counts: np.ndarray
 
 
 def _marked(column) -> list[str]:
-    return [MARK + w for w in column.to_pylist()]
+    return [MARK + w.decode("utf-8", "replace") for w in column.to_pylist()]
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """(word, c): every word of the table with its count in training texts (0 if
-    it is in held-out texts only).  documents: doc_id, text, held."""
+    """(word, c): every word of the table, as bytes, with its count in training
+    texts (0 if it is in held-out texts only).  documents: text as bytes, held."""
 
     def told(counts: Counter):
-        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
 
     def run(batches):
         counts: Counter = Counter()
@@ -210,7 +215,12 @@ def word_counts(documents: DataFrame) -> DataFrame:
                     counts = Counter()
         yield told(counts)
 
-    return documents.select("text", "held").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_arrow(documents.select("text", "held"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def own_logs(vocab_path: str) -> np.ndarray:
+    """Natural-log piece probabilities by the vocabulary's scores alone."""
+    return np.log(vocabulary(vocab_path).prior)
 
 
 def train(counted: DataFrame, ends: int, vocab_path: str) -> np.ndarray:
@@ -227,7 +237,7 @@ def train(counted: DataFrame, ends: int, vocab_path: str) -> np.ndarray:
 
     v = vocabulary(vocab_path)
     n = np.zeros(v.size)
-    for r in counted.where("c > 0").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(counted.where("c > 0"), run, "piece int, n double", WORD_ROWS).groupBy("piece").agg(F.sum("n").alias("n")).collect():
         n[r["piece"]] = round(r["n"], 6)  # rounded: sums arrive in any order
     n[v.end] += ends
     n += v.prior * max(1.0, n.sum() * 1e-4)  # smoothed by the vocabulary's own probabilities
@@ -242,23 +252,23 @@ def with_logs(counted: DataFrame, logp: np.ndarray, vocab_path: str) -> DataFram
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(word_logs(v, logp, _marked(b.column("word"))) / LOG10)], names=["word", "c", "lp"])
 
-    return counted.mapInArrow(run, "word string, c long, lp double")
+    return map_arrow(counted, run, "word binary, c long, lp double", WORD_ROWS)
 
 
-def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000) -> DataFrame:
+def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     held = remainder(F.col("doc_id"), 5) == 1
-    docs = documents.select("doc_id", "text", held.alias("held"))
+    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), held.alias("held"))
     counted = written(word_counts(docs), "word-counts")
     ends = docs.where(~F.col("held")).select("doc_id").count()
     total = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n = (total["n"] or 0) + ends
     denominator = float(np.log10(n + 0.5 * (total["v"] + (1 if ends else 0) + 1)))
-    logp = train(counted, ends, vocab_path)
+    logp = train(counted, ends, vocab_path) if fitted else own_logs(vocab_path)
     known = written(with_logs(counted, logp, vocab_path), "word-scores")
     top = known.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
-    bound = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), zip(top.column("c").to_pylist(), top.column("lp").to_pylist()))))
+    bound = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(zip(top.column("word").to_pylist(), zip(top.column("c").to_pylist(), top.column("lp").to_pylist())))))
     end_base, end_lp = float(np.log10(ends + 0.5)), float(logp[-1] / LOG10)
 
     def run(batches):
@@ -266,28 +276,26 @@ def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000) -> Dat
 
         table = _ready(bound)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                cols: list[list] = [[], [], [], [], [], []]
-                for value in part.column("text"):
-                    text = value.as_py()
-                    own = Counter(words(text))
-                    base, lp, known_, rare = [end_base], [end_lp], int(ends > 0), []
-                    for w, tf in own.items():
-                        hit = table.get(w)
-                        if hit is None:
-                            rare.append({"word": w.decode("utf-8", "replace"), "tf": tf})
-                        else:
-                            base.append(tf * hit[1])
-                            lp.append(tf * hit[2])
-                            known_ += tf * hit[0]
-                    for c, x in zip(cols, (xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63), own.total() + 1, known_, float(np.sum(base)), float(np.sum(lp)), rare)):
-                        c.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "held", "h", "n", "known", "base", "lp", "rare"])
+            cols: list[list] = [[], [], [], [], [], []]
+            for value in batch.column("text"):
+                text = value.as_py()
+                own = Counter(words(text))
+                base, lp, known_, rare = [end_base], [end_lp], int(ends > 0), []
+                for w, tf in own.items():
+                    hit = table.get(w)
+                    if hit is None:
+                        rare.append({"word": w, "tf": tf})
+                    else:
+                        base.append(tf * hit[1])
+                        lp.append(tf * hit[2])
+                        known_ += tf * hit[0]
+                for c, x in zip(cols, (xxhash.xxh3_64_intdigest(text or b"") - (1 << 63), own.total() + 1, known_, float(np.sum(base)), float(np.sum(lp)), rare)):
+                    c.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "held", "h", "n", "known", "base", "lp", "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    first = written(docs.mapInArrow(run, f"doc_id {kind}, held boolean, h long, n long, known long, base double, lp double, rare array<struct<word:string,tf:long>>"), "first-sums")
+    first = written(map_arrow(docs, run, f"doc_id {kind}, held boolean, h long, n long, known long, base double, lp double, rare array<struct<word:binary,tf:long>>"), "first-sums")
     rest = first.select("doc_id", "held", "h", F.explode("rare").alias("r")).select("doc_id", "held", "h", "r.word", "r.tf").join(known, "word")
     rest = rest.select("doc_id", "held", "h", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"), F.expr("IF(c > 0, tf, 0L)").alias("known"), (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("base"), (F.col("tf") * F.col("lp")).alias("lp"))
     both = first.select("doc_id", "held", "h", F.lit(1).cast("long").alias("m"), "n", "known", "base", "lp").unionByName(rest)
@@ -304,15 +312,15 @@ def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000) -> Dat
     )
 
 
-_tables: dict[int, dict] = {}
+_tables: dict[str, dict] = {}
 
 
 def _ready(bound) -> dict:
-    """The broadcast words as bytes with (known, log10(c + 0.5), lp), made once a worker."""
-    key = id(bound.value)
+    """The broadcast words with (known, log10(c + 0.5), lp), made once a worker
+    and broadcast; the key goes with the value, as workers serve many queries."""
+    key, rows = bound.value
     if key not in _tables:
         _tables.clear()
-        c = np.array([x[0] for x in bound.value.values()], np.float64)
-        logs = np.log10(c + 0.5).tolist()
-        _tables[key] = {w.encode(): (int(n > 0), b, lp) for (w, (n, lp)), b in zip(bound.value.items(), logs)}
+        logs = np.log10(np.array([n for n, _ in rows.values()], np.float64) + 0.5).tolist()
+        _tables[key] = {w: (int(n > 0), b, lp) for (w, (n, lp)), b in zip(rows.items(), logs)}
     return _tables[key]
