@@ -3,20 +3,25 @@
 Fingerprint: XXH64 of every word shingle (ASCII lower case, ASCII white space);
 a bit is set if it is set in more than half of the hashes.
 
-Method: anchors are the words of a covering code.  Of the 64 bits, two blocks
-of 23 carry the perfect binary Golay code (covering radius 3), the other 18 are
-left free, so there are 2^24 anchors.  A fingerprint has one home anchor (both
-blocks within radius 3) and is replicated to every anchor within covering
-radius plus threshold.  Since a difference of t bits is shared out between the
-blocks, that is every anchor whose two distances exceed 3 by t bits together:
-61 anchors a fingerprint for t = 2, whatever the data.  Two fingerprints within
-t bits meet at the home anchor of either; they are compared there.
-
-Hot anchors: where more than ``HOT`` distinct fingerprints are at home, all
-pairs would be too many.  Their fingerprints go to each point one bit away and
-to themselves instead; two of them meet there exactly if they differ in at most
-two bits, at most 65 fingerprints share such a point, and linking each to the
-least keeps all connections.  Nothing is capped or dropped.
+Method: anchors are the words of a covering code.  A code is a product over
+blocks of bits: two blocks of 23 bits carry the perfect binary Golay code
+(covering radius 3), a third of 15 bits, which is used for more than
+``TWO_BLOCKS`` fingerprints, the perfect Hamming code (radius 1).  The other bits
+are left free.  A fingerprint has one home anchor (each block within its radius)
+and is replicated to every anchor within covering radius plus threshold.  Since
+a difference of t bits is shared out between the blocks, that is every anchor
+whose distances exceed the radii by t bits together: for t = 2, 61 anchors a
+fingerprint of 2^24 with two blocks, about 153 of 2^35 with three, whatever the
+data.  Two fingerprints within t bits meet at the home anchor of either; they are
+compared there.
+
+Hot anchors: where more than ``HOT`` distinct fingerprints are at home, the
+anchor is split by a second code, the same one over the bits in another order
+(``ORDERS``), in which the bits that were free stand first: its fingerprints meet
+at pairs of anchors, one of each code, and what is still hot is split by the third
+order.  A pair within t bits meets at every level for the same reason, so nothing
+is capped or dropped; at the last level all of an anchor's fingerprints are
+compared, by a join that Spark may deal out.
 
 Equal fingerprints are merged before the search.
 
@@ -43,14 +48,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import hot_join, map_arrow, written
 from ..operators.graph import components
 
-BLOCK = 23
-MASK = (1 << BLOCK) - 1
-#: Generator polynomial of the binary Golay code (fixed value).
+#: Generator polynomials (fixed values) of the binary Golay code and the Hamming code.
 GOLAY = 0b110001110101
-RADIUS = 3
+HAMMING = 0b10011
+#: (bits, generator, covering radius) of the blocks of a code.
+BLOCKS = ((23, GOLAY, 3), (23, GOLAY, 3), (15, HAMMING, 1))
+#: Up to so many distinct fingerprints, 16 a home anchor, two blocks are enough.
+TWO_BLOCKS = 1 << 28
+#: Bits to which a fingerprint is turned before each level's code.
+ORDERS = (0, 46, 23)
 HOT = 64
 #: Differing bits at which two fingerprints are linked.
 BITS = 2
@@ -93,72 +102,84 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
             fps = [fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-@lru_cache(maxsize=1)
-def _code() -> tuple[np.ndarray, list[list[np.ndarray]]]:
-    """Syndrome of each 23-bit word; for each syndrome, the error patterns whose
-    weight exceeds the covering radius by exactly 0, 1 and 2."""
+@lru_cache(maxsize=2)
+def _code(bits: int, generator: int, radius: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Syndrome of each word of a perfect cyclic code; for each syndrome, the
+    error patterns whose weight exceeds the covering radius by exactly 0 to ``BITS``."""
+    check = generator.bit_length() - 1
     basis = []
-    for i in range(BLOCK):
+    for i in range(bits):
         x = 1 << i
-        for k in range(BLOCK - 1, BLOCK - 13, -1):
+        for k in range(bits - 1, check - 1, -1):
             if x >> k & 1:
-                x ^= GOLAY << (k - 11)
+                x ^= generator << (k - check)
         basis.append(x)
-    syndrome = np.zeros(1 << BLOCK, np.uint16)
+    syndrome = np.zeros(1 << bits, np.uint16)
     for i, x in enumerate(basis):
         syndrome[1 << i : 2 << i] = syndrome[: 1 << i] ^ x
-    found: list[list[list[int]]] = [[[], [], []] for _ in range(2048)]
-    for weight in range(RADIUS + 3):
-        for bits in combinations(range(BLOCK), weight):
-            e = sum(1 << b for b in bits)
-            found[syndrome[e]][max(0, weight - RADIUS)].append(e)
+    found: list[list[list[int]]] = [[[] for _ in range(BITS + 1)] for _ in range(1 << check)]
+    for weight in range(radius + BITS + 1):
+        for places in combinations(range(bits), weight):
+            e = sum(1 << b for b in places)
+            found[syndrome[e]][max(0, weight - radius)].append(e)
     return syndrome, [[np.array(x, np.int64) for x in own] for own in found]
 
 
-def anchors(fp: int, bits: int) -> np.ndarray:
+def turned(fp: int, by: int) -> int:
+    """The 64 bits of a fingerprint, turned."""
+    fp &= (1 << 64) - 1
+    return (fp >> by | fp << (64 - by)) & (1 << 64) - 1
+
+
+def anchors(fp: int, bits: int, blocks: int = 2, order: int = 0) -> np.ndarray:
     """Anchors within covering radius plus ``bits`` of a fingerprint, home first."""
-    syndrome, errors = _code()
-    a, b = fp & MASK, fp >> BLOCK & MASK
-    left, right = errors[syndrome[a]], errors[syndrome[b]]
-    out = []
-    for over in range(bits + 1):
-        near = np.concatenate(right[: bits - over + 1]) ^ b
-        out.append(((left[over] ^ a)[:, None] | near << BLOCK).ravel())
+    word, at = turned(fp, order), 0
+    out = [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * bits  # by how much they exceed the radii
+    for size, generator, radius in BLOCKS[:blocks]:
+        syndrome, errors = _code(size, generator, radius)
+        own = word >> at & (1 << size) - 1
+        near = [(e ^ own) << at for e in errors[syndrome[own]][: bits + 1]]
+        out = [np.concatenate([(out[i][:, None] | near[k - i]).ravel() for i in range(k + 1)]) for k in range(bits + 1)]
+        at += size
     return np.concatenate(out)
 
 
-def _at_anchors(fps: DataFrame, name: str, bits: int) -> DataFrame:
-    """(anchor, name): all anchors in reach; for 0 bits the home anchor alone."""
+def _at_anchors(fps: DataFrame, level: int, bits: int, blocks: int) -> DataFrame:
+    """``fps`` (fp and the anchors a0, a1, ... of the levels before) with the
+    anchors of a level that are in reach; for 0 bits the home anchor alone."""
+    names = [*(f"a{i}" for i in range(level)), "fp"]
 
     def run(batches):
         for b in batches:
-            own = b.column("fp").to_numpy(zero_copy_only=False)
-            for lo in range(0, len(own), 4096):
-                part = own[lo : lo + 4096]
-                each = [anchors(int(x), bits) for x in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.repeat(part, [len(x) for x in each]))], names=["anchor", name])
+            each = [anchors(int(x), bits, blocks, ORDERS[level]) for x in b.column("fp").to_numpy(zero_copy_only=False)]
+            n = [len(x) for x in each]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), n)) for c in names), pa.array(np.concatenate(each))], names=[*names, f"a{level}"])
 
-    return fps.select("fp").mapInArrow(run, f"anchor long, {name} long")
+    return map_arrow(fps.select(*names), run, ", ".join(f"{c} long" for c in (*names, f"a{level}")), 4096)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` that differ in at most
-    ``BITS`` bits, enough to connect all that are linked."""
-    home, near = _at_anchors(fps, "u", 0), _at_anchors(fps, "v", BITS)
-    hot = written(home.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot-anchors")
-    any_hot = not hot.isEmpty()
-    calm = home.join(hot, "anchor", "left_anti") if any_hot else home
-    # the home anchor of the smaller fingerprint of a pair is enough
-    edges = calm.join(near, "anchor").where(f"u < v AND bit_count(u ^ v) <= {BITS}").select("u", "v")
-    if any_hot:
-        crowded = near.join(hot, "anchor", "left_semi").select(F.col("v").alias("fp")).distinct()
-        flip = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-        at = written(crowded.select("fp", F.explode(F.concat(F.array("fp"), flip)).alias("point")), "midpoints")
-        least = at.groupBy("point").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-        edges = edges.unionByName(at.join(least, "point").where("u < fp").select("u", F.col("fp").alias("v")))
+    ``BITS`` bits: all of them."""
+    blocks = 2 if fps.limit(TWO_BLOCKS + 1).count() <= TWO_BLOCKS else 3
+    home, near, edges = fps.select("fp"), fps.select("fp"), None
+    for level in range(len(ORDERS)):
+        at = [f"a{i}" for i in range(level + 1)]
+        home, near = _at_anchors(home, level, 0, blocks), _at_anchors(near, level, BITS, blocks)
+        hot, any_hot = None, False
+        if level + 1 < len(ORDERS):
+            hot = written(home.groupBy(*at).count().where(F.col("count") > HOT).select(*at), "hot-anchors")
+            any_hot = not hot.isEmpty()
+        calm = home.join(hot, at, "left_anti") if any_hot else home
+        # the home anchor of the smaller fingerprint of a pair is enough
+        met = calm.withColumnRenamed("fp", "u").join(near.withColumnRenamed("fp", "v"), at).where(f"u < v AND bit_count(u ^ v) <= {BITS}").select("u", "v")
+        edges = met if edges is None else edges.unionByName(met)
+        if not any_hot:
+            break
+        home, near = written(home.join(hot, at, "left_semi"), "hot-home"), written(near.join(hot, at, "left_semi"), "hot-near")
     return edges
 
 
@@ -166,12 +187,12 @@ def near_groups(documents: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     reachable over links of at most ``BITS`` differing bits) of every document."""
     fps = written(fingerprints(documents, words), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = written(rooted.select("fp", "root", "copies").join(least, "root").select("fp", "copies", "component_id"), "named")
+    return hot_join(fps, named, "fp", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 TABLES = 10
@@ -195,35 +216,33 @@ def _sketches(documents: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                node, keys, sets = [], [], []
-                for value in part.column("text"):
-                    text = value.as_py() or ""
-                    node.append(xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), SEED) - (1 << 63))
-                    h = np.unique(shingle_hashes(text, words))
-                    own = []
-                    for k, odd in enumerate(_odd()):
-                        order = h * odd
-                        order ^= order >> np.uint64(29)
-                        if h.size > SAMPLE + 1:
-                            least = np.argpartition(order, SAMPLE + 1)[: SAMPLE + 1]
-                            least = least[np.argsort(order[least])]
-                        else:
-                            least = np.argsort(order)
-                        tail = int(order[least[SAMPLE]] >> np.uint64(1)) if least.size > SAMPLE else -1
-                        own.append({"place": k, "key": fingerprint(h[least[:SAMPLE]]), "tail": tail})
-                    keys.append(own)
-                    sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(node, pa.int64()),
-                        pa.array(keys, pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64()), ("tail", pa.int64())]))),
-                        pa.array(sets, pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "node", "keys", "shingles"],
-                )
+            node, keys, sets = [], [], []
+            for value in b.column("text"):
+                text = value.as_py() or ""
+                node.append(xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), SEED) - (1 << 63))
+                h = np.unique(shingle_hashes(text, words))
+                own = []
+                for k, odd in enumerate(_odd()):
+                    order = h * odd
+                    order ^= order >> np.uint64(29)
+                    if h.size > SAMPLE + 1:
+                        least = np.argpartition(order, SAMPLE + 1)[: SAMPLE + 1]
+                        least = least[np.argsort(order[least])]
+                    else:
+                        least = np.argsort(order)
+                    tail = int(order[least[SAMPLE]] >> np.uint64(1)) if least.size > SAMPLE else -1
+                    own.append({"place": k, "key": fingerprint(h[least[:SAMPLE]]), "tail": tail})
+                keys.append(own)
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array(node, pa.int64()),
+                    pa.array(keys, pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64()), ("tail", pa.int64())]))),
+                    pa.array(sets, pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "node", "keys", "shingles"],
+            )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, node long, keys array<struct<place:int,key:long,tail:long>>, shingles array<int>")
