@@ -4,30 +4,42 @@ Method: a tree builder with implied tags (head and body, unclosed paragraphs,
 list items, options, rows and cells, void elements, stray end tags) and a
 renderer.  All visible text comes out: blocks start on lines of their own,
 paragraph-like blocks are set off by a blank line, lists have bullets or numbers
-and indents, table cells are padded to the width of their column.  Invisible are
-head, script, style, template and similar elements, hidden attributes, closed
-dialogs, definitions and descriptions of svg and math, and what inline styles or the page's own simple style rules (a tag,
-class or id) set to display:none or visibility:hidden.
+and indents, table cells stand under each other, spans over columns and rows
+included.  Invisible are head, script, style, template and similar elements,
+hidden attributes, closed dialogs, what follows the summary of closed details,
+definitions and descriptions of svg and math, and what inline styles or the page's
+own style sheets set to display:none or, unless an element inside says
+visibility:visible, to visibility:hidden.  Style rules count by specificity and
+order; selectors are tags, classes and ids, also joined by descent.
 
-Map-only: pages are rendered one by one in the task that reads them.
+Map-only: pages are rendered one by one in the task that reads them.  The scanner
+goes through a page once and never back, whatever is left unclosed.
 
 Defined cases: null or empty html gives an empty text; malformed markup is
-rendered as far as browsers would; elements nested deeper than ``DEEP`` become
-siblings at that depth, with all their text; other columns pass through, one
-named like the output is replaced.
+rendered as browsers would (an unclosed quote or comment takes the rest);
+elements nested deeper than ``DEEP`` become siblings at that depth, as in
+browsers, with all their text; columns are padded to at most ``PAD`` characters,
+longer cells push their own row only, and beyond ``COLUMNS`` columns cells just
+follow each other; other columns of the table pass through, one named like the
+output is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_arrow
 
-DEEP = 200
+#: Depth at which browsers stop nesting (fixed value).
+DEEP = 512
+PAD, COLUMNS = 120, 1000
+#: Spans of a table cell are at most these (fixed values of the HTML standard).
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 # Fixed values of the HTML standard: names of elements by role.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -56,24 +68,195 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
 SCOPE = {"table", "td", "th", "caption", "button", "html", "template"}
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|<(?=[a-zA-Z])[^>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+NAME = re.compile(r"[^\s/>][^\s/>=]*")
+VALUE = re.compile(r"[^\s>]*")
+NOTE_END = re.compile("--!?>")
+SPACE = re.compile(r"\s*")
+BETWEEN = re.compile(r"[\s/]*")
 BLANK = re.compile(r"[ \t\n\r\f]+")
+CSS_PART = re.compile(r"([^{};]*)([{};]|\Z)")
+CSS_NOTE = re.compile(r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)")
+SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)\Z", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """Attributes from a place behind a tag's name, whether it closes itself, and
+    the place behind it; nothing where the page ends inside."""
+    found: dict[str, str] = {}
+    while True:
+        at, before = BETWEEN.match(page, at).end(), at
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return found, page[at - 1] == "/" and at > before, at + 1
+        m = NAME.match(page, at)
+        name, at = m[0].lower(), m.end()
+        value = ""
+        behind = SPACE.match(page, at).end()
+        if page.startswith("=", behind):
+            at = SPACE.match(page, behind + 1).end()
+            if page.startswith(('"', "'"), at):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = VALUE.match(page, at)
+                value, at = m[0], m.end()
+        found.setdefault(name, html.unescape(value) if "&" in value else value)
+
+
+def tokens(page: str):
+    """(kind, tag, attributes, closes itself, place behind) of each piece: kind is
+    text (tag: the text), start or end.  The reader may send a new place to go on."""
+    at, n = 0, len(page)
+    while at < n:
+        mark = page.find("<", at)
+        while 0 <= mark < n - 1 and not (page[mark + 1] in "!?/" or page[mark + 1].isascii() and page[mark + 1].isalpha()):
+            mark = page.find("<", mark + 1)
+        if mark < 0 or mark == n - 1:
+            yield "text", page[at:], None, False, n
+            return
+        if mark > at:
+            yield "text", page[at:mark], None, False, mark
+        at = mark
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                at = page.index(">", at) + 1
+                continue
+            m = NOTE_END.search(page, at + 4)
+            at = m.end() if m else n
+            continue
+        end = page[at + 1] == "/"
+        m = TAG.match(page, at + 1 + end)
+        if not m:
+            if end and at + 2 >= n:
+                yield "text", page[at:], None, False, n
+                return
+            at = page.find(">", at) + 1 or n
+            continue
+        told = attributes(page, m.end())
+        if not told:
+            return
+        own, closed, at = told
+        went = yield "end" if end else "start", m[0].lower(), own, closed, at
+        if went is not None:
+            at = went
+
+
+class Styles:
+    """Rules of the page that set display or visibility."""
+
+    def __init__(self):
+        self.by_key: dict[str, list] = {}
+        self.n = 0
+
+    def read(self, sheet: str) -> None:
+        counts, prelude = [True], ""
+        for m in CSS_PART.finditer(CSS_NOTE.sub(" ", sheet)):
+            text, end = m[1], m[2]
+            if end == "{":
+                name = text.strip().lower()
+                if name.startswith("@media"):
+                    counts.append(counts[-1] and name[6:].strip() in ("", "all", "screen", "only screen", "screen, print", "all, screen"))
+                elif name.startswith("@supports") or name.startswith("@layer"):
+                    counts.append(counts[-1])
+                elif name.startswith("@"):
+                    counts.append(False)
+                else:
+                    counts.append(counts[-1])
+                    prelude = text
+                    body: list[str] = []
+            elif prelude:
+                body.append(text)
+                if end != ";":
+                    if counts[-1]:
+                        self._add(prelude, ";".join(body))
+                    prelude = ""
+                    counts = counts[:-1] or [True]
+            elif end == "}":
+                counts = counts[:-1] or [True]
+
+    def _add(self, selectors: str, body: str) -> None:
+        said = [(p.lower(), v.lower(), bool(i)) for p, v, i in DECLARED.findall(body)]
+        if not said:
+            return
+        for selector in selectors.split(","):
+            chain, direct = [], False
+            for word in selector.replace(">", " > ").split():
+                if word == ">":
+                    direct = True
+                    continue
+                m = SIMPLE.match(word)
+                if not m or not word:
+                    chain = []
+                    break
+                names = re.findall(r"[.#][\w-]+", m[2])
+                chain.append((m[1].lower() if m[1] and m[1] != "*" else "", frozenset(x[1:] for x in names if x[0] == "."), [x[1:] for x in names if x[0] == "#"], direct))
+                direct = False
+            if not chain:
+                continue
+            weight = (sum(len(i) for _, _, i, _ in chain), sum(len(c) for _, c, _, _ in chain), sum(bool(t) for t, _, _, _ in chain))
+            tag, classes, ids, _ = chain[-1]
+            key = "#" + ids[0] if ids else "." + min(classes) if classes else tag
+            self.n += 1
+            self.by_key.setdefault(key, []).append((chain, weight, self.n, said))
+
+    def _matches(self, node: Node, chain: list) -> bool:
+        """Whether the last part is the element and the others stand above it, the
+        nearest that fits being taken for each."""
+        i = len(chain) - 1
+        if not _is(node, chain[i]):
+            return False
+        while i:
+            direct = chain[i][3]
+            i -= 1
+            node = node.up
+            while node and not _is(node, chain[i]):
+                node = None if direct else node.up
+            if not node:
+                return False
+        return True
+
+    def of(self, node: Node) -> dict[str, str]:
+        """Display and visibility of an element, where something sets them."""
+        inline = node.attrs.get("style")
+        if not inline and not self.by_key:
+            return {}
+        best: dict[str, tuple] = {}
+        if self.by_key:
+            keys = {"", node.tag, *("." + c for c in node.attrs.get("class", "").split())}
+            if "id" in node.attrs:
+                keys.add("#" + node.attrs["id"])
+            for key in keys:
+                for chain, weight, n, said in self.by_key.get(key, ()):
+                    if self._matches(node, chain):
+                        for p, v, important in said:
+                            best[p] = max(best.get(p, ((),)), ((important, False, weight, n), v))
+        for n, (p, v, important) in enumerate(DECLARED.findall(inline or "")):
+            p = p.lower()
+            best[p] = max(best.get(p, ((),)), ((bool(important), True, (), n), v.lower()))
+        return {p: x[1] for p, x in best.items()}
+
+
+def _is(node: Node, part: tuple) -> bool:
+    tag, classes, ids, _ = part
+    return (not tag or node.tag == tag) and (not classes or classes <= set(node.attrs.get("class", "").split())) and all(node.attrs.get("id") == x for x in ids)
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    __slots__ = ("attrs", "kids", "tag", "up")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None = None):
+        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
 
 
-def tree(page: str) -> tuple[Node, set[str]]:
-    """The document's root, and the selectors that its style rules hide."""
+def tree(page: str) -> tuple[Node, Styles]:
+    """The document's root, and its style rules."""
     root = Node("html", {})
-    stack, hidden, at, has_body, has_foreign = [root], set(), 0, False, False
+    stack, styles, has_body, has_foreign = [root], Styles(), False, False
 
     def top() -> Node:
         return stack[-1]
@@ -90,7 +273,7 @@ def tree(page: str) -> tuple[Node, set[str]]:
             del stack[cut:]
 
     def start(tag: str, attrs: dict[str, str]) -> Node:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, top())
         top().kids.append(node)
         if tag not in VOID and len(stack) < DEEP:
             stack.append(node)
@@ -119,18 +302,18 @@ def tree(page: str) -> tuple[Node, set[str]]:
             if top().tag not in ("html", "head", "table", "tr") or value.strip():
                 top().kids.append(html.unescape(value) if "&" in value else value)
 
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
+    reader = tokens(page)
+    go_to = None
+    while True:
+        try:
+            kind, tag, attrs, closed, at = reader.send(go_to)
+        except StopIteration:
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        go_to = None
+        if kind == "text":
+            text(tag)
             continue
-        if m[1]:
+        if kind == "end":
             if tag == "p" and not any(n.tag == "p" for n in stack):
                 body()
                 start("p", {})
@@ -146,10 +329,6 @@ def tree(page: str) -> tuple[Node, set[str]]:
                 if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption"):
                     break
             continue
-        attrs = {}
-        if m[3] and m[3].strip(" /"):
-            for a in ATTRIBUTE.finditer(m[3]):
-                attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         has_foreign = has_foreign or tag in ("svg", "math")
         if has_foreign and tag in BREAKOUT and (i := foreign()):
             del stack[i:]
@@ -179,35 +358,35 @@ def tree(page: str) -> tuple[Node, set[str]]:
         if inside and tag in FOREIGN_UNSEEN:
             attrs["hidden"] = ""
         node = start(tag, attrs)
-        if inside and re.search(r"/\s*\Z", m[3]) and not re.search(r"=[^\s\"']*/\Z", m[3]):
+        if inside and closed:
             if top() is node:
                 stack.pop()
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inner = page[at : end.start()] if end else page[at:]
-            at = end.end() if end else len(page)
+            go_to = end.end() if end else len(page)
             if top() is node:
                 stack.pop()
             if tag == "style":
-                for selectors, rules in RULE.findall(inner):
-                    if GONE.search(rules):
-                        hidden.update(s.strip().lower() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+|\w+\.[\w-]+", s.strip()))
+                if attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+                    styles.read(inner)
             else:
                 node.kids.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
-    return root, hidden
+    return root, styles
 
 
-def visible(node: Node, hidden: set[str]) -> bool:
+def displayed(node: Node, styles: Styles, shown: bool) -> bool | None:
+    """Whether the element's own text is visible; nothing if it takes no part.
+    shown: whether that of its parent is."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() not in BUTTONS:
-        return False
-    if "style" in a and GONE.search(a["style"]):
-        return False
-    if hidden:
-        names = a.get("class", "").lower().split()
-        return not (node.tag in hidden or "#" + a.get("id", "").lower() in hidden or any("." + c in hidden or f"{node.tag}.{c}" in hidden for c in names))
-    return True
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() not in BUTTONS:
+        return None
+    style = styles.of(node)
+    if style.get("display", "none" if "hidden" in a else "") == "none":
+        return None
+    said = style.get("visibility")
+    return shown if said in (None, "inherit", "unset", "revert") else said not in ("hidden", "collapse")
 
 
 class Page:
@@ -215,25 +394,33 @@ class Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.now = ""
+        self.now: list[str] = []
         self.gap = False
 
     def put(self, text: str, pre: bool) -> None:
         if pre:
             first, *rest = text.replace("\r\n", "\n").split("\n")
-            self.now += first
+            if first:
+                self.now.append(first)
             for line in rest:
                 self.flush(True)
-                self.now = line
+                if line:
+                    self.now.append(line)
             return
         text = BLANK.sub(" ", text)
-        if not self.now or self.now[-1] == " ":
+        if not self.now or self.now[-1][-1] == " ":
             text = text.lstrip(" ")
-        self.now += text
+        if text:
+            self.now.append(text)
+
+    def line(self, text: str) -> None:
+        """A line that is ready."""
+        self.now = [text] if text else []
+        self.flush(True)
 
     def flush(self, keep: bool = False) -> None:
-        line = self.now.rstrip()
-        self.now = ""
+        line = "".join(self.now).rstrip()
+        self.now = []
         if line or keep:
             if self.gap and self.lines:
                 self.lines.append("")
@@ -245,131 +432,170 @@ class Page:
         self.gap = True
 
 
-def _cells(row: Node, hidden: set[str]) -> list[tuple[list[str], int]]:
-    out = []
-    for cell in row.kids:
-        if isinstance(cell, Node) and cell.tag in ("td", "th") and visible(cell, hidden):
-            span = cell.attrs.get("colspan", "1")
-            out.append((_lines(cell, hidden), min(100, int(span)) if span.isdigit() and int(span) else 1))
-    return out
+class Renderer:
+    """Lines of a page's tree under its style rules."""
 
+    def __init__(self, styles: Styles):
+        self.styles = styles
 
-def _table(node: Node, hidden: set[str]) -> list[str]:
-    """Rows with cells padded to their column's width; captions and stray text first."""
-    before = Page()
-    rows: list[list[tuple[list[str], int]]] = []
-
-    def gather(part: Node) -> None:
-        for kid in part.kids:
-            if isinstance(kid, str):
-                before.put(kid, False)
-            elif not visible(kid, hidden):
-                continue
-            elif kid.tag == "tr":
-                rows.append(_cells(kid, hidden))
-                for x in kid.kids:  # content that stands in no cell
-                    if isinstance(x, str):
-                        before.put(x, False)
-                    elif x.tag not in ("td", "th"):
-                        _render(x, before, hidden, False, 0)
-            elif kid.tag in ("thead", "tbody", "tfoot"):
-                gather(kid)
-            else:
-                _render(kid, before, hidden, False, 0)
-
-    gather(node)
-    before.flush()
-    widths: dict[int, int] = {}
-    for row in rows:
-        k = 0
-        for lines, span in row:
-            if span == 1:
-                widths[k] = max(widths.get(k, 0), *map(len, lines), 0) if lines else widths.get(k, 0)
-            k += span
-    out = before.lines
-    for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            k, parts = 0, []
-            for lines, span in row:
-                room = sum(widths.get(j, 0) for j in range(k, k + span)) + 3 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                k += span
-            out.append(" | ".join(parts).rstrip())
-    return out
-
-
-def _lines(node: Node, hidden: set[str]) -> list[str]:
-    page = Page()
-    for kid in node.kids:
-        _render(kid, page, hidden, False, 0)
-    page.flush()
-    return page.lines
-
-
-def _render(node, page: Page, hidden: set[str], pre: bool, depth: int) -> None:
-    if isinstance(node, str):
-        page.put(node, pre)
-        return
-    if not visible(node, hidden):
-        return
-    tag = node.tag
-    if tag == "br":
-        page.flush(True)
-        return
-    if tag == "table":
-        page.space()
-        for line in _table(node, hidden):
-            page.now = line
+    def lines(self, node: Node, shown: bool) -> list[str]:
+        page = Page()
+        for kid in node.kids:
+            self.render(kid, page, False, 0, shown)
+        page.flush()
+        return page.lines
+
+    def _rows(self, node: Node, before: Page, shown: bool) -> list[tuple[int, list]]:
+        """(section, cells) of each row, a cell as (lines, columns, rows); text
+        that stands in no cell goes before."""
+        rows: list[tuple[int, list]] = []
+
+        def gather(part: Node, section: int, shown: bool) -> None:
+            for kid in part.kids:
+                if isinstance(kid, str):
+                    if shown:
+                        before.put(kid, False)
+                    continue
+                own = displayed(kid, self.styles, shown)
+                if own is None:
+                    continue
+                if kid.tag == "tr":
+                    cells: list = []
+                    for x in kid.kids:
+                        if isinstance(x, str):
+                            if own:
+                                before.put(x, False)
+                        elif x.tag not in ("td", "th"):
+                            self.render(x, before, False, 0, own)
+                        elif (seen := displayed(x, self.styles, own)) is not None:
+                            cells.append((self.lines(x, seen), _span(x, "colspan", 1, MOST_COLUMNS), _span(x, "rowspan", 0, MOST_ROWS)))
+                    rows.append((section, cells))
+                elif kid.tag in ("thead", "tbody", "tfoot"):
+                    gather(kid, id(kid), own)
+                else:
+                    self.render(kid, before, False, 0, shown)
+
+        gather(node, 0, shown)
+        return rows
+
+    def table(self, node: Node, shown: bool) -> list[str]:
+        """Rows with cells padded to their columns; captions and stray text first."""
+        before = Page()
+        rows = self._rows(node, before, shown)
+        before.flush()
+        grid: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines)
+        down: dict[int, int] = {}  # rows that a cell above still takes, by column
+        last = None
+        for section, cells in rows:
+            if section != last:
+                down, last = {}, section
+            k, row, fresh = 0, [], {}
+            for lines, wide, high in cells:
+                while down.get(k):
+                    row.append((k, 1, []))
+                    k += 1
+                row.append((k, wide, lines))
+                if high != 1 and k < COLUMNS:
+                    fresh.update(dict.fromkeys(range(k, min(k + wide, COLUMNS)), high - 1 if high else MOST_ROWS))
+                k += wide
+            row += [(j, 1, []) for j in sorted(down) if j >= k]
+            down = {j: n - 1 for j, n in down.items() if n > 1} | fresh
+            grid.append(row)
+        widths: dict[int, int] = {}
+        for row in grid:
+            for k, wide, lines in row:
+                if wide == 1 and k < COLUMNS:
+                    widths[k] = max(widths.get(k, 0), *(min(len(x), PAD) for x in lines), 0)
+        out = before.lines
+        for row in grid:
+            for i in range(max((len(lines) for _, _, lines in row), default=0)):
+                parts = []
+                for k, wide, lines in row:
+                    room = sum(widths.get(j, 0) for j in range(k, min(k + wide, COLUMNS))) + 3 * (min(wide, COLUMNS) - 1)
+                    parts.append((lines[i] if i < len(lines) else "").ljust(min(room, PAD * wide)))
+                while parts and not parts[-1].strip():
+                    parts.pop()
+                out.append(" | ".join(parts).rstrip())
+        return out
+
+    def render(self, node, page: Page, pre: bool, depth: int, shown: bool) -> None:
+        if isinstance(node, str):
+            if shown:
+                page.put(node, pre)
+            return
+        shown = displayed(node, self.styles, shown)
+        if shown is None:
+            return
+        tag = node.tag
+        if tag == "br":
             page.flush(True)
-        page.space()
-        return
-    if tag in ("ul", "ol", "menu"):
+            return
+        if tag == "table":
+            page.space()
+            for line in self.table(node, shown):
+                page.line(line)
+            page.space()
+            return
+        if tag in ("ul", "ol", "menu"):
+            self._list(node, page, pre, depth, shown)
+            return
+        if tag in ("img", "input"):
+            if shown:
+                page.put(node.attrs.get("alt" if tag == "img" else "value", ""), pre)
+            return
+        if tag == "hr":
+            page.space()
+            return
+        block = tag in BLOCK
+        if block:
+            page.space() if tag in SPACED else page.flush()
+        if tag in ("td", "th", "text"):  # outside of a table; labels of an svg
+            page.put(" ", pre)
+        kids = node.kids
+        if tag == "details" and "open" not in node.attrs:
+            kids = [x for x in kids if isinstance(x, Node) and x.tag == "summary"][:1]
+        for kid in kids:
+            self.render(kid, page, pre or tag in ("pre", "textarea"), depth, shown)
+        if block:
+            page.space() if tag in SPACED else page.flush()
+
+    def _list(self, node: Node, page: Page, pre: bool, depth: int, shown: bool) -> None:
         page.space() if not depth else page.flush()
         start = node.attrs.get("start", "1")
         n = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
         for kid in node.kids:
-            if isinstance(kid, Node) and kid.tag == "li":
-                if not visible(kid, hidden):
-                    continue
-                inner = Page()
-                for x in kid.kids:
-                    _render(x, inner, hidden, pre, depth + 1)
-                inner.flush()
-                head = f"{n}. " if tag == "ol" else "- "
-                n += 1
-                for i, line in enumerate(inner.lines or [""]):
-                    page.now = (head if not i else " " * len(head) if line else "") + line
-                    page.flush(True)
-            else:
-                _render(kid, page, hidden, pre, depth)
+            if not isinstance(kid, Node) or kid.tag != "li":
+                self.render(kid, page, pre, depth, shown)
+                continue
+            own = displayed(kid, self.styles, shown)
+            if own is None:
+                continue
+            inner = Page()
+            for x in kid.kids:
+                self.render(x, inner, pre, depth + 1, own)
+            inner.flush()
+            head = f"{n}. " if node.tag == "ol" else "- "
+            n += 1
+            if not own and not inner.lines:
+                continue
+            for i, line in enumerate(inner.lines or [""]):
+                page.line((head if not i else " " * len(head) if line else "") + line)
         page.space() if not depth else page.flush()
-        return
-    if tag == "img":
-        page.put(node.attrs.get("alt", ""), pre)
-        return
-    if tag == "input":
-        page.put(node.attrs.get("value", ""), pre)
-        return
-    if tag == "hr":
-        page.space()
-        return
-    block = tag in BLOCK
-    if block:
-        page.space() if tag in SPACED else page.flush()
-    if tag in ("td", "th", "text"):  # outside of a table; labels of an svg
-        page.put(" ", pre)
-    for kid in node.kids:
-        _render(kid, page, hidden, pre or tag in ("pre", "textarea"), depth)
-    if block:
-        page.space() if tag in SPACED else page.flush()
+
+
+def _span(cell: Node, name: str, least: int, most: int) -> int:
+    value = cell.attrs.get(name, "").strip()
+    return min(most, max(least, int(value[:9]))) if re.fullmatch("[0-9]+", value) else 1
 
 
 def page_text(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
-    root, hidden = tree(page.replace("\r\n", "\n").replace("\0", "�"))
-    return "\n".join(_lines(root, hidden)).strip("\n")
+    if sys.getrecursionlimit() < 20 * DEEP:  # a few calls for each open element
+        sys.setrecursionlimit(20 * DEEP)
+    root, styles = tree(page.replace("\r\n", "\n").replace("\0", "\ufffd"))
+    return "\n".join(Renderer(styles).lines(root, True)).strip("\n")
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -378,9 +604,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([page_text(x.as_py()) for x in part.column(html_col)], pa.string())], names=[*names, text_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([page_text(x.as_py()) for x in b.column(html_col)], pa.string())], names=[*names, text_col])
 
     kinds = "".join(f"`{n}` {pages.schema[n].dataType.simpleString()}, " for n in names)
     return map_arrow(pages, run, f"{kinds}`{text_col}` string")

@@ -182,10 +182,8 @@ def store(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([wrap(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([wrap(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 

@@ -203,34 +203,49 @@ def test_simhash_against_brute_force(spark):
     assert got == {i: (f"{f:016x}", least[group[f]]) for i, f in want.items()}
 
 
-@pytest.mark.parametrize("shape", ["random", "hot"])
-def test_links_lose_no_connection(spark, shape):
+@pytest.mark.parametrize("blocks", [2, 3])
+@pytest.mark.parametrize("shape", ["random", "hot", "very hot"])
+def test_links_are_all_links(spark, monkeypatch, shape, blocks):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(40)]
-    if shape == "hot":  # very many fingerprints about one anchor
+    if shape != "random":  # very many fingerprints about one anchor
         base = [base[0] ^ sum(1 << b for b in rng.sample(range(46, 64), 9) + rng.sample(range(4), 2)) for _ in range(600)]
+    if shape == "very hot":  # about one anchor of each level
+        monkeypatch.setattr(simhash, "HOT", 2)
+    if blocks == 3:
+        monkeypatch.setattr(simhash, "TWO_BLOCKS", 0)
     fps = set(base)
     for f in base[:40]:
         for _ in range(6):
             f ^= sum(1 << b for b in rng.sample(range(64), rng.choice((1, 2, 3))))
             fps.add(f)
-    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
-    unsigned = {f & (1 << 64) - 1: f for f in fps}
-    want = brute_groups(sorted(unsigned), simhash.BITS)
-    edges = [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
-    assert all((a ^ b).bit_count() <= 2 * simhash.BITS for a, b in edges)
-    root = {f: f for f in unsigned}
+    low = (1 << 64) - 1
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= simhash.BITS}
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = {tuple(sorted((r.u & low, r.v & low))) for r in simhash.links(rows).collect()}
+    assert got == want
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in edges:
-        if a in root and b in root:
-            root[find(max(find(a), find(b)))] = min(find(a), find(b))
-    parts = lambda of: {frozenset(x for x in unsigned if of(x) == r) for r in map(of, unsigned)}
-    assert parts(find) == parts(want.__getitem__)
+@pytest.mark.parametrize("blocks", [2, 3])
+def test_anchors_are_those_in_reach(blocks):
+    """Home anchors within the radii, all anchors within the budget, each once."""
+    rng = random.Random(3)
+    for _ in range(20):
+        f = rng.getrandbits(64)
+        for order in simhash.ORDERS:
+            own = simhash.anchors(f, simhash.BITS, blocks, order).tolist()
+            assert len(own) == len(set(own)) and own[0] == simhash.anchors(f, 0, blocks, order)[0]
+            word, over = simhash.turned(f, order), []
+            for a in own:
+                at, excess = 0, 0
+                for size, _, radius in simhash.BLOCKS[:blocks]:
+                    excess += max(0, ((word ^ a) >> at & (1 << size) - 1).bit_count() - radius)
+                    at += size
+                over.append(excess)
+            assert over[0] == 0 and sorted(over)[1] > 0 and max(over) <= simhash.BITS
+            # a fingerprint within two bits has a home that is in reach
+            g = f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+            assert simhash.anchors(g, 0, blocks, order)[0] in own
 
 
 def test_near_duplicates_against_brute_force(spark):
@@ -396,6 +411,58 @@ def test_html_shows_svg_math_and_buttons(page, want):
     assert html_text.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+        ("<style>div .x{display:none} p > .y{display:none}</style><div><i class=x>no</i></div><i class=x>a</i><p><b class=y>no</b><b><i class=y>b</i></b>", "a\n\nb"),
+        ("<style>.a{display:none} .a.b{display:block} #c{display:none!important}</style><i class=a>no</i><i class='a b'>yes</i><i id=c style='display:block'>no</i>", "yes"),
+        ("<style>@media print{.ad{display:none}} @media screen{.w{display:none}} /* .p{display:none} */ a:hover{display:none}</style><i class=ad>a</i><i class=w>no</i><i class=p>p</i>", "ap"),
+        ("<details><summary>head</summary>no</details><details open><summary>h2</summary>yes</details>", "head\nh2\nyes"),
+        ("<i hidden>no</i><style>[hidden]{}</style>x", "x"),
+        ("a <b title='unclosed>gone", "a"),
+        ("a<!-- gone", "a"),
+        ("1 < 2 <3 <", "1 < 2 <3 <"),
+        ("<a href=x/>y</a>", "y"),
+        ("a<!-->b<!--->c<!-- x --!>d", "abcd"),
+    ],
+)
+def test_html_visibility_and_scanner(page, want):
+    assert html_text.page_text(page) == want
+
+
+def test_html_spans():
+    text = html_text.page_text("<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E<tr><td colspan=2>F<td>G</table>")
+    one, two, three = text.split("\n")
+    assert one.index("B") == two.index("D") and one.index("C") == two.index("E") == three.index("G")
+    assert "A" in one and three.startswith("F")
+
+
+@pytest.mark.parametrize("shape", ['<a x ', "<!-- x -->", "<b>x</b>", "<td>x", "<p a='", "<", "</", "<div>", "<tr><td rowspan=9>x", "<i class=k>x</i>", "<style>.a{", "<li><ul>"])
+def test_html_time_grows_with_length(shape):
+    import time
+
+    def took(n):
+        page = "<style>.k{display:block}</style>" + shape * n + '">x'
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            html_text.page_text(page)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(8000) < 8 * took(2000) + 0.1
+
+
+def test_html_empty_and_repeated_rows(spark):
+    kind = "page_id long, html string, url string, text string, attrs string"
+    assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "<p>a", "u", "old", "z"), (1, "<p>a", "u", "old", "z"), (2, "", None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, kind))
+    assert set(got.columns) == {"page_id", "url", "attrs", "text"}
+    assert sorted((r.page_id, r.text) for r in got.collect()) == [(1, "a"), (1, "a"), (2, "")]
+
+
 def test_html_tables_align_and_keep_all_text(spark):
     text = html_text.page_text("<table><tr><td>aa<td>b</tr><tr><td>c<td>dd</table>")
     first, second = text.split("\n")
