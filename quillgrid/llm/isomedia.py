@@ -7,11 +7,16 @@ and gives brand, codec, time scale, duration and the byte ranges of keyframes;
 sample payloads are never read.  ``payload`` reads the samples back through the
 decoded tables.
 
-All steps are map-only; a task holds one batch and the file at hand.
+All steps are map-only; a task holds one slice of a batch and the file at hand.
+
+``digests`` returns for each text what was read back, and ``tracks``: handler,
+codec, time scale, duration and the byte range of every keyframe in the stored
+file.  ``feature`` sums up the same, with a checksum of the keyframes' bytes.
 
 Defined cases: null text is the empty text, stored as one frame of blanks; a null
 or malformed file gives no tracks; a file without a sync table has keyframes
-only; other columns are not read.
+only; boxes of unknown kinds are stepped over; repeated rows are described alike;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -171,10 +176,15 @@ def payload(data: bytes, track: Track) -> bytes:
     return b"".join(data[at[a] : at[b] + size[b]] for a, b in zip(starts, ends))
 
 
-def feature(brand: str, track: Track) -> str:
+def feature(brand: str, track: Track, data: bytes) -> str:
+    """Brand, track, number and hash of the keyframes' byte ranges, and a checksum
+    over the bytes in these ranges."""
     at, size = track.keyframes()
     ranges = np.stack([at, size], 1).astype(">i8").tobytes()
-    return f"{brand};{track.handler};{track.codec};{track.width}x{track.height};{track.duration}/{track.timescale}s;keyframes={len(at)};ranges={hashlib.sha1(ranges).hexdigest()}"
+    crc = 0
+    for a, n in zip(at.tolist(), size.tolist()):
+        crc = zlib.crc32(data[a : a + n], crc)
+    return f"{brand};{track.handler};{track.codec};{track.width}x{track.height};{track.duration}/{track.timescale}s;keyframes={len(at)};ranges={hashlib.sha1(ranges).hexdigest()};content={crc:08x}"
 
 
 def store(documents: DataFrame) -> DataFrame:
@@ -189,6 +199,15 @@ def store(documents: DataFrame) -> DataFrame:
 
 
 TRACKS = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))]))
+TRACKS_SQL = "array<struct<handler:string,codec:string,timescale:long,duration:long,keyframes:array<struct<offset:long,length:long>>>>"
+
+
+def _told(tracks: list[Track]) -> list[dict]:
+    out = []
+    for t in tracks:
+        at, size = t.keyframes()
+        out.append({"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "keyframes": [{"offset": a, "length": n} for a, n in zip(at.tolist(), size.tolist())]})
+    return out
 
 
 def media_tracks(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -198,17 +217,11 @@ def media_tracks(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for m in b.column(media_col):
-                own = []
-                for t in describe(m.as_py())[1]:
-                    at, size = t.keyframes()
-                    own.append({"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "keyframes": [{"offset": a, "length": n} for a, n in zip(at.tolist(), size.tolist())]})
-                out.append(own)
+            out = [_told(describe(m.as_py())[1]) for m in b.column(media_col)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, TRACKS)], names=[*names, "tracks"])
 
     kinds = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
-    return map_arrow(df, run, kinds + "tracks array<struct<handler:string,codec:string,timescale:long,duration:long,keyframes:array<struct<offset:long,length:long>>>>")
+    return map_arrow(df, run, f"{kinds}tracks {TRACKS_SQL}")
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -217,13 +230,14 @@ def digests(documents: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for m in b.column("media"):
-                data = m.as_py()
+            for t in b.column("text"):
+                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                data = wrap(padded(raw))
                 brand, tracks = describe(data)
                 back = payload(data, tracks[0])
-                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(brand, tracks[0])))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(brand, tracks[0], data), _told(tracks)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), TRACKS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(store(documents), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks {TRACKS_SQL}")
