@@ -16,7 +16,9 @@ Rules match a host and its subdomains by reversed-host suffix, and the start of
 the path; the longest wins and overrules the tree.
 
 Hot hosts: URLs are summed to (host, form of the path) before anything is
-shuffled by host, so all later steps see a row per template.
+shuffled by host, so all later steps see a row per template.  Verdicts go back to
+the URLs by broadcast, or, beyond ``MAX_BROADCAST`` forms, by a join in which a
+form of very many URLs is dealt out in parts.
 
 Defined cases: null URLs and those without ``://`` have empty host and path and
 are judged like any template; URLs without labels count for the tree's shape
@@ -29,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_join, written
+
 BRANCHES, LONG, Z, PRIOR, REJECT = 8, 24, 2.0, 10.0, 0.5
 #: Templates (rows of a few dozen bytes) that may be broadcast to the URLs.
 MAX_BROADCAST = 500_000
@@ -60,8 +64,6 @@ def rule_of(rules: list[Rule]):
 
 def templates(forms: DataFrame) -> DataFrame:
     """(host, form, template) from (host, form, n): forms generalised by the tree."""
-    from .common import written
-
     # a form's template up to a level, what is left of its segments, and whether its node can still branch
     now = forms.select("host", "form", "n", F.lit("").alias("above"), F.split("form", "/").alias("left"))
     done, level = [], 0
@@ -89,7 +91,7 @@ def templates(forms: DataFrame) -> DataFrame:
 
 
 def judged_templates(urls: DataFrame) -> DataFrame:
-    """(host, form, template, purity) from (host, form, bad): bad is 1, 0 or null."""
+    """(host, form, n, template, purity) from (host, form, bad): bad is 1, 0 or null."""
     forms = urls.groupBy("host", "form").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     named = forms.join(templates(forms), ["host", "form"]).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
     branch = named.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
@@ -102,20 +104,22 @@ def judged_templates(urls: DataFrame) -> DataFrame:
     whole = forms.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("corpus_rate"))
     purity = (F.col("g_bad") + PRIOR * F.col("corpus_rate")) / (F.col("g_labelled") + PRIOR)
     by_template = group.select("host", "template", "merged", "alike").join(sums, ["host", "merged", "alike"]).crossJoin(F.broadcast(whole)).select("host", "template", purity.alias("purity"))
-    return named.select("host", "form", "template").join(by_template, ["host", "template"])
+    return named.select("host", "form", "n", "template").join(by_template, ["host", "template"])
 
 
-def judge(urls: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
+def judge(urls: DataFrame, rules: list[Rule], keep: list[str], most_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``keep`` columns, host, path, rule, verdict, template and purity of every
     row of ``urls`` (url, and bad: 1, 0 or null)."""
-    from .common import written
-
     rows = split_urls(urls)
     told = written(judged_templates(rows.select("host", "form", "bad")), "templates")
-    small = told.count() <= MAX_BROADCAST
     rule, verdict = rule_of(rules)
     tree = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    return rows.join(F.broadcast(told) if small else told, ["host", "form"]).select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, tree).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
+    if told.limit(most_broadcast + 1).count() <= most_broadcast:
+        known = rows.join(F.broadcast(told.drop("n")), ["host", "form"])
+    else:
+        at = F.struct("host", "form")  # one key, neither part of which is null
+        known = hot_join(rows.withColumn("at", at), told.select(at.alias("at"), F.col("n").alias("copies"), "template", "purity"), "at", F.struct(*keep))
+    return known.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, tree).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
 
 def oracle(rules: list[Rule], labelled_sql: str) -> str:
@@ -125,19 +129,19 @@ def oracle(rules: list[Rule], labelled_sql: str) -> str:
     rule = "CASE " + " ".join(f"WHEN {m} THEN '{r}'" for m, r, _ in match) + " END"
     verdict = "CASE " + " ".join(f"WHEN {m} THEN '{k}'" for m, _, k in match) + f" WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END"
     return f"""
-WITH l AS ({labelled_sql}),
+WITH RECURSIVE l AS ({labelled_sql}),
 r AS (SELECT page_id, bad, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM l),
 h AS (SELECT page_id, bad, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 u AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: CASE WHEN length(s) >= {LONG} THEN '*' ELSE s END), '/') AS form FROM h),
 forms AS (SELECT host, form, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM u GROUP BY ALL),
-parts AS (SELECT host, form, n, d AS depth, segs[d] AS seg, array_to_string(segs[1:d - 1], '/') AS above
-          FROM (SELECT *, string_split(form, '/') AS segs, unnest(range(1, len(string_split(form, '/')) + 1)) AS d FROM forms)),
-child AS (SELECT host, depth, above, seg, sum(n) AS n FROM parts GROUP BY ALL),
-node AS (SELECT host, depth, above, count(*) AS kids, sum(n) AS total FROM child GROUP BY ALL),
-wild AS (SELECT host, depth, above, seg FROM child JOIN node USING (host, depth, above) WHERE kids >= {BRANCHES} AND child.n * {BRANCHES} < total),
+-- segs: a form's segments, those before depth d generalised; a step judges segment d over all forms whose generalised beginning is the same
+walk AS (SELECT host, form, n, string_split(form, '/') AS segs, 1 AS d, len(string_split(form, '/')) AS deep FROM forms
+         UNION ALL
+         SELECT host, form, n, CASE WHEN d > deep THEN segs WHEN kids >= {BRANCHES} AND seg_n * {BRANCHES} < total THEN list_concat(list_concat(segs[1:d - 1], ['*']), segs[d + 1:]) ELSE segs END, d + 1, deep
+         FROM (SELECT *, sum(n) OVER (PARTITION BY host, d <= deep, segs[1:d]) AS seg_n, sum(n) OVER (PARTITION BY host, d <= deep, segs[1:d - 1]) AS total,
+                      count(DISTINCT segs[d]) OVER (PARTITION BY host, d <= deep, segs[1:d - 1]) AS kids, max(deep) OVER () AS deepest FROM walk) WHERE d <= deepest),
 named AS (SELECT forms.*, t.template, regexp_replace(t.template, '/[^/]*$', '') AS parent FROM forms JOIN (
-          SELECT p.host, p.form, string_agg(CASE WHEN w.seg IS NULL THEN p.seg ELSE '*' END, '/' ORDER BY p.depth) AS template
-          FROM parts p LEFT JOIN wild w ON p.host = w.host AND p.depth = w.depth AND p.above = w.above AND p.seg = w.seg GROUP BY p.host, p.form) t USING (host, form)),
+          SELECT host, form, array_to_string(arg_max(segs, d), '/') AS template FROM walk GROUP BY host, form) t USING (host, form)),
 branch AS (SELECT host, parent, template, sum(labelled) AS labelled, sum(bad) AS bad FROM named GROUP BY ALL),
 lvl AS (SELECT host, parent, (sum(bad) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS rate FROM branch GROUP BY ALL),
 grp AS (SELECT host, template, CASE WHEN alike THEN parent || '/~' ELSE template END AS merged, alike, labelled, bad FROM (

@@ -81,6 +81,46 @@ def test_language_of_nothing_is_unknown(spark):
     assert {r.lang_pred for r in langid.identify(frame(spark, ODD, lang=None)).collect()} == {"und"}
 
 
+def trigrams_by_brute_force(text):
+    """Trigrams of symbols, letters by code point, other runs as one blank."""
+    out = [0]
+    for c in text.lower():
+        x = ord(c) % (langid.SYMBOLS - 1) + 1 if c.isalpha() else 0
+        if x or out[-1]:
+            out.append(x)
+    if out[-1]:
+        out.append(0)
+    return Counter(zip(out, out[1:], out[2:]))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1 << 20])
+def test_trigrams_do_not_depend_on_slices(monkeypatch, size):
+    monkeypatch.setattr(langid, "SLICE", size)
+    for text in ("a", "ab", "  Grün ist's -- sagt er.  ", "x" + " " * 50, "漢字 und so", "12 34", "", "a" + "!" * 9 + "b" * 5):
+        found = langid._trigrams(text)
+        got = Counter({(int(k) >> 24, int(k) >> 12 & 4095, int(k) & 4095): int(n) for k, n in zip(*found)}) if found else Counter()
+        assert got == trigrams_by_brute_force(text)
+
+
+def test_hypervectors_against_brute_force(monkeypatch):
+    """Bound and bundled trigram by trigram; the blocks of keys change nothing."""
+    monkeypatch.setattr(langid, "KEYS", 5)
+    texts = ["Die Sonne scheint.", None, "", "le soleil", "a"]
+    a, b, c = (x.astype(np.int64) for x in langid._vectors(langid.DIM))
+    want = np.zeros((len(texts), langid.DIM))
+    for row, text in enumerate(texts):
+        for (x, y, z), n in trigrams_by_brute_force(text or "").items():
+            want[row] += n * a[x] * b[y] * c[z]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert np.allclose(langid._encode(texts, langid.DIM), want, atol=1e-6)
+
+
+def test_language_of_very_long_texts(spark):
+    rows = [(1, "x" + " " * 1_200_000), (2, " " * 1_100_000 + "die Sonne"), (3, "!" * 1_100_000)] + [(10 + i, "die Sonne und der Mond") for i in range(8)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, rows)).collect()}
+    assert (got[1], got[2], got[3]) == ("de", "de", "und")
+
+
 def test_edited_texts_and_likeness(spark):
     rows = sorted((r.doc_id, r.text) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect())
     got = {r.doc_id: r for r in syncmers.fingerprints(frame(spark, rows)).collect()}
@@ -171,6 +211,61 @@ def test_media_round_trip(spark):
     assert isomedia.describe(None)[1] == [] and isomedia.describe(b"\0\0\0\x20moov")[1] == []
 
 
+def test_media_tracks_of_another_layout(spark):
+    """Media data behind a 64-bit size, sizes of their own, 64-bit offsets, no
+    table of keyframes, two tracks of which one has gaps, unknown boxes."""
+    import struct
+
+    box, full = isomedia._box, isomedia._full
+    rng = random.Random(2)
+    samples = [bytes([65 + i]) * rng.randrange(1, 40) for i in range(9)]
+    body = b"".join(samples)
+    ftyp = box(b"ftyp", b"mp42", bytes(4))
+    mdat = struct.pack(">I4sQ", 1, b"mdat", 16 + len(body)) + body
+    start = len(ftyp) + 16
+
+    def trak(handler, codec, own, chunks, offsets, runs, keys=None):
+        stbl = [
+            full(b"stsd", struct.pack(">I", 1), box(codec, bytes(60))),
+            full(b"stsz", struct.pack(">II", 0, len(own)), *(struct.pack(">I", len(x)) for x in own)),
+            full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)),
+            full(b"co64", struct.pack(">I", chunks), *(struct.pack(">Q", o) for o in offsets)),
+        ]
+        if keys:
+            stbl.append(full(b"stss", struct.pack(">I", len(keys)), *(struct.pack(">I", k) for k in keys)))
+        mdhd = box(b"mdhd", bytes([1, 0, 0, 0]), bytes(16), struct.pack(">IQ", 90_000, 2**33), bytes(4))
+        return box(b"trak", box(b"mdia", mdhd, full(b"hdlr", bytes(4), handler, bytes(13)), box(b"minf", box(b"free", b"x" * 5), box(b"stbl", *stbl))))
+
+    at = [start + sum(map(len, samples[:i])) for i in range(9)]
+    sound, video = samples[0:3] + samples[6:7], samples[3:6] + samples[7:9]
+    moov = box(b"moov", trak(b"soun", b"mp4a", sound, 2, [at[0], at[6]], [(1, 3, 1), (2, 1, 1)]), trak(b"vide", b"avc1", video, 2, [at[3], at[7]], [(1, 3, 1), (2, 2, 1)], [1, 4]))
+    data = ftyp + box(b"skip", b"abc")[:0] + mdat + moov
+    brand, tracks = isomedia.describe(data)
+    assert (brand, [t.codec for t in tracks]) == ("mp42", ["mp4a", "avc1"])
+    assert [isomedia.payload(data, t) for t in tracks] == [b"".join(sound), b"".join(video)]
+    rows = spark.createDataFrame([(1, data), (2, None), (3, b"junk"), (1, data)], "doc_id long, media binary")
+    got = {r.doc_id: r.tracks for r in isomedia.media_tracks(rows).collect()}
+    assert got[2] == got[3] == []
+    assert [(t.handler, t.codec, t.timescale, t.duration) for t in got[1]] == [("soun", "mp4a", 90_000, 2**33), ("vide", "avc1", 90_000, 2**33)]
+    assert [tuple(k) for k in got[1][0].keyframes] == [(at[i], len(samples[i])) for i in (0, 1, 2, 6)]
+    assert [tuple(k) for k in got[1][1].keyframes] == [(at[i], len(samples[i])) for i in (3, 7)]
+
+
+def test_media_digests_against_the_stored_file(spark):
+    rows = [(1, "a" * 5000), (2, ""), (3, None), (4, "b" * 5000)]
+    got = {r.doc_id: r for r in isomedia.digests(frame(spark, rows)).collect()}
+    files = {r.doc_id: r.media for r in isomedia.store(frame(spark, rows)).collect()}
+    for i, text in rows:
+        data, payload = files[i], isomedia.padded((text or "").encode())
+        r = got[i]
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        (track,) = r.tracks
+        frames = len(payload) // isomedia.FRAME
+        assert (track.handler, track.codec, track.timescale, track.duration) == ("vide", "raw ", isomedia.RATE, frames)
+        assert [bytes(data[k.offset : k.offset + k.length]) for k in track.keyframes] == [payload[f * 192 : f * 192 + 192] for f in range(0, frames, isomedia.KEY_EVERY)]
+    assert got[1].feature != got[4].feature and got[2].feature == got[3].feature
+
+
 def brute_groups(fps, bits):
     root = {f: f for f in fps}
 
@@ -314,6 +409,55 @@ def test_bpe_against_tiktoken(spark):
         assert got[i] == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()), i
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def unbroken(kind, n):
+    rng = random.Random(n)
+    if kind == "random":
+        return "".join(rng.choice(LETTERS) for _ in range(n))
+    if kind == "one letter":
+        return "b" + "a" * (n - 1)
+    if kind == "runs":
+        return "".join(rng.choice("abc") * rng.randrange(1, 90) for _ in range(n // 45))
+    if kind == "signs":
+        return "=-" * (n // 2)
+    return "".join(rng.choice(("the", "ing", "tion", "er", "Über", "漢字", "о")) for _ in range(n // 3))
+
+
+@pytest.mark.parametrize("kind", ["random", "one letter", "runs", "signs", "parts"])
+def test_unbroken_pieces_against_tiktoken(kind):
+    import base64
+
+    import tiktoken
+
+    with open(BPE, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bytebpe.codec(BPE, public_tokenizers.PATTERN)
+    for n in (255, 256, 257, 320, 321, 1000, 20_000):
+        text = unbroken(kind, n)
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == encoding.encode_ordinary(text), n
+
+
+def test_an_unbroken_megabyte_takes_seconds():
+    import time
+
+    codec = bytebpe.codec(BPE, public_tokenizers.PATTERN)
+    for kind in ("random", "one letter"):
+        text = unbroken(kind, 1_000_000)
+        began = time.perf_counter()
+        ids = codec.encode([text])[0]
+        assert time.perf_counter() - began < 20
+        assert codec.decode(ids) == text.encode()
+
+
+def test_bpe_round_trip_through_tables(spark):
+    rows = frame(spark, ODD)
+    back = bytebpe.decode(bytebpe.encode(rows, BPE, public_tokenizers.PATTERN), BPE)
+    assert all(r.decoded.decode() == (r.text or "") for r in back.collect())
+
+
 def test_lattice_sums_over_all_segmentations():
     v = latticelm.vocabulary(PIECES)
     logp = np.log(v.prior)
@@ -337,6 +481,25 @@ def test_lattice_sums_over_all_segmentations():
     assert np.allclose(latticelm.word_logs(v, logp, own), [math.log(total(w)) for w in own])
 
 
+def test_word_tables_of_two_corpora_are_kept_apart(spark):
+    """Workers serve both; the second table must not be scored by the first."""
+    one = frame(spark, [(i, "alpha beta") for i in range(40)])
+    two = frame(spark, [(i, "gamma") for i in range(40)])
+    for _ in range(2):
+        assert all(r.n_known == r.n_tokens == 3 for r in latticelm.score(one, PIECES).collect())
+        assert all(r.n_known == r.n_tokens == 2 for r in latticelm.score(two, PIECES).collect())
+
+
+def test_fitted_probabilities_are_better_on_held_out_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    per_token = {}
+    for fitted in (True, False):
+        r = latticelm.score(docs, PIECES, fitted=fitted).where("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
+        per_token[fitted] = r["sum(score)"] / r["sum(n_tokens)"]
+    print("log10 probability a held-out token, fitted and not:", per_token)
+    assert per_token[True] > per_token[False]
+
+
 @pytest.mark.parametrize("frequent", [300_000, 50])
 def test_scores_against_brute_force(spark, frequent):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()] + [(10_001, None), (10_002, "unheardofword unheardofword the")]
@@ -500,6 +663,51 @@ def test_url_templates_pool_below_wildcards(spark):
     assert (got["h", "/about"], got["g", "/a/b"], got["g", ""]) == ("/about", "/a/b", "")
 
 
+def test_url_oddities_and_the_join_beyond_broadcast(spark, monkeypatch):
+    """Repeated rows, very long paths, clashing columns; forms too many to broadcast, one of them hot."""
+    from quillgrid.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(i, "http://h.tld/hot", i % 2, "x", 1) for i in range(200)] + [(1000 + i, f"http://h.tld/p/{'s' * (i % 5)}/{i}", None, "y", 2) for i in range(50)]
+    rows += [(2000, "http://h.tld/" + "/".join(["d"] * 300), None, "z", 3), (2000, "http://h.tld/" + "/".join(["d"] * 300), None, "z", 3), (2001, None, 1, None, None), (2002, "http://h.tld/" + "q" * 100_000, 0, "", 0)]
+    urls = spark.createDataFrame(rows, "page_id long, url string, bad int, copies string, n int")
+    small = urltree.judge(urls, registry.RULES, ["page_id"]).collect()
+    large = urltree.judge(urls, registry.RULES, ["page_id"], most_broadcast=1).collect()
+    assert sorted(map(repr, small)) == sorted(map(repr, large))
+    assert Counter(r.page_id for r in small) == Counter(r[0] for r in rows)
+
+
+def test_url_oracle_pools_below_wildcards():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT i AS page_id, 'http://h/user/' || chr(97 + CAST(i // 20 AS INT)) || 'x/post-' || chr(97 + CAST(i % 20 AS INT)) || chr(97 + CAST(i // 20 AS INT)) AS url FROM range(200) t(i)")
+    got = con.sql(urltree.oracle(registry.RULES, "SELECT page_id, url, 1 AS bad FROM pages")).df()
+    assert set(got.template) == {"/user/*/*"}
+
+
+def test_warc_urls_with_other_white_space(spark):
+    """White space beyond blanks and tabs belongs to a URL, at its end too."""
+    urls = [f"http://a.b/c{x}" for x in ("\u00a0", "\u3000", "\u2028", "\x85", " ", "\t", "")]
+    rows = [(i, u, f"text {i // 2}") for i, u in enumerate(2 * urls)]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted(r.page_id for r in got) == list(range(14))
+    assert all(r.payload_digest == warc.sha1_base32(f"text {r.page_id // 2}".encode()) for r in got)
+
+
+def test_warc_hot_payload_and_lost_target(spark, monkeypatch):
+    from quillgrid.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(i, f"http://h/{i}", "" if i < 90 else str(i)) for i in range(100)]
+    capture = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(capture).collect()}
+    assert got == {i: ("revisit", 89) if i < 89 else ("response", None) for i in range(100)}
+    monkeypatch.setattr(warc, "lookup", lambda at, wanted: spark.createDataFrame([], "key string, page_id long, payload_bytes long, payload_digest string"))
+    with pytest.raises(Exception, match="no capture for"):
+        warc.read(capture).collect()
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a.b/c", "x"), (2, "http://a.b/d e", "x"), (3, None, None), (4, "http://q.r", ""), (5, "http://a.b/c", "x"), (5, "http://a.b/c", "x"), (None, "u", "y"), (6, "http://l.m", LONG), (7, "http://ü.de/\n", "ü")]
     capture = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
@@ -537,6 +745,15 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, junk, SMALL).collect()} == {3}
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    odd = frame(spark, ODD, source="src1")
+    for name, rows in (("odd", odd), ("empty", odd.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        # without a letter: null, empty, blank and digits; near copies: the words of 5, 6 and 2**40
+        assert sorted((r.doc_id for r in got if r.doc_id is not None)) == ([4, 5, 7] if name == "odd" else [])
+
+
 def test_language_stage_keeps_short_texts(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     short = docs.where("size(split(trim(text), '\\\\s+')) <= 2 AND text RLIKE '\\\\p{L}'")
