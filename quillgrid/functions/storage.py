@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (single-machine tests) a temporary folder
-    of this machine takes its place, set once for the session.
+    Where that setting is absent, a temporary folder of this machine takes its
+    place on a local master, set once for the session; on a cluster, whose
+    machines would not see it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master or 'the cluster'} share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
