@@ -27,9 +27,21 @@ def rounded(col):
     return F.floor(col + F.lit(0.5)).cast("int")
 
 
+def _cell(name: str):
+    """A cell as text: nothing for null, whole confidences without a point, no
+    tabs or line breaks inside of texts."""
+    c = F.col(name)
+    if name == "conf":
+        c = F.when((c == F.floor(c)) & (F.abs(c) < 2**53), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    elif name == "text":
+        c = F.regexp_replace(c, "[\t\r\n]", " ")
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def tsv_lines(words: DataFrame) -> DataFrame:
-    """(src, ord, line): rows as tab-separated text."""
-    return words.select("src", "ord", F.concat_ws("\t", *(F.col(c).cast("int" if c == "conf" else "string").cast("string") for c in TSV_COLUMNS)).alias("line"))
+    """(src, ord, line): rows as tab-separated text, always of all cells; numbers
+    and nulls are read again as they were, a null text as the empty one."""
+    return words.select("src", "ord", F.concat_ws("\t", *map(_cell, TSV_COLUMNS)).alias("line"))
 
 
 def tsv_documents(words: DataFrame) -> DataFrame:
@@ -39,8 +51,9 @@ def tsv_documents(words: DataFrame) -> DataFrame:
 
 
 def _whole(cell: str):
-    """Leading integer of a cell; null where there is none."""
-    return F.expr(rf"try_cast(regexp_extract({cell}, '^\\s*([+-]?[0-9]+)', 1) AS INT)")
+    """Leading integer of a cell; null where there is none.  Most cells are
+    integers and need no pattern."""
+    return F.expr(rf"coalesce(try_cast({cell} AS INT), try_cast(regexp_extract({cell}, '^\\s*([+-]?[0-9]+)', 1) AS INT))")
 
 
 def parse_tsv(files: DataFrame) -> DataFrame:

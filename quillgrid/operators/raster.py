@@ -11,12 +11,27 @@ from pyspark.sql import functions as F
 
 from .graph import components
 
+#: Labels and pixel numbers are y * STRIDE + x, whatever an image's width.
+STRIDE = 1 << 32
 HEX = "printf('#%02x%02x%02x', r, g, b)"
 ROW, COLUMN = "PARTITION BY image_id, y ORDER BY x", "PARTITION BY image_id, x ORDER BY y"
 MARGIN = 2  # brightness by which the foreground exceeds its surroundings
 BLOCK = 15
 
 
+def _known(rows: DataFrame, value: int | float | DataFrame, name: str) -> DataFrame:
+    """``rows`` with a number that holds for all images, or each image's own from
+    a table (image_id, name)."""
+    if isinstance(value, DataFrame):
+        return rows.join(value.select("image_id", name), "image_id")
+    return rows.withColumn(name, F.lit(value))
+
+
+def sizes(pixels: DataFrame) -> DataFrame:
+    """(image_id, width, height) of each image."""
+    return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
 def palette(pixels: DataFrame) -> DataFrame:
     """(image_id, cindex, color): distinct colours from light to dark; an image
     has a bounded palette, its colours are summed before they are ordered."""
@@ -102,6 +117,26 @@ def median_cut(pixels: DataFrame, colours: int) -> DataFrame:
     return pixels.join(at.select("image_id", "g", "bucket").join(mean, ["image_id", "bucket"]), ["image_id", "g"]).select("image_id", "y", "x", "q")
 
 
+def median_cut_rgb(pixels: DataFrame, rounds: int) -> DataFrame:
+    """Quantisation to at most 2^rounds colours: in each round every box of
+    colours is halved by pixels along its widest channel (ties: r, g, b); a box
+    is shown by its rounded mean.
+
+    The rounds run on distinct colours with their counts, one window each, not on
+    pixels.
+    """
+    at = pixels.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n")).withColumn("box", F.lit(0))
+    w = "PARTITION BY image_id, box"
+    for _ in range(rounds):
+        spread = (f"max({c}) OVER ({w}) - min({c}) OVER ({w}) AS d{c}" for c in "rgb")
+        keyed = at.selectExpr("*", *spread).withColumn("k", F.expr("CASE WHEN dr >= dg AND dr >= db THEN r WHEN dg >= db THEN g ELSE b END"))
+        cut = keyed.selectExpr("*", f"sum(n) OVER ({w} ORDER BY k, r, g, b ROWS UNBOUNDED PRECEDING) - n AS before", f"sum(n) OVER ({w}) AS total")
+        at = cut.selectExpr("image_id", "r", "g", "b", "n", "2 * box + CAST(2 * before >= total AS INT) AS box")
+    mean = at.groupBy("image_id", "box").agg(*(F.expr(f"CAST((2 * sum({c} * n) + sum(n)) div (2 * sum(n)) AS INT)").alias(f"q{c}") for c in "rgb"))
+    known = at.select("image_id", "r", "g", "b", "box").join(mean, ["image_id", "box"])
+    return pixels.join(known, ["image_id", "r", "g", "b"]).selectExpr("image_id", "y", "x", "qr AS r", "qg AS g", "qb AS b")
+
+
 def adaptive_mask(pixels: DataFrame) -> DataFrame:
     """Foreground: darker than the mean of the block around it by more than the
     margin; at the border the mean is that of what is there.  Two separable
@@ -113,13 +148,14 @@ def adaptive_mask(pixels: DataFrame) -> DataFrame:
     return both.where(f"v * n > s + {MARGIN} * n").select("image_id", "y", "x")
 
 
-def lines(mask: DataFrame, axis: str, dim: int) -> DataFrame:
+def lines(mask: DataFrame, axis: str, dim: int | DataFrame) -> DataFrame:
     """Opening with a line of dim // 30 pixels (1 at least) along an axis: runs
-    shorter than that vanish, longer ones stay whole."""
-    k = max(1, dim // 30)
+    shorter than that vanish, longer ones stay whole.  dim: the image's side, one
+    for all or (image_id, dim)."""
     other = "y" if axis == "x" else "x"
     runs = mask.selectExpr("*", f"{axis} - row_number() OVER (PARTITION BY image_id, {other} ORDER BY {axis}) AS run")
-    return runs.selectExpr("*", f"count(*) OVER (PARTITION BY image_id, {other}, run) AS n").where(f"n >= {k}").select("image_id", "y", "x")
+    counted = runs.selectExpr("*", f"count(*) OVER (PARTITION BY image_id, {other}, run) AS n")
+    return _known(counted, dim, "dim").where("n >= greatest(1, dim div 30)").select("image_id", "y", "x")
 
 
 def eroded(pixels: DataFrame, threshold: int) -> DataFrame:
@@ -129,31 +165,45 @@ def eroded(pixels: DataFrame, threshold: int) -> DataFrame:
     return bw.selectExpr("image_id", "y", "x", f"least(v, {near}) AS v")
 
 
-def labelled(mask: DataFrame, width: int) -> DataFrame:
-    """(image_id, y, x, label): label is the least y * width + x of the pixel's
-    8-connected component.
+def labelled_each(masks: list[tuple[DataFrame, str]]) -> list[DataFrame]:
+    """(image_id, y, x, label) for each (mask, along): label is the least
+    y * STRIDE + x of the pixel's 8-connected component in its mask.
 
-    Runs of a row are merged first; only runs that touch in adjacent rows become
-    edges, found by an equi-join on the rows' pixels.
+    Runs along an axis are merged first; only runs that touch in adjacent rows (or
+    columns) become edges, found by an equi-join on their pixels.  The edges of all
+    masks go through one search for components.
     """
-    w = "PARTITION BY image_id, y"
-    runs = mask.distinct().selectExpr("*", f"x - row_number() OVER ({w} ORDER BY x) AS run").selectExpr("image_id", "y", "x", f"min(x) OVER ({w}, run) AS x0")
-    node = runs.withColumn("v", F.struct("image_id", (F.col("y").cast("long") * width + F.col("x0")).alias("at")))
-    above = node.select("image_id", (F.col("y") + 1).alias("y"), F.explode(F.array(F.col("x") - 1, "x", F.col("x") + 1)).alias("x"), F.col("v").alias("u"))
-    roots = components(node.select("image_id", "y", "x", "v").join(above, ["image_id", "y", "x"]).select("u", "v").distinct())
-    return node.join(roots, "v", "left").select("image_id", "y", "x", F.coalesce("root", "v")["at"].alias("label"))
+    nodes, edges = [], None
+    for k, (mask, a) in enumerate(masks):
+        o = "y" if a == "x" else "x"
+        w = f"PARTITION BY image_id, {o}"
+        runs = mask.select("image_id", "y", "x").distinct().selectExpr("*", f"{a} - row_number() OVER ({w} ORDER BY {a}) AS run").selectExpr("image_id", "y", "x", f"min({a}) OVER ({w}, run) AS a0")
+        first = {a: F.col("a0"), o: F.col(o)}
+        node = runs.withColumn("v", F.struct(F.lit(k).alias("mask"), "image_id", (first["y"].cast("long") * STRIDE + first["x"]).alias("at")))
+        beside = node.select("image_id", (F.col(o) + 1).alias(o), F.explode(F.array(F.col(a) - 1, a, F.col(a) + 1)).alias(a), F.col("v").alias("u"))
+        own = node.select("image_id", "y", "x", "v").join(beside, ["image_id", "y", "x"]).select("u", "v").distinct()
+        edges = own if edges is None else edges.unionByName(own)
+        nodes.append(node)
+    roots = components(edges)
+    return [node.join(roots, "v", "left").select("image_id", "y", "x", F.coalesce("root", "v")["at"].alias("label")) for node in nodes]
+
+
+def labelled(mask: DataFrame, along: str = "x") -> DataFrame:
+    """``labelled_each`` for one mask."""
+    return labelled_each([(mask, along)])[0]
 
 
 def component_stats(labels: DataFrame) -> DataFrame:
     """Box, area and centre of each component."""
     return labels.groupBy("image_id", "label").agg(
-        F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"), F.round(F.sum("x") / F.count("*"), 6).alias("cx"), F.round(F.sum("y") / F.count("*"), 6).alias("cy")
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"), (F.sum("x") / F.count("*")).alias("cx"), (F.sum("y") / F.count("*")).alias("cy")
     )
 
 
-def long_components(labels: DataFrame, axis: str, least: int) -> DataFrame:
-    """Pixels of components that are at least so long on an axis."""
-    kept = component_stats(labels).where(f"{'w' if axis == 'x' else 'h'} >= {least}").select("image_id", "label")
+def long_components(labels: DataFrame, axis: str, least: int | DataFrame) -> DataFrame:
+    """Pixels of components that are at least so long on an axis; least: one
+    number for all images or (image_id, least)."""
+    kept = _known(component_stats(labels), least, "least").where(f"{'w' if axis == 'x' else 'h'} >= least").select("image_id", "label")
     return labels.join(kept, ["image_id", "label"], "left_semi").select("image_id", "y", "x")
 
 
@@ -163,23 +213,27 @@ def despeckled(labels: DataFrame, most: int) -> DataFrame:
     return labels.join(kept, ["image_id", "label"], "left_semi").select("image_id", "y", "x")
 
 
-def coverage(mask: DataFrame, axis: str, length: int) -> DataFrame:
-    """(image_id, fraction): share of columns (rows) with a pixel."""
-    return mask.select("image_id", axis).distinct().groupBy("image_id").agg(F.round(F.count("*") / length, 6).alias("fraction"))
+def coverage(mask: DataFrame, axis: str, length: int | DataFrame) -> DataFrame:
+    """(image_id, fraction): share of columns (rows) with a pixel; with each
+    image's own length, (image_id, length), images without a pixel have 0."""
+    seen = mask.select("image_id", axis).distinct().groupBy("image_id").agg(F.count("*").alias("n"))
+    if isinstance(length, DataFrame):
+        seen = length.select("image_id", "length").join(seen, "image_id", "left").na.fill(0, ["n"])
+    else:
+        seen = seen.withColumn("length", F.lit(length))
+    return seen.select("image_id", F.round(F.col("n") / F.col("length"), 6).alias("fraction"))
 
 
 def both_masks(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
-def grid_dimensions(stats: DataFrame, separation: float) -> DataFrame:
+def grid_dimensions(stats: DataFrame, separation: float | DataFrame) -> DataFrame:
     """(image_id, rows, cols): clusters of component centres on each axis; one
-    begins where a centre is further than ``separation`` from the last one's
-    first centre.  Centres are rounded to whole pixels and made distinct before
-    the ordered fold, so it runs over at most the image's width or height."""
-
-    def clusters(c: str):
-        fold = "aggregate(array_sort(collect_set(CAST(round({c}) AS INT))), named_struct('n', 0, 'a', CAST(NULL AS INT)), (s, v) -> IF(s.a IS NULL OR v - s.a > {sep}, named_struct('n', s.n + 1, 'a', v), s)).n"
-        return F.expr(fold.format(c=c, sep=separation))
+    begins where a centre is further than ``separation`` (one for all images or
+    (image_id, separation)) from the last one's first centre.  The ordered fold
+    runs over the distinct centres of one image."""
 
-    return stats.groupBy("image_id").agg(clusters("cy").alias("rows"), clusters("cx").alias("cols"))
+    own = _known(stats, separation, "separation").groupBy("image_id").agg(F.array_sort(F.collect_set("cy")).alias("ys"), F.array_sort(F.collect_set("cx")).alias("xs"), F.max("separation").cast("double").alias("sep"))
+    fold = "aggregate({v}, named_struct('n', 0, 'a', CAST(NULL AS DOUBLE)), (s, v) -> IF(s.a IS NULL OR v - s.a > sep, named_struct('n', s.n + 1, 'a', v), s)).n"
+    return own.select("image_id", F.expr(fold.format(v="ys")).alias("rows"), F.expr(fold.format(v="xs")).alias("cols"))

@@ -29,7 +29,13 @@ def kept(s, d):
 
 @query("tsv_emit", f"WITH {v.TSV_FILES} SELECT src, ord, line FROM tsv_lines")
 def tsv_emit(s, d):
-    return ocr.tsv_lines(v.words(s, d))
+    return ocr.tsv_lines(v.torn_words(s, d))
+
+
+@query("tsv_roundtrip", f"WITH {v.TORN} SELECT {COLS} FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY src ORDER BY ord) AS ord, {TRIMMED} AS text) FROM torn)")
+def tsv_roundtrip(s, d):
+    """What is written is read again, missing cells and fractions included."""
+    return ocr.parse_tsv(v.tsv_files(s, d))
 
 
 @query("tsv_parse", f"""WITH {v.TSV_FILES}, sp AS (SELECT src, unnest(string_split(content, chr(10))) AS line, unnest(range(0, len(string_split(content, chr(10))))) AS ord FROM tsv_files),
@@ -42,9 +48,9 @@ def tsv_parse(s, d):
 
 @query("tsv_parse_header", f"""WITH {v.TSV_FILES}, b AS (SELECT src, string_split(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10)) AS l FROM tsv_files),
 e AS (SELECT src, string_split(l[1], chr(9)) AS names, unnest(l[2:]) AS line, unnest(range(1, len(l))) AS ord FROM b WHERE len(l) >= 2)
-SELECT src, ord, string_split(line, chr(9))[list_position(names, 'word_num')] AS word_num, string_split(line, chr(9))[list_position(names, 'left')] AS "left", string_split(line, chr(9))[list_position(names, 'conf')] AS conf FROM e""")
+SELECT src, ord, {", ".join(f"string_split(line, chr(9))[list_position(names, '{c}')] AS \"{c}\"" for c in v.TSV_COLUMNS)} FROM e""")
 def tsv_parse_header(s, d):
-    return ocr.parse_tsv_by_header(v.tsv_files(s, d)).select("src", "ord", *(F.col("row")[c].alias(c) for c in ("word_num", "left", "conf")))
+    return ocr.parse_tsv_by_header(v.tsv_files(s, d)).select("src", "ord", *(F.col("row")[c].alias(c) for c in v.TSV_COLUMNS))
 
 
 @query("words_by_level", f"{W}, {KEPT} SELECT {COLS} FROM kept")

@@ -10,12 +10,13 @@ from .registry import query
 PAL = f"""{v.RGB}, colours AS (SELECT DISTINCT image_id, r, g, b FROM rgb),
 pal AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY r DESC, g DESC, b DESC) - 1 AS INTEGER) AS cindex, format('#{{:02x}}{{:02x}}{{:02x}}', r, g, b) AS color, r, g, b FROM colours)"""
 WIDTH = 64
+STRIDE = r.STRIDE
 WEB = [(0, 255, 255, 255), (1, 160, 160, 160), (2, 96, 96, 96), (3, 160, 32, 32), (4, 32, 160, 32), (5, 32, 32, 160), (6, 0, 0, 0)]
 #: Components by a recursive walk from each pixel to smaller labels.
-LABELS = f"""{v.MASK}, nb AS (SELECT a.image_id, a.y * {WIDTH} + a.x AS u, b.y * {WIDTH} + b.x AS v FROM mask a JOIN mask b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+LABELS = f"""{v.MASK}, nb AS (SELECT a.image_id, a.y * {STRIDE} + a.x AS u, b.y * {STRIDE} + b.x AS v FROM mask a JOIN mask b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
 walk AS (SELECT image_id, u AS root, u AS px FROM nb UNION SELECT walk.image_id, walk.root, nb.v FROM walk JOIN nb ON nb.image_id = walk.image_id AND nb.u = walk.px),
-labels AS (SELECT image_id, CAST(px // {WIDTH} AS INTEGER) AS y, CAST(px % {WIDTH} AS INTEGER) AS x, CAST(min(root) AS BIGINT) AS label FROM walk GROUP BY image_id, px)"""
-STATS = f"""{LABELS}, stats AS (SELECT image_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, round(sum(x) / count(*), 6) AS cx, round(sum(y) / count(*), 6) AS cy FROM labels GROUP BY ALL)"""
+labels AS (SELECT image_id, CAST(px // {STRIDE} AS INTEGER) AS y, CAST(px % {STRIDE} AS INTEGER) AS x, CAST(min(root) AS BIGINT) AS label FROM walk GROUP BY image_id, px)"""
+STATS = f"""{LABELS}, stats AS (SELECT image_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, sum(x) / count(*) AS cx, sum(y) / count(*) AS cy FROM labels GROUP BY ALL)"""
 RUNS = """(SELECT image_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY image_id, {o}, run) AS n FROM (SELECT *, {a} - row_number() OVER (PARTITION BY image_id, {o} ORDER BY {a}) AS run FROM {m})) WHERE n >= {k})"""
 
 
@@ -150,7 +151,7 @@ def mask_intersection(s, d):
 
 
 def labels(s, d):
-    return r.labelled(v.mask(s, d), WIDTH)
+    return r.labelled(v.mask(s, d))
 
 
 @query("connected_components", f"WITH RECURSIVE {LABELS} SELECT * FROM labels")
@@ -173,27 +174,70 @@ def despeckle(s, d):
     return r.despeckled(labels(s, d), 2)
 
 
-def _steps(c, name):
-    """Clusters by jumping from anchor to anchor."""
-    return f"""{name}c AS (SELECT DISTINCT image_id, CAST(round({c}) AS INTEGER) AS v FROM stats),
-{name} AS (SELECT image_id, min(v) AS a, 1 AS n FROM {name}c GROUP BY image_id UNION ALL SELECT {name}.image_id, (SELECT min(v) FROM {name}c t WHERE t.image_id = {name}.image_id AND t.v - {name}.a > 8), n + 1 FROM {name}
-  WHERE EXISTS (SELECT 1 FROM {name}c t WHERE t.image_id = {name}.image_id AND t.v - {name}.a > 8))"""
+def _steps(name, axis, source, apart):
+    """Clusters on an axis: from each centre to the least one that is further
+    than the separation away, starting at the least of the image."""
+    return f"""{name}c AS (SELECT DISTINCT image_id, sum({axis})::DOUBLE / count(*) AS v, {apart} AS apart FROM {source} GROUP BY image_id, label, apart),
+{name}n AS (SELECT a.image_id, a.v, min(b.v) AS following FROM {name}c a LEFT JOIN {name}c b ON a.image_id = b.image_id AND b.v - a.v > a.apart GROUP BY a.image_id, a.v),
+{name} AS (SELECT image_id, min(v) AS v, 1 AS n FROM {name}c GROUP BY image_id UNION ALL SELECT {name}.image_id, {name}n.following, n + 1 FROM {name} JOIN {name}n ON {name}.image_id = {name}n.image_id AND {name}.v = {name}n.v WHERE following IS NOT NULL)"""
 
 
-@query("grid_dimensions", f"WITH RECURSIVE {STATS}, {_steps('cy', 'gy')}, {_steps('cx', 'gx')} SELECT image_id, CAST(max(gy.n) AS INTEGER) AS rows, CAST(max(gx.n) AS INTEGER) AS cols FROM gy JOIN gx USING (image_id) GROUP BY image_id")
+@query("grid_dimensions", f"""WITH RECURSIVE {LABELS}, lab AS (SELECT *, 8 AS apart FROM labels), {_steps('gy', 'y', 'lab', 'apart')}, {_steps('gx', 'x', 'lab', 'apart')}
+SELECT image_id, CAST((SELECT max(n) FROM gy WHERE gy.image_id = i.image_id) AS INTEGER) AS rows, CAST((SELECT max(n) FROM gx WHERE gx.image_id = i.image_id) AS INTEGER) AS cols FROM (SELECT DISTINCT image_id FROM lab) i""")
 def grid_dimensions(s, d):
     return r.grid_dimensions(r.component_stats(labels(s, d)), 8)
 
 
-@query("classify_image", f"""WITH {v.PIXELS}, size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY ALL),
-a AS (SELECT *, 255 - g AS v, sum(255 - g) OVER (PARTITION BY image_id, y ORDER BY x {FRAME}) AS s1, count(*) OVER (PARTITION BY image_id, y ORDER BY x {FRAME}) AS n1 FROM pixels),
-b AS (SELECT *, sum(s1) OVER (PARTITION BY image_id, x ORDER BY y {FRAME}) AS s, sum(n1) OVER (PARTITION BY image_id, x ORDER BY y {FRAME}) AS n FROM a),
-mask AS (SELECT image_id, y, x FROM b WHERE v * n > s + 2 * n),
-hl AS {runs('mask', 'x', 3)}, vl AS {runs('mask', 'y', 3)},
+def _pieces(name, mask):
+    """Pixels of a mask with the component they belong to, by a walk."""
+    return f"""{name}n AS (SELECT a.image_id, a.y * {STRIDE} + a.x AS u, b.y * {STRIDE} + b.x AS v FROM {mask} a JOIN {mask} b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+{name}w AS (SELECT image_id, u AS root, u AS px FROM {name}n UNION SELECT {name}w.image_id, {name}w.root, {name}n.v FROM {name}w JOIN {name}n ON {name}n.image_id = {name}w.image_id AND {name}n.u = {name}w.px),
+{name} AS (SELECT image_id, px // {STRIDE} AS y, px % {STRIDE} AS x, min(root) AS label FROM {name}w GROUP BY image_id, px)"""
+
+
+def _long(name, axis, side):
+    """Erosion and dilation on the dense grid with an image's own line, then the
+    components that reach 0.4 of its side; sides are those of the image."""
+    o = "y" if axis == "x" else "x"
+    # a pixel stays if some k pixels in a row about it are all set
+    return f"""{name}k AS (SELECT *, greatest(1, {side} // 30) AS k FROM fg JOIN size USING (image_id)),
+{name}s AS (SELECT a.image_id, a.{o} AS o, a.{axis} AS s, any_value(a.k) AS k FROM {name}k a JOIN {name}k b ON a.image_id = b.image_id AND a.{o} = b.{o} AND b.{axis} BETWEEN a.{axis} AND a.{axis} + a.k - 1 GROUP BY ALL HAVING count(*) = any_value(a.k)),
+{name}m AS (SELECT DISTINCT image_id, {'o AS y, s + i AS x' if axis == 'x' else 's + i AS y, o AS x'} FROM {name}s, LATERAL (SELECT unnest(range(0, k)) AS i)),
+{_pieces(name + 'c', name + 'm')},
+{name} AS (SELECT c.image_id, c.y, c.x FROM {name}c c JOIN size USING (image_id) WHERE (c.image_id, c.label) IN (
+  SELECT (l.image_id, l.label) FROM {name}c l JOIN size USING (image_id) GROUP BY l.image_id, l.label HAVING max(l.{axis}) - min(l.{axis}) + 1 >= greatest(4, CAST(floor(0.4::DOUBLE * any_value({side})) AS BIGINT))))"""
+
+
+@query("classify_image", f"""WITH RECURSIVE {v.RULED}, size AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM ruled GROUP BY ALL),
+th AS (SELECT p.image_id, p.y, p.x, 255 - any_value(p.g) AS own, avg(255 - q.g) AS around FROM ruled p JOIN ruled q ON p.image_id = q.image_id AND q.x BETWEEN p.x - 7 AND p.x + 7 AND q.y BETWEEN p.y - 7 AND p.y + 7 GROUP BY ALL),
+fg AS (SELECT image_id, y, x FROM th WHERE own > around + 2),
+{_long('hl', 'x', 'width')}, {_long('vl', 'y', 'height')},
+inter AS (SELECT image_id, y, x FROM hl INTERSECT SELECT image_id, y, x FROM vl), {_pieces('cross_', 'inter')},
+cr AS (SELECT *, (SELECT greatest(8, least(width, height) // 100) FROM size WHERE size.image_id = cross_.image_id) AS apart FROM cross_),
+{_steps('gy', 'y', 'cr', 'apart')}, {_steps('gx', 'x', 'cr', 'apart')},
+n AS (SELECT image_id, count(DISTINCT label) AS n FROM cross_ GROUP BY image_id), gr AS (SELECT image_id, max(n) AS n FROM gy GROUP BY image_id), gc AS (SELECT image_id, max(n) AS n FROM gx GROUP BY image_id),
 hc AS (SELECT image_id, count(DISTINCT x) AS n FROM hl GROUP BY image_id), vc AS (SELECT image_id, count(DISTINCT y) AS n FROM vl GROUP BY image_id),
-x AS (SELECT image_id, count(*) AS n FROM (SELECT * FROM hl INTERSECT SELECT * FROM vl) GROUP BY image_id)
-SELECT image_id, CAST(coalesce(x.n, 0) AS BIGINT) AS crossings, round(coalesce(hc.n, 0) / size.w, 6) AS h_coverage, round(coalesce(vc.n, 0) / size.h, 6) AS v_coverage,
-  NOT (coalesce(x.n, 0) >= 5 AND coalesce(hc.n, 0) / size.w >= 0.25 AND coalesce(vc.n, 0) / size.h >= 0.25) AS is_table
-FROM size LEFT JOIN hc USING (image_id) LEFT JOIN vc USING (image_id) LEFT JOIN x USING (image_id)""")
+f AS (SELECT size.image_id, coalesce(n.n, 0) AS crossings, CAST(coalesce(gr.n, 0) AS INTEGER) AS rows, CAST(coalesce(gc.n, 0) AS INTEGER) AS cols, round(coalesce(hc.n, 0) / width, 6) AS h_coverage, round(coalesce(vc.n, 0) / height, 6) AS v_coverage
+  FROM size LEFT JOIN n USING (image_id) LEFT JOIN gr USING (image_id) LEFT JOIN gc USING (image_id) LEFT JOIN hc USING (image_id) LEFT JOIN vc USING (image_id))
+SELECT *, NOT (crossings >= 5 AND h_coverage >= 0.25 AND v_coverage >= 0.25) AS is_table FROM f""")
 def classify_image(s, d):
-    return classify.classified(v.pixels(s, d), line=3)
+    return classify.classified(v.ruled(s, d))
+
+
+def _halved(rounds):
+    """Median cut round by round on distinct colours."""
+    out = "m0 AS (SELECT image_id, r, g, b, count(*) AS n, 0 AS box FROM rgb GROUP BY ALL)"
+    for i in range(rounds):
+        out += f""",
+d{i} AS (SELECT image_id, box, max(r) - min(r) AS dr, max(g) - min(g) AS dg, max(b) - min(b) AS db, sum(n) AS total FROM m{i} GROUP BY ALL),
+k{i} AS (SELECT m{i}.*, total, CASE WHEN dr >= dg AND dr >= db THEN r WHEN dg >= db THEN g ELSE b END AS k FROM m{i} JOIN d{i} USING (image_id, box)),
+b{i} AS (SELECT a.image_id, a.r, a.g, a.b, coalesce(sum(o.n), 0) AS before FROM k{i} a LEFT JOIN k{i} o ON a.image_id = o.image_id AND a.box = o.box AND (o.k, o.r, o.g, o.b) < (a.k, a.r, a.g, a.b) GROUP BY ALL),
+m{i + 1} AS (SELECT image_id, r, g, b, n, 2 * box + CAST(2 * before >= total AS INTEGER) AS box FROM k{i} JOIN b{i} USING (image_id, r, g, b))"""
+    return out
+
+
+@query("quantize_rgb", f"""WITH {v.RGB}, {_halved(3)},
+q AS (SELECT image_id, box, {", ".join(f"CAST((2 * sum({c} * n) + sum(n)) // (2 * sum(n)) AS INTEGER) AS q{c}" for c in "rgb")} FROM m3 GROUP BY ALL)
+SELECT image_id, y, x, qr AS r, qg AS g, qb AS b FROM rgb JOIN m3 USING (image_id, r, g, b) JOIN q USING (image_id, box)""")
+def quantize_rgb(s, d):
+    return r.median_cut_rgb(v.rgb(s, d), 3)

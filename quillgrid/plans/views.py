@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TSV_COLUMNS = ["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"]
+from ..operators.ocr import TSV_COLUMNS
+
+#: An image is made of the vectors of one label among so many consecutive ids.
+IMAGE = "vec_id {div} 640 * 100 + label"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +26,7 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return each.selectExpr(
         "src", "5 AS level", "1 AS page_num", "1 + line_num div 50 AS block_num", "1 + line_num % 3 AS par_num", "line_num", "w + 1 AS word_num",
         "line_num * 1000000L + w + 1 AS ord", f"50 + {before} AS left", "100 + 40 * line_num + length(text) % 3 AS top", "10 * length(text) AS width",
-        "20 + length(text) % 7 AS height", "CAST(((w + 1) * 37 + length(text) * 11) % 100 AS DOUBLE) AS conf", "text",
+        "20 + length(text) % 7 AS height", "CAST(((w + 1) * 37 + length(text) * 11) % 100 AS DOUBLE) + w % 4 * 0.25D AS conf", "text",
     ).selectExpr("src", "ord", *(f"CAST({c} AS INT) AS {c}" if c not in ("conf", "text") else c for c in TSV_COLUMNS))
 
 
@@ -34,7 +37,7 @@ words AS (SELECT src, CAST(line_num * 1000000 + word_num AS BIGINT) AS ord, 5 AS
   CAST(line_num AS INTEGER) AS line_num, CAST(word_num AS INTEGER) AS word_num,
   CAST(50 + coalesce(sum(10 * length(text) + 5 + (length(text) * 7) % 23) OVER (PARTITION BY src, line_num ORDER BY word_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS "left",
   CAST(100 + 40 * line_num + length(text) % 3 AS INTEGER) AS top, CAST(10 * length(text) AS INTEGER) AS width, CAST(20 + length(text) % 7 AS INTEGER) AS height,
-  CAST((word_num * 37 + length(text) * 11) % 100 AS DOUBLE) AS conf, text FROM wd)"""
+  CAST((word_num * 37 + length(text) * 11) % 100 AS DOUBLE) + (word_num - 1) % 4 * 0.25::DOUBLE AS conf, text FROM wd)"""
 
 
 def pages_level1(spark: SparkSession, d: str) -> DataFrame:
@@ -48,45 +51,66 @@ level1 AS (SELECT doc_id AS src, CAST(o AS BIGINT) AS ord, 1 AS level, CAST(1000
   FROM (SELECT doc_id, unnest(range(0, 1 + CAST(doc_id % 3 = 0 AS INTEGER))) AS o FROM documents))"""
 
 
+def torn_words(spark: SparkSession, d: str) -> DataFrame:
+    """Word rows with missing cells."""
+    return words(spark, d).selectExpr("src", "ord", *(f"CASE WHEN word_num % 9 = {k} THEN NULL ELSE {c} END AS {c}" if (k := {"par_num": 2, "top": 3, "conf": 4}.get(c)) else c for c in TSV_COLUMNS))
+
+
+TORN = f"""{WORDS},
+torn AS (SELECT * REPLACE (CASE WHEN word_num % 9 = 2 THEN NULL ELSE par_num END AS par_num, CASE WHEN word_num % 9 = 3 THEN NULL ELSE top END AS top, CASE WHEN word_num % 9 = 4 THEN NULL ELSE conf END AS conf) FROM words)"""
+
+
 def tsv_files(spark: SparkSession, d: str) -> DataFrame:
     """(src, content): the OCR table of each document as one TSV text."""
     from ..operators import ocr
 
-    return ocr.tsv_documents(words(spark, d))
+    return ocr.tsv_documents(torn_words(spark, d))
 
 
-TSV_FILES = f"""{WORDS},
-tsv_lines AS (SELECT src, ord, concat_ws(chr(9), level, page_num, block_num, par_num, line_num, word_num, "left", top, width, height, CAST(conf AS INTEGER), text) AS line FROM words),
+#: The writer's rule, cell by cell: nothing for null, whole numbers without a point.
+_CELLS = " || chr(9) || ".join(
+    "coalesce(CASE WHEN conf = floor(conf) THEN CAST(CAST(conf AS BIGINT) AS VARCHAR) ELSE CAST(conf AS VARCHAR) END, '')" if c == "conf" else f'coalesce(CAST("{c}" AS VARCHAR), \'\')' for c in TSV_COLUMNS
+)
+TSV_FILES = f"""{TORN},
+tsv_lines AS (SELECT src, ord, {_CELLS} AS line FROM torn),
 tsv_files AS (SELECT src, '{chr(9).join(TSV_COLUMNS)}' || chr(10) || string_agg(line, chr(10) ORDER BY ord) AS content FROM tsv_lines GROUP BY src)"""
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """One-channel images: a label's vectors by id are the rows."""
-    e = table(spark, d, "embeddings").selectExpr("label AS image_id", "CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS y", "embedding")
+    """One-channel images of at most 640 rows: a label's vectors by id."""
+    image = IMAGE.format(div="div")
+    e = table(spark, d, "embeddings").selectExpr(f"{image} AS image_id", f"CAST(row_number() OVER (PARTITION BY {image} ORDER BY vec_id) - 1 AS INT) AS y", "embedding")
     return e.selectExpr("image_id", "y", "posexplode(embedding) AS (x, v)").selectExpr("image_id", "y", "x", "CAST(greatest(0, least(255, floor(CAST(v AS DOUBLE) * 256 + 128))) AS INT) AS g")
 
 
-PIXELS = """
-er AS (SELECT label AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS y, embedding FROM embeddings),
+PIXELS = f"""
+er AS (SELECT {IMAGE.format(div="//")} AS image_id, CAST(row_number() OVER (PARTITION BY {IMAGE.format(div="//")} ORDER BY vec_id) - 1 AS INTEGER) AS y, embedding FROM embeddings),
 px AS (SELECT image_id, y, unnest(range(0, len(embedding))) AS x, unnest(embedding) AS v FROM er),
 pixels AS (SELECT image_id, y, CAST(x AS INTEGER) AS x, CAST(greatest(0, least(255, floor(CAST(v AS DOUBLE) * 256 + 128))) AS INTEGER) AS g FROM px)"""
 
+RULED_SQL = "CASE WHEN (y % (5 + image_id % 5) = 2 OR x % (7 + image_id % 4) = 3) AND g % 16 > image_id % 3 - 1 THEN 20 ELSE 220 + g {div} 128 END"
+
+
+def ruled(spark: SparkSession, d: str) -> DataFrame:
+    """The images with dark lines across and down, which break here and there."""
+    return pixels(spark, d).selectExpr("image_id", "y", "x", f"CAST({RULED_SQL.format(div='div')} AS INT) AS g")
 
-def rgb(spark: SparkSession, d: str) -> DataFrame:
-    """Colour images: three neighbouring values of ``pixels`` are one pixel; few distinct colours."""
-    p = pixels(spark, d).where("x < 63")
-    return p.groupBy("image_id", "y", (p.x / 3).cast("int").alias("x")).agg(*(_channel(i, c) for i, c in enumerate("rgb")))
 
+RULED = f"{PIXELS}, ruled AS (SELECT image_id, y, x, CAST({RULED_SQL.format(div='//')} AS INTEGER) AS g FROM pixels)"
 
-def _channel(i: int, name: str):
+
+def rgb(spark: SparkSession, d: str) -> DataFrame:
+    """Colour images: three neighbouring values of ``pixels`` are one pixel (at the
+    end of a row what is missing is 0); few distinct colours."""
     from pyspark.sql import functions as F
 
-    return F.max(F.expr(f"CASE WHEN x % 3 = {i} THEN CAST(g div 64 * 64 + 32 AS INT) END")).alias(name)
+    p = pixels(spark, d)
+    return p.groupBy("image_id", "y", F.expr("x div 3").cast("int").alias("x")).agg(*(F.coalesce(F.max(F.expr(f"CASE WHEN x % 3 = {i} THEN CAST(g div 64 * 64 + 32 AS INT) END")), F.lit(0)).alias(c) for i, c in enumerate("rgb")))
 
 
 RGB = f"""{PIXELS},
-rgb AS (SELECT image_id, y, CAST(x // 3 AS INTEGER) AS x, {", ".join(f"max(CASE WHEN x % 3 = {i} THEN CAST(g // 64 * 64 + 32 AS INTEGER) END) AS {c}" for i, c in enumerate("rgb"))}
-  FROM pixels WHERE x < 63 GROUP BY image_id, y, x // 3)"""
+rgb AS (SELECT image_id, y, CAST(x // 3 AS INTEGER) AS x, {", ".join(f"coalesce(max(CASE WHEN x % 3 = {i} THEN CAST(g // 64 * 64 + 32 AS INTEGER) END), 0) AS {c}" for i, c in enumerate("rgb"))}
+  FROM pixels GROUP BY image_id, y, x // 3)"""
 
 
 def mask(spark: SparkSession, d: str, least: int = 165) -> DataFrame:
