@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
 CELL = 32
 FILL = "#666666"
 FONT = "Arial, sans-serif"
@@ -41,6 +43,27 @@ def cumulative_transforms(paths: DataFrame) -> DataFrame:
     return paths.withColumn("m", F.expr(fold))
 
 
+def tree_transforms(nodes: DataFrame) -> DataFrame:
+    """(page, node_id, sx, sy, tx, ty): the cumulative transform of each element of
+    a tree, from (page, node_id, parent_id, tag, transform).
+
+    Ancestors count up to the nearest svg, which does not.  Transforms of a chain
+    join two by two, so pointers double in each round: as many rounds, each written
+    to the shared folder, as the depth has binary digits.  Elements whose parent is
+    missing end there; circles of parents are an error.
+    """
+    own = nodes.withColumn("m", F.expr(transform_sql("coalesce(transform, '')"))).where("lower(tag) <> 'svg'")
+    now = written(own.join(own.select("page", F.col("node_id").alias("parent_id"), F.lit(True).alias("goes_on")), ["page", "parent_id"], "left").select("page", "node_id", F.when(F.col("goes_on"), F.col("parent_id")).alias("up"), "m.*"), "tree")
+    for _ in range(64):
+        if now.where("up IS NOT NULL").isEmpty():
+            return now.select("page", "node_id", "sx", "sy", "tx", "ty")
+        above = now.select("page", F.col("node_id").alias("up"), F.col("up").alias("further"), *(F.col(c).alias(f"a{c}") for c in ("sx", "sy", "tx", "ty")))
+        both = now.join(above, ["page", "up"], "left")
+        outer = lambda c: F.coalesce(f"a{c}", F.lit(float(c[0] == "s")))
+        now = written(both.select("page", "node_id", F.col("further").alias("up"), *((outer(f"s{k}") * F.col(f"s{k}")).alias(f"s{k}") for k in "xy"), *((outer(f"t{k}") + F.col(f"t{k}") * outer(f"s{k}")).alias(f"t{k}") for k in "xy")), "tree")
+    raise ValueError("elements whose parents run in a circle")
+
+
 def start_points(paths: DataFrame) -> DataFrame:
     """(page, path_id, path_ord, x, y) of paths that begin with a move command."""
     at = cumulative_transforms(paths)

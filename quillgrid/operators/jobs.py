@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,111 @@ def collisions(plan: DataFrame) -> DataFrame:
     return plan.groupBy("output").agg(F.count("*").alias("n_inputs"), F.min("ord").alias("first_ord")).where("n_inputs > 1")
 
 
-def argument_status(rows: DataFrame, low: float, high: float | None) -> DataFrame:
-    """``status`` of a text argument: ok, not a number, or out of range."""
+def _pattern(arg: Column, brackets: bool) -> Column:
+    """A wildcard path as a regular expression: * and ? stay within a folder and
+    don't begin a hidden name; brackets are letters unless they are classes."""
+    plain = F.regexp_replace(arg, r"([.+^$(){}|\\])", r"\\$1")
+    if brackets:
+        plain = F.regexp_replace(plain, r"\[!", "[^")
+    else:
+        plain = F.regexp_replace(plain, r"([\[\]])", r"\\$1")
+    hidden = F.regexp_replace(plain, r"(^|/)(?=[*?])", r"$1(?!\\.)")
+    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(hidden, r"\*", "[^/]*"), r"(?<!\()\?", "[^/]"), F.lit("$"))
+
+
+def expanded_inputs(args: DataFrame, listing: DataFrame, brackets: bool = False, missing: bool = True, duplicates: bool = False) -> DataFrame:
+    """(ord, path): the files that arguments (ord, arg) name, of those listed (path).
+
+    Arguments with * or ? take the listed files that match, others themselves;
+    without ``missing`` only if they are listed.  With ``brackets`` these are
+    character classes.  Of a file that comes several times the first counts,
+    unless ``duplicates``.  Arguments meet files of their folder only, or, if the
+    folder has wildcards, files at their depth: an equi-join on either.
+    """
+    marks = r"[*?\[]" if brackets else "[*?]"
+    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+    depth = lambda c: F.concat(F.lit("#"), F.size(F.split(c, "/")).cast("string"))
+    wild = args.where(F.col("arg").rlike(marks)).withColumn("at", F.when(folder(F.col("arg")).rlike(marks), depth(F.col("arg"))).otherwise(folder(F.col("arg"))))
+    files = listing.select("path").distinct()
+    met = files.withColumn("at", F.explode(F.array(folder(F.col("path")), depth(F.col("path"))))).join(wild.withColumn("pattern", _pattern(F.col("arg"), brackets)), "at")
+    found = met.where(F.rlike("path", "pattern")).select("ord", "path")
+    plain = args.where(~F.col("arg").rlike(marks)).select("ord", F.col("arg").alias("path"))
+    found = found.unionByName(plain if missing else plain.join(files, "path", "left_semi"))
+    return found if duplicates else found.groupBy("path").agg(F.min("ord").alias("ord")).select("ord", "path")
+
+
+def absolute(rows: DataFrame, root: str, col: str = "path") -> DataFrame:
+    """``rows`` with ``absolute``: the path from the root, without . and .. parts."""
+    whole = F.when(F.col(col).startswith("/"), F.col(col)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col(col)))
+    parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    return rows.withColumn("absolute", F.concat(F.lit("/"), F.array_join(folded, "/")))
+
+
+def argument_status(rows: DataFrame, low: float, high: float | None, kind: str = "float") -> DataFrame:
+    """``status`` of a text argument: ok, not of its kind (int or float), or out of range."""
     n = F.col("value").try_cast("double")
+    if kind == "int":
+        n = F.when(F.col("value").rlike(r"^\s*[+-]?[0-9]+\s*$"), n)
+    name = {"int": "an integer", "float": "a number"}[kind]
     inside = (n >= low) & (n <= high) if high is not None else n >= low
-    limits = f"{low:g} to {high:g}" if high is not None else f"{low:g} or more"
-    return rows.withColumn("status", F.when(n.isNull(), "must be a number").when(inside, "ok").otherwise(f"must be {limits}"))
+    limits = f"between {low:g} and {high:g}" if high is not None else f"{low:g} or greater"
+    return rows.withColumn("status", F.when(n.isNull(), f"must be {name}").when(inside, "ok").otherwise(f"must be {limits}"))
+
+
+#: Options of a run with kind, least, most, default and choices (fixed values).
+OPTIONS = [
+    ("colors", "int", 0.0, 256.0, None, None),
+    ("quantization", "choice", None, None, "mc", "mc,as,nq"),
+    ("remap", "text", None, None, None, None),
+    ("prescale", "float", 0.0, None, "2", None),
+    ("despeckle", "int", 0.0, None, "2", None),
+    ("smoothcorners", "float", 0.0, 1.334, "1.0", None),
+    ("optimizepaths", "float", 0.0, 5.0, "0.2", None),
+    ("cores", "int", 0.0, None, None, None),
+    ("stack", "flag", None, None, "false", None),
+    ("background", "flag", None, None, "false", None),
+    ("floydsteinberg", "flag", None, None, "false", None),
+    ("riemersma", "flag", None, None, "false", None),
+]
+#: Of each of these pairs a run may set one; of the first it must.
+EXCLUSIVE = [("colors", "remap"), ("floydsteinberg", "riemersma")]
+
+
+def option_values(given: DataFrame, options: list[tuple] = OPTIONS) -> DataFrame:
+    """(run_id, option, value, status) for every option of every run of (run_id,
+    option, value): what is given or the default, and what is wrong with it.
+
+    The last value of an option counts (order: ``ord``); an option that does not
+    exist has the status ``unknown``.  The table of options is one of a dozen rows.
+    """
+    spark = given.sparkSession
+    known = spark.createDataFrame(options, "option string, kind string, low double, high double, default string, choices string")
+    last = given.groupBy("run_id", "option").agg(F.max_by("value", "ord").alias("value"))
+    wanted = given.select("run_id").distinct().crossJoin(F.broadcast(known))
+    both = wanted.join(last, ["run_id", "option"], "full")
+    n = F.when((F.col("kind") != "int") | F.col("value").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.col("value").try_cast("double"))
+    numeric = F.col("kind").isin("int", "float")
+    limits = F.when(F.col("high").isNull(), F.concat(F.format_string("%.3f", "low"), F.lit(" or greater"))).otherwise(F.concat(F.lit("between "), F.format_string("%.3f", "low"), F.lit(" and "), F.format_string("%.3f", "high")))
+    status = (
+        F.when(F.col("kind").isNull(), "unknown")
+        .when(F.col("value").isNull(), "default")
+        .when(numeric & n.isNull(), F.concat(F.lit("must be "), F.when(F.col("kind") == "int", "an integer").otherwise("a number")))
+        .when(numeric & ((n < F.col("low")) | (n > F.coalesce("high", n))), F.concat(F.lit("must be "), limits))
+        .when((F.col("kind") == "choice") & ~F.array_contains(F.split("choices", ","), F.col("value")), F.concat(F.lit("must be one of "), F.col("choices")))
+        .when((F.col("kind") == "flag") & ~F.col("value").isin("true", "false"), "must be true or false")
+        .otherwise("ok")
+    )
+    return both.select("run_id", "option", F.coalesce("value", "default").alias("value"), status.alias("status"))
+
+
+def exclusive_errors(given: DataFrame) -> DataFrame:
+    """(run_id, error): runs that set both options of a pair, or neither of the
+    one that must be set."""
+    seen = given.groupBy("run_id").agg(F.collect_set("option").alias("o"))
+    has = lambda name: F.array_contains("o", name)
+    errors = [F.when(has(a) & has(b), F.lit(f"{b} not allowed with {a}")) for a, b in EXCLUSIVE] + [F.when(~has(EXCLUSIVE[0][0]) & ~has(EXCLUSIVE[0][1]), F.lit(f"one of {EXCLUSIVE[0][0]} and {EXCLUSIVE[0][1]} is required"))]
+    return seen.select("run_id", F.explode(F.array_compact(F.array(*errors))).alias("error"))
 
 
 def option_errors(options: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAG = r"(?i)<svg[^>]*>"
+SVG = "http://www.w3.org/2000/svg"
 
 
 def stripped(svg: Column) -> Column:
@@ -35,17 +36,19 @@ def merged(docs: DataFrame) -> DataFrame:
 
 def prefixed(nodes: DataFrame) -> DataFrame:
     """Attributes (a map) with a document's prefix put before ids, local links
-    in link attributes and url(#...) elsewhere."""
+    in link attributes and url(#...) elsewhere; elements whose ``namespace`` is not
+    that of svg stay as they are."""
     p = F.col("prefix")
+    literal = F.regexp_replace(p, r"([\\$])", r"\\$1")  # a dollar or backslash is no reference
 
     def fixed(k: Column, v: Column) -> Column:
         return (
             F.when(k == "id", F.concat(p, v))
             .when(k.startswith("xlink:"), F.when(v.startswith("#"), F.concat(F.lit("#"), p, F.substring(v, 2, 1 << 30))).otherwise(v))
-            .otherwise(F.when(F.instr(v, "url(#") > 0, F.regexp_replace(v, F.lit(r"url\(#(.*)\)"), F.concat(F.lit("url(#"), p, F.lit("$1)")))).otherwise(v))
+            .otherwise(F.when(F.instr(v, "url(#") > 0, F.regexp_replace(v, F.lit(r"url\(#(.*)\)"), F.concat(F.lit("url(#"), literal, F.lit("$1)")))).otherwise(v))
         )
 
-    return nodes.withColumn("attrs", F.transform_values("attrs", fixed))
+    return nodes.withColumn("attrs", F.when(F.col("namespace") == SVG, F.transform_values("attrs", fixed)).otherwise(F.col("attrs")))
 
 
 def placed_transform(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ ITEMS = f"WITH {v.LAYOUT_ITEMS}"
 
 def _placed(along, across, least, spacing, margin, direction):
     before = f"round({margin}::DOUBLE + coalesce(sum(length + {spacing}) OVER (PARTITION BY layout_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6)"
-    breadth = f"max({across}) OVER (PARTITION BY layout_id)"
+    breadth = "(SELECT z.w FROM items z WHERE z.layout_id = st.layout_id ORDER BY z.pos DESC LIMIT 1)" if direction == "c" else f"max({across}) OVER (PARTITION BY layout_id)"
     m = f"{margin}::DOUBLE"
     cells = {"h": (before, m, "length", breadth), "v": (m, before, breadth, "length"), "c": ("0::DOUBLE", "0::DOUBLE", breadth, "length")}[direction]
     return f"""{ITEMS}, r AS (SELECT *, greatest(0, {least} - sum({along}) OVER (PARTITION BY layout_id)) AS room, sum(stretch) OVER (PARTITION BY layout_id) AS total, max(pos) OVER (PARTITION BY layout_id) AS last FROM items),
@@ -65,16 +65,51 @@ def align_in_cell(s, d):
     return lay.aligned(lay.placed(v.layout_items(s, d), "h", 2, 1, 400))
 
 
-OUTER = "split_part(layout_id, '-', 2)"
+#: Trees of layouts: a page holds columns, a column holds rows, which hold files; each tenth file stands free.
+TREE_ITEM = "CASE WHEN pos % 10 = 7 THEN 'free' ELSE 'file' END AS kind, CAST(NULL AS STRING) AS child_id, w, h, stretch, align, CAST(pos % 4 AS DOUBLE) AS dx, 0.5D AS dy"
+TREE_SQL = f"""{ITEMS}, f AS (SELECT *, CASE WHEN pos % 10 = 7 THEN 'free' ELSE 'file' END AS kind, 'c' || split_part(layout_id, '-', 2) AS col_id FROM items),
+-- what rows, columns and pages need
+rn AS (SELECT layout_id, any_value(col_id) AS col_id, sum(CASE WHEN kind = 'file' THEN w ELSE 0 END) + 2::DOUBLE * (count(*) - 1) AS nw, max(CASE WHEN kind = 'file' THEN h ELSE 0 END) AS nh FROM f GROUP BY layout_id),
+rp AS (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY layout_id) AS pos, 'p' || (CAST(substr(col_id, 2) AS BIGINT) % 3) AS page_id FROM rn),
+cn AS (SELECT col_id, any_value(page_id) AS page_id, max(nw) AS nw, sum(nh) + 3::DOUBLE * (count(*) - 1) AS nh FROM rp GROUP BY col_id),
+cp AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY col_id) AS pos FROM cn),
+-- a page gives its columns their width and its own height; a column stretches its last row to the height
+cc AS (SELECT *, coalesce(sum(nw + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, max(nh) OVER (PARTITION BY page_id) AS ch FROM cp),
+rc AS (SELECT rp.*, cc.x, cc.nw AS cw, cc.ch, rp.nh + CASE WHEN rp.pos = max(rp.pos) OVER (PARTITION BY rp.col_id) THEN cc.ch - cc.nh ELSE 0 END AS rh FROM rp JOIN cc USING (col_id)),
+rr AS (SELECT *, coalesce(sum(rh + 3) OVER (PARTITION BY col_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM rc),
+-- a row shares out what its files and the gaps behind them leave
+fi AS (SELECT f.layout_id, f.pos, f.kind, CASE WHEN f.kind = 'file' THEN f.w ELSE 0 END AS w, CASE WHEN f.kind = 'file' THEN f.h ELSE 0 END AS h, CASE WHEN f.kind = 'file' THEN stretch ELSE 0 END AS stretch, CASE WHEN f.kind = 'file' THEN align ELSE 0 END AS align, rr.x AS ox, rr.y AS oy, rr.cw AS aw, rr.rh AS ah, max(f.pos) OVER (PARTITION BY f.layout_id) AS last FROM f JOIN rr USING (layout_id)),
+fr AS (SELECT *, greatest(0, aw - sum(w) OVER (PARTITION BY layout_id) - 2 * count(*) FILTER (WHERE kind = 'file' AND pos < last) OVER (PARTITION BY layout_id)) AS room, sum(stretch) OVER (PARTITION BY layout_id) AS total FROM fi),
+fl AS (SELECT *, w + CASE WHEN total > 0 THEN stretch * (room / total) WHEN pos = last THEN room ELSE 0 END AS length FROM fr),
+cells AS (SELECT *, ox + coalesce(sum(length + 2) OVER (PARTITION BY layout_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cx, oy AS cy, length AS cw, greatest(ah, max(h) OVER (PARTITION BY layout_id)) AS ch FROM fl),
+tree AS (
+SELECT page_id AS layout_id, CAST(pos AS INTEGER) AS pos, 0 AS depth, 'layout' AS kind, col_id AS child_id, round(x, 6) AS x, 0::DOUBLE AS y, round(nw, 6) AS width, round(ch, 6) AS height FROM cc
+UNION ALL SELECT col_id, CAST(pos AS INTEGER), 1, 'layout', layout_id, round(x, 6), round(y, 6), round(cw, 6), round(rh, 6) FROM rr
+UNION ALL SELECT layout_id, pos, 2, kind, NULL, round({AX} + CASE WHEN kind = 'free' THEN pos % 4 ELSE 0 END, 6), round({AY} + CASE WHEN kind = 'free' THEN 0.5::DOUBLE ELSE 0 END, 6), round({AW}, 6), round({AH}, 6) FROM cells)"""
+
+
+def layout_tree(s, d):
+    files = v.layout_items(s, d)
+    rows = files.select("layout_id").distinct().selectExpr("layout_id", "concat('c', split_part(layout_id, '-', 2)) AS col_id")
+    rows = rows.selectExpr("*", "CAST(row_number() OVER (PARTITION BY col_id ORDER BY layout_id) AS INT) AS pos")
+    columns = rows.select("col_id").distinct().selectExpr("col_id", "concat('p', CAST(substr(col_id, 2) AS BIGINT) % 3) AS page_id")
+    columns = columns.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY col_id) AS INT) AS pos")
+    inner = "'layout' AS kind, {} AS child_id, CAST(NULL AS DOUBLE) AS w, CAST(NULL AS DOUBLE) AS h, 0 AS stretch, 0 AS align, CAST(NULL AS DOUBLE) AS dx, CAST(NULL AS DOUBLE) AS dy"
+    items = files.selectExpr("layout_id", "pos", *TREE_ITEM.split(", "))
+    items = items.unionByName(rows.selectExpr("col_id AS layout_id", "pos", *inner.format("layout_id").split(", "))).unionByName(columns.selectExpr("page_id AS layout_id", "pos", *inner.format("col_id").split(", ")))
+    layouts = rows.selectExpr("layout_id", "'h' AS direction", "2D AS spacing").unionByName(columns.selectExpr("col_id AS layout_id", "'v' AS direction", "3D AS spacing")).unionByName(columns.select("page_id").distinct().selectExpr("page_id AS layout_id", "'h' AS direction", "1D AS spacing"))
+    return lay.nested(layouts, items)
+
+
+@query("nested_layout", f"{TREE_SQL} SELECT * FROM tree")
+def nested_layout(s, d):
+    return layout_tree(s, d)
 
 
-@query("nested_layout", f"""{ITEMS}, b AS (SELECT layout_id, sum(w) + 2::DOUBLE * (count(*) - 1) AS w, max(h) AS h FROM items GROUP BY layout_id),
-p AS (SELECT layout_id, {OUTER} AS outer_id, CAST(row_number() OVER (PARTITION BY {OUTER} ORDER BY layout_id) AS INTEGER) AS pos FROM (SELECT DISTINCT layout_id FROM items))
-SELECT outer_id, pos, layout_id, 0::DOUBLE AS x, round(coalesce(sum(h + 2) OVER (PARTITION BY outer_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS y, w, h FROM b JOIN p USING (layout_id)""")
-def nested_layout(s, d):
-    items = v.layout_items(s, d)
-    parents = items.select("layout_id").distinct().selectExpr("layout_id", f"{OUTER} AS outer_id").selectExpr("*", "row_number() OVER (PARTITION BY outer_id ORDER BY layout_id) AS pos")
-    return lay.nested(items, parents, 2)
+@query("debug_boxes", f"""{TREE_SQL} SELECT layout_id, pos, '<rect style="fill: none; stroke: ' || CASE kind WHEN 'layout' THEN 'black; stroke-width: 2.000000;' WHEN 'file' THEN 'red; stroke-width: 1.000000;' ELSE 'green; stroke-width: 1.000000;' END ||
+ printf('" x="%.6f" y="%.6f" width="%.6f" height="%.6f"/>', x, y, width, height) AS element FROM tree""")
+def debug_boxes(s, d):
+    return lay.debug_boxes(layout_tree(s, d))
 
 
 @query("layout_box_size", f"{ITEMS} SELECT layout_id, sum(w) + 2::DOUBLE * (count(*) - 1) + 2 AS width, max(h) + 2::DOUBLE AS height FROM items GROUP BY layout_id")
@@ -87,10 +122,14 @@ def layout_box_size_composite(s, d):
     return lay.box_sizes(v.layout_items(s, d), "c")
 
 
-@query("layout_validation", f"""{ITEMS}, i AS (SELECT layout_id, pos - pos % 2 * CAST(w % 5 = 0 AS INTEGER) AS pos, stretch, align FROM items)
-SELECT DISTINCT layout_id, pos, problem FROM (SELECT layout_id, pos, CASE WHEN count(*) OVER (PARTITION BY layout_id, pos) > 1 THEN 'duplicate' WHEN align = 0 AND stretch > 0 THEN 'resized' END AS problem FROM i) WHERE problem IS NOT NULL""")
+# expected from the files' sizes: a file keeps its size on an axis if it has a flag there, or if it has the cell's size anyway
+@query("layout_validation", f"""{_placed('w', 'h', 400, 2, 1, 'h')}, i AS (SELECT *, pos - pos % 2 * CAST(w % 5 = 0 AS INTEGER) AS place FROM cells),
+n AS (SELECT layout_id, place, count(*) AS n FROM i GROUP BY ALL),
+kept AS (SELECT layout_id, place, (align & 7 > 0 OR w = round(cw, 6)) AND (align & 224 > 0 OR h = round(ch, 6)) AS ok FROM i)
+SELECT DISTINCT layout_id, place AS pos, CASE WHEN n > 1 THEN 'duplicate' ELSE 'resized' END AS problem FROM kept JOIN n USING (layout_id, place) WHERE n > 1 OR NOT ok""")
 def layout_validation(s, d):
-    return lay.checked(v.layout_items(s, d).selectExpr("layout_id", "pos - pos % 2 * CAST(w % 5 = 0 AS INT) AS pos", "stretch", "align"))
+    cells = lay.placed(v.layout_items(s, d), "h", 2, 1, 400)
+    return lay.checked(cells.withColumn("pos", F.expr("pos - pos % 2 * CAST(w % 5 = 0 AS INT)")))
 
 
 SVG = f"WITH {v.SVG_DOCS}"
@@ -114,11 +153,14 @@ def svg_merge_regex(s, d):
 
 
 
-@query("id_prefix", """SELECT p_partkey AS node_id, concat('d', p_size, '_n', p_partkey) AS id, CASE WHEN p_partkey % 2 = 0 THEN concat('#d', p_size, '_n', p_partkey) ELSE 'http://x/' END AS href,
- CASE WHEN p_partkey % 3 = 0 THEN regexp_replace(concat('fill:url(#g', p_size, ');stroke:none'), 'url\\(#(.*)\\)', 'url(#' || concat('d', p_size, '_') || '\\1)') ELSE 'fill:none' END AS style FROM part""")
+NAMESPACE = "CASE WHEN p_partkey % 5 = 0 THEN 'http://www.inkscape.org/namespaces/inkscape' ELSE 'http://www.w3.org/2000/svg' END"
+
+
+@query("id_prefix", f"""SELECT p_partkey AS node_id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE pre END || 'n' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '#' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE pre END || 'n' || p_partkey ELSE 'http://x/' END AS href,
+ CASE WHEN p_partkey % 3 = 0 THEN 'fill:url(#' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE pre END || 'g' || p_size || ');stroke:none' ELSE 'fill:none' END AS style FROM (SELECT *, concat('d$', p_size, chr(92), '_') AS pre FROM part)""")
 def id_prefix(s, d):
     nodes = v.table(s, d, "part").selectExpr(
-        "p_partkey AS node_id", "concat('d', p_size, '_') AS prefix",
+        "p_partkey AS node_id", "concat('d$', p_size, char(92), '_') AS prefix", f"{NAMESPACE} AS namespace",
         "map('id', concat('n', p_partkey), 'xlink:href', CASE WHEN p_partkey % 2 = 0 THEN concat('#n', p_partkey) ELSE 'http://x/' END, 'style', CASE WHEN p_partkey % 3 = 0 THEN concat('fill:url(#g', p_size, ');stroke:none') ELSE 'fill:none' END) AS attrs",
     )
     return t.prefixed(nodes).select("node_id", F.col("attrs")["id"].alias("id"), F.col("attrs")["xlink:href"].alias("href"), F.col("attrs")["style"].alias("style"))
@@ -177,12 +219,44 @@ def bracket_escape(s, d):
     return j.escaped_brackets(v.files(s, d))
 
 
-ARGS = "CASE WHEN event_id % 7 = 0 THEN 'many' ELSE CAST(event_id % 400 - 20 AS {text}) END"
+# each fifth page names an argument: all of a folder by a first letter, one name in any folder, a file, a file that is missing
+ARG = "CASE page_id % 5 WHEN 0 THEN concat(substr(path, 1, 7), '*.png') WHEN 1 THEN concat('/in/?/f', page_id % 7, '*') WHEN 2 THEN path WHEN 3 THEN concat('/in/', page_id % 5, '/*1].png') ELSE concat('/gone/', page_id % 3) END"
+LISTED = f"WITH {v.FILES}, listed AS (SELECT DISTINCT path FROM files), p AS (SELECT ord // 2 AS page_id, ord, path FROM files), args AS (SELECT ord, {ARG} AS arg FROM p WHERE page_id % 3 = 0)"
+
+
+@query("input_expansion", f"""{LISTED}, m AS (SELECT ord, l.path FROM args JOIN listed l ON (contains(arg, '*') OR contains(arg, '?')) AND len(string_split(arg, '/')) = len(string_split(l.path, '/'))
+  AND len(list_filter(range(1, len(string_split(arg, '/')) + 1), lambda i: regexp_full_match(string_split(l.path, '/')[i], replace(replace(replace(replace(replace(string_split(arg, '/')[i], '.', chr(92) || '.'), '[', chr(92) || '['), ']', chr(92) || ']'), '*', '.*'), '?', '.')))) = len(string_split(arg, '/'))
+  UNION ALL SELECT ord, arg FROM args WHERE NOT contains(arg, '*') AND NOT contains(arg, '?'))
+SELECT min(ord) AS ord, path FROM m GROUP BY path""")
+def input_expansion(s, d):
+    files = v.files(s, d)
+    args = files.selectExpr("ord div 2 AS page_id", "ord", "path").where("page_id % 3 = 0").selectExpr("ord", f"{ARG} AS arg")
+    return j.expanded_inputs(args, files)
 
 
-@query("argument_range_check", f"SELECT event_id, value, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN 'must be a number' WHEN TRY_CAST(value AS DOUBLE) BETWEEN 0 AND 256 THEN 'ok' ELSE 'must be 0 to 256' END AS status FROM (SELECT event_id, {ARGS.format(text='VARCHAR')} AS value FROM events)")
+ARGS = "CASE WHEN event_id % 7 = 0 THEN 'many' WHEN event_id % 11 = 0 THEN '1.5' ELSE CAST(event_id % 400 - 20 AS {text}) END"
+
+
+@query("argument_range_check", f"SELECT event_id, value, CASE WHEN NOT regexp_full_match(value, '-?[0-9]+') THEN 'must be an integer' WHEN CAST(value AS DOUBLE) BETWEEN 0 AND 256 THEN 'ok' ELSE 'must be between 0 and 256' END AS status FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'many' WHEN event_id % 11 = 0 THEN '1.5' ELSE CAST(event_id % 400 - 20 AS VARCHAR) END AS value FROM events)".replace("WHEN CAST(value AS DOUBLE)", "WHEN TRY_CAST(value AS DOUBLE)"))
 def argument_range_check(s, d):
-    return j.argument_status(v.table(s, d, "events").selectExpr("event_id", f"{ARGS.format(text='STRING')} AS value"), 0, 256)
+    return j.argument_status(v.table(s, d, "events").selectExpr("event_id", f"{ARGS.format(text='STRING')} AS value"), 0, 256, "int")
+
+
+RUN_OPTION = "CASE event_id % 6 WHEN 0 THEN 'colors' WHEN 1 THEN 'prescale' WHEN 2 THEN 'quantization' WHEN 3 THEN 'smoothcorners' WHEN 4 THEN 'riemersma' ELSE 'colour' END"
+RUN_VALUE = "CASE event_id % 5 WHEN 0 THEN concat(event_id % 300) WHEN 1 THEN concat(event_id % 4, '.5') WHEN 2 THEN 'as' WHEN 3 THEN 'true' ELSE '-1' END"
+OPTION_TABLE = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in o) + ")" for o in j.OPTIONS)
+
+
+@query("option_values", f"""WITH o(option, kind, low, high, dflt, choices) AS (VALUES {OPTION_TABLE}), g AS (SELECT event_id // 4 AS run_id, event_id AS ord, {RUN_OPTION} AS option, {RUN_VALUE} AS value FROM events),
+l AS (SELECT run_id, option, arg_max(value, ord) AS value FROM g GROUP BY ALL), runs AS (SELECT DISTINCT run_id FROM g),
+x AS (SELECT run_id, option, l.value, kind, low, high, dflt, choices FROM (SELECT * FROM runs, o) r FULL JOIN l USING (run_id, option)),
+y AS (SELECT *, TRY_CAST(value AS DOUBLE) AS number, regexp_full_match(value, '[+-]?[0-9]+') AS whole FROM x)
+SELECT run_id, option, coalesce(value, dflt) AS value, CASE WHEN kind IS NULL THEN 'unknown' WHEN value IS NULL THEN 'default'
+  WHEN kind = 'int' THEN CASE WHEN NOT whole THEN 'must be an integer' WHEN number < low OR number > high THEN 'must be ' || CASE WHEN high IS NULL THEN printf('%.3f or greater', low) ELSE printf('between %.3f and %.3f', low, high) END ELSE 'ok' END
+  WHEN kind = 'float' THEN CASE WHEN number IS NULL THEN 'must be a number' WHEN number < low OR number > high THEN 'must be ' || CASE WHEN high IS NULL THEN printf('%.3f or greater', low) ELSE printf('between %.3f and %.3f', low, high) END ELSE 'ok' END
+  WHEN kind = 'choice' AND value NOT IN ('mc', 'as', 'nq') THEN 'must be one of mc,as,nq' WHEN kind = 'flag' AND value NOT IN ('true', 'false') THEN 'must be true or false' ELSE 'ok' END AS status FROM y""")
+def option_values(s, d):
+    return j.option_values(v.table(s, d, "events").selectExpr("event_id div 4 AS run_id", "event_id AS ord", f"{RUN_OPTION} AS option", f"{RUN_VALUE} AS value"))
 
 
 OPTIONS = "event_id, event_id % 3 AS n_inputs, CASE WHEN event_id % 2 = 0 THEN '*.svg' ELSE 'out.svg' END AS output, CASE WHEN event_id % 4 = 0 THEN 'riemersma' ELSE 'none' END AS dither, CASE WHEN event_id % 5 = 0 THEN 'as' ELSE 'mc' END AS quantization, event_id % 6 = 0 AS remap"
@@ -195,11 +269,11 @@ def option_validation(s, d):
 
 
 @query("color_jobs", f"""WITH {v.RGB}, c AS (SELECT DISTINCT image_id, r, g, b FROM rgb), pal AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY r DESC, g DESC, b DESC) - 1 AS INTEGER) AS cindex, format('#{{:02x}}{{:02x}}{{:02x}}', r, g, b) AS color FROM c)
-SELECT vec_id AS findex, label AS image_id, cindex, color FROM embeddings JOIN pal ON label = image_id""")
+SELECT vec_id AS findex, image_id, cindex, color FROM (SELECT vec_id, {v.IMAGE.format(div="//")} AS image_id FROM embeddings) JOIN pal USING (image_id)""")
 def color_jobs(s, d):
     from ..operators import raster
 
-    return j.colour_jobs(v.table(s, d, "embeddings").selectExpr("vec_id AS findex", "label AS image_id"), raster.palette(v.rgb(s, d)))
+    return j.colour_jobs(v.table(s, d, "embeddings").selectExpr("vec_id AS findex", f"{v.IMAGE.format(div='div')} AS image_id"), raster.palette(v.rgb(s, d)))
 
 
 @query("layer_completion", f"WITH {v.JOBS} SELECT findex, bool_and(done) AS all_done, count(*) AS n_layers FROM jobs GROUP BY findex")

@@ -42,6 +42,19 @@ def cumulative_transform(s, d):
     return g.cumulative_transforms(v.paths(s, d)).select("path_id", "m.*")
 
 
+#: Elements of drawings: trees, and one long chain in each.
+NODE = "event_id {div} 1000 AS page, event_id AS node_id, CASE WHEN event_id % 1000 = 0 THEN NULL WHEN event_id % 1000 > 900 THEN event_id - 1 ELSE event_id {div} 1000 * 1000 + event_id % 1000 {div} 3 END AS parent_id, CASE WHEN event_id % 1000 = 0 THEN 'svg' ELSE 'g' END AS tag, CASE event_id % 7 WHEN 0 THEN 'translate(5)' WHEN 1 THEN 'scale(0.5) translate(2,-1)' WHEN 2 THEN 'scale(2,1)' WHEN 3 THEN 'translate(-1.5 2)' WHEN 4 THEN 'rotate(9)' END AS transform"
+
+
+@query("tree_transform", f"""WITH RECURSIVE nodes AS (SELECT {NODE.format(div="//")} FROM events),
+st AS (SELECT page, node_id, parent_id, tag, {TX} AS tx, {TY} AS ty, {SX} AS sx, {SY} AS sy FROM (SELECT *, coalesce(transform, '') AS a FROM nodes)),
+down AS (SELECT page, node_id, sx, sy, tx, ty FROM st WHERE tag <> 'svg' AND (parent_id IS NULL OR parent_id NOT IN (SELECT node_id FROM st WHERE tag <> 'svg'))
+  UNION ALL SELECT st.page, st.node_id, down.sx * st.sx, down.sy * st.sy, down.tx + st.tx * down.sx, down.ty + st.ty * down.sy FROM down JOIN st ON st.parent_id = down.node_id AND st.page = down.page)
+SELECT * FROM down""")
+def tree_transform(s, d):
+    return g.tree_transforms(v.table(s, d, "events").selectExpr(*NODE.format(div="div").replace(", CASE", "|CASE").replace(", event_id AS", "|event_id AS").split("|")))
+
+
 @query("path_start_point", f"WITH {CUM} SELECT * FROM pts")
 def path_start_point(s, d):
     return g.start_points(v.paths(s, d))

@@ -24,8 +24,8 @@ def test_transforms(spark, transforms, want):
 
 def test_diagonal_pixels_are_one_component(spark):
     mask = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 5, 5), (2, 0, 1), (1, 0, 0)], "image_id int, y int, x int")
-    got = sorted((r.image_id, r.y, r.x, r.label) for r in raster.labelled(mask, 64).collect())
-    assert got == [(1, 0, 0, 0), (1, 1, 1, 0), (1, 5, 5, 325), (2, 0, 1, 1)]
+    got = sorted((r.image_id, r.y, r.x, r.label) for r in raster.labelled(mask).collect())
+    assert got == [(1, 0, 0, 0), (1, 1, 1, 0), (1, 5, 5, 5 * raster.STRIDE + 5), (2, 0, 1, 1)]
 
 
 def test_clusters_go_by_anchor(spark):
@@ -37,7 +37,7 @@ def test_blank_image_is_a_table(spark):
     pixels = spark.createDataFrame([(1, y, x, 255) for y in range(20) for x in range(20)], "image_id int, y int, x int, g int")
     assert classify.classified(pixels).first().is_table
     grid = spark.createDataFrame([(1, y, x, 0 if y % 10 == 5 or x % 10 == 5 else 255) for y in range(60) for x in range(60)], "image_id int, y int, x int, g int")
-    assert not classify.classified(grid, longest=True).first().is_table
+    assert not classify.classified(grid).first().is_table
 
 
 def test_palette_with_black_and_white(spark):
