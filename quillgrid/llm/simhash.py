@@ -31,6 +31,7 @@ differ in 4 to 18 bits, where covering codes would replicate to everything.  It
 therefore takes several SimHash fingerprints a document, each of a few shingles
 sampled by least permuted hash: of equal samples, fingerprints are equal.  Those
 that share a fingerprint are candidates and are verified on whole shingle sets.
+Sets of up to seven shingles meet exactly, by their subsets of one shingle less.
 
 Defined cases: null text is the empty text; a text without words has
 fingerprint zero and links like any other; rows with the same doc_id are the
@@ -40,6 +41,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import combinations
 
@@ -195,7 +197,9 @@ def near_groups(documents: DataFrame, words: int = 3) -> DataFrame:
     return hot_join(fps, named, "fp", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-TABLES = 10
+#: A pair at similarity q shares none of its fingerprints with probability
+#: (1 - q**SAMPLE)**TABLES: 3e-8 at 0.8.
+TABLES = 24
 SAMPLE = 3
 NEIGHBOURS = 4
 #: Members of a block, and shingles of a step, in whole comparisons of a bucket.
@@ -309,6 +313,21 @@ def _links_of_the_rest(at: DataFrame, roots: DataFrame, sets: DataFrame, similar
     return dealt.join(sets, "node").groupBy("place", "key", "band", "i", "j").applyInPandas(_linked_roots(similarity), "u long, v long").distinct()
 
 
+def _short_pairs(sketch: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes whose sets differ by one shingle that only one of
+    them has.  For sets so small that two differences are below ``similarity``
+    these are all pairs but for equal sets, which share every fingerprint.
+
+    A set meets the one that it is without one of its shingles: at most one
+    pair a shingle, however many sets have it in common.
+    """
+    most = math.ceil(round(2 * similarity / (1 - similarity), 9)) - 1 if similarity < 1 else 0
+    sets = sketch.where(F.size("shingles").between(1, most + 1)).select("node", "shingles").distinct()
+    whole = sets.groupBy(F.xxhash64("shingles").alias("set")).agg(F.min("node").alias("u"))
+    less = sets.select(F.col("node").alias("v"), F.explode(F.expr("transform(shingles, x -> xxhash64(filter(shingles, y -> y <> x)))")).alias("set"))
+    return less.join(whole, "set").where("u <> v").select("u", "v")
+
+
 def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, keeper) of every document with an id: keeper is the smallest id
     of its group of near-duplicates by shingle-set similarity.
@@ -317,6 +336,8 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
     with the least one and a few neighbours of its bucket, which joins almost all
     that belong together; then buckets which still hold several components are
     compared whole (``_links_of_the_rest``), so no pair of a bucket is left out.
+    Pairs of the smallest sets, which have few samples, are found exactly
+    (``_short_pairs``).
     """
     sketch = written(_sketches(documents, words), "sketches")
     at = written(sketch.select("node", F.explode("keys").alias("k")).select("node", "k.place", "k.key", "k.tail").distinct(), "buckets")
@@ -326,10 +347,12 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
     bucket = "PARTITION BY place, key, salt ORDER BY tail, node"
     near = at.selectExpr("node", "least", *(f"lead(node, {i}) OVER ({bucket}) AS n{i}" for i in range(1, NEIGHBOURS + 1)))
     pairs = near.select(F.col("node").alias("a"), F.explode(F.array("least", *(f"n{i}" for i in range(1, NEIGHBOURS + 1)))).alias("b")).where("a <> b")
+    short = written(_short_pairs(sketch, similarity), "short-pairs")
+    pairs = pairs.unionByName(short.select(F.col("u").alias("a"), F.col("v").alias("b")))
     pairs = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
-    in_buckets = at.select("node").distinct()
+    compared = at.select("node").unionByName(short.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     # copies are merged before the join, so that none of them is a hot key
-    sets = sketch.groupBy("node").agg(F.min_by("shingles", "doc_id").alias("shingles")).join(in_buckets, "node", "left_semi")
+    sets = sketch.groupBy("node").agg(F.min_by("shingles", "doc_id").alias("shingles")).join(compared, "node", "left_semi")
     sets = written(sets.where("shingles IS NOT NULL"), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))

@@ -365,6 +365,27 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {i for i in sets if find(i) == i}
 
 
+def test_small_sets_meet_without_shared_fingerprints(spark, monkeypatch):
+    """Texts of 8 to 13 words, against brute force, where no fingerprint helps but that of equal sets."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1000)
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        w = [f"w{k % 40}x{i}" for i in range(rng.randrange(8, 12))]
+        rows += [(len(rows) + j, " ".join(x)) for j, x in enumerate([w, w + ["end"], ["start"] + w, w[:-1] + ["other"], w + w[:4]])]
+    sets = {i: {" ".join(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            small = min(len(sets[a]), len(sets[b])) <= 7 or sets[a] == sets[b]
+            if a < b and small and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    found = {r.doc_id: r.keeper for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert len(set(root.values())) < len(rows) - 60
+    assert found == root
+
+
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     """One bucket of families whose members resemble only some of their own, in many blocks."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
