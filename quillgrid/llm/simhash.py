@@ -201,6 +201,9 @@ def near_groups(documents: DataFrame, words: int = 3) -> DataFrame:
 #: (1 - q**SAMPLE)**TABLES: 3e-8 at 0.8.
 TABLES = 24
 SAMPLE = 3
+#: Fingerprints under which documents are compared first; under the others, those
+#: that are then joined need no comparison.
+FIRST = 4
 NEIGHBOURS = 4
 #: Members of a block, and shingles of a step, in whole comparisons of a bucket.
 BLOCK_ROWS = 256
@@ -328,36 +331,58 @@ def _short_pairs(sketch: DataFrame, similarity: float) -> DataFrame:
     return less.join(whole, "set").where("u <> v").select("u", "v")
 
 
+def _candidates(at: DataFrame) -> DataFrame:
+    """Pairs (u, v) of members of a bucket that are in different components
+    (``root``): each with the least member and the next ``NEIGHBOURS``.
+
+    Buckets within one component give none.
+    """
+    me = F.struct("node", "root")
+    least = at.groupBy("place", "key").agg(F.min(me).alias("n0"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    # neighbours in the order of the next least hash; large buckets are salted
+    salted = at.join(least, ["place", "key"]).withColumn("salt", F.expr(f"pmod(xxhash64(node), ceil(n / {BLOCK_ROWS}))"))
+    bucket = "PARTITION BY place, key, salt ORDER BY tail, node"
+    near = salted.select(me.alias("a"), "n0", *(F.expr(f"lead(struct(node, root), {i}) OVER ({bucket})").alias(f"n{i}") for i in range(1, NEIGHBOURS + 1)))
+    met = F.array(*(f"n{i}" for i in range(NEIGHBOURS + 1)))
+    pairs = near.select("a", F.explode(F.filter(met, lambda b: b.root != F.col("a.root"))).alias("b"))
+    return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets reach ``similarity``."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)).select("u", "v")
+
+
 def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, keeper) of every document with an id: keeper is the smallest id
     of its group of near-duplicates by shingle-set similarity.
 
     Documents that share a fingerprint share a bucket.  First each is compared
     with the least one and a few neighbours of its bucket, which joins almost all
-    that belong together; then buckets which still hold several components are
-    compared whole (``_links_of_the_rest``), so no pair of a bucket is left out.
-    Pairs of the smallest sets, which have few samples, are found exactly
-    (``_short_pairs``).
+    that belong together: under the first ``FIRST`` fingerprints all, then under
+    the others those that are not joined yet.  Then buckets which still hold
+    several components are compared whole (``_links_of_the_rest``), so no pair of
+    a bucket is left out.  Pairs of the smallest sets, which have few samples, are
+    found exactly (``_short_pairs``).
     """
     sketch = written(_sketches(documents, words), "sketches")
     at = written(sketch.select("node", F.explode("keys").alias("k")).select("node", "k.place", "k.key", "k.tail").distinct(), "buckets")
-    sizes = at.groupBy("place", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    # neighbours in the order of the next least hash; large buckets are salted
-    at = written(at.join(sizes, ["place", "key"]).withColumn("salt", F.expr(f"pmod(xxhash64(node), ceil(n / {BLOCK_ROWS}))")), "shared-buckets")
-    bucket = "PARTITION BY place, key, salt ORDER BY tail, node"
-    near = at.selectExpr("node", "least", *(f"lead(node, {i}) OVER ({bucket}) AS n{i}" for i in range(1, NEIGHBOURS + 1)))
-    pairs = near.select(F.col("node").alias("a"), F.explode(F.array("least", *(f"n{i}" for i in range(1, NEIGHBOURS + 1)))).alias("b")).where("a <> b")
+    shared = at.groupBy("place", "key").count().where("count > 1").select("place", "key")
+    at = written(at.join(shared, ["place", "key"], "left_semi"), "shared-buckets")
     short = written(_short_pairs(sketch, similarity), "short-pairs")
-    pairs = pairs.unionByName(short.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    pairs = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "candidates")
     compared = at.select("node").unionByName(short.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     # copies are merged before the join, so that none of them is a hot key
     sets = sketch.groupBy("node").agg(F.min_by("shingles", "doc_id").alias("shingles")).join(compared, "node", "left_semi")
     sets = written(sets.where("shingles IS NOT NULL"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)
-    roots = written(components(both.where(alike).select("u", "v")), "roots")
+    first = _candidates(at.where(f"place < {FIRST}").withColumn("root", F.col("node")))
+    known = first.unionByName(short.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    linked = written(_alike(written(known, "first-candidates"), sets, similarity), "first-links")
+    roots = written(components(linked), "first-roots").withColumnRenamed("v", "node")
+    later = at.where(f"place >= {FIRST}").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = linked.unionByName(_alike(written(_candidates(later), "candidates"), sets, similarity))
+    roots = written(components(linked), "roots")
     rest = written(_links_of_the_rest(at, roots, sets, similarity), "rest")
     ids = sketch.select("doc_id", "node").where("doc_id IS NOT NULL")
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
