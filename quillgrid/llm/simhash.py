@@ -205,9 +205,10 @@ SAMPLE = 3
 #: that are then joined need no comparison.
 FIRST = 4
 NEIGHBOURS = 4
-#: Members of a block, and shingles of a step, in whole comparisons of a bucket.
-BLOCK_ROWS = 256
-BLOCK_COLUMNS = 8192
+#: Members and shingles of a block, and shingles of a step, in whole comparisons of a bucket.
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 19
+BLOCK_COLUMNS = 4096
 
 
 @lru_cache(maxsize=1)
@@ -256,63 +257,81 @@ def _sketches(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _linked_roots(similarity: float):
-    """For applyInPandas on one block pair of a bucket: the links (u, v) that join
-    the components (``root``) of its members, at most one per component."""
+    """For applyInPandas on a pair of blocks of a bucket, the members whose own
+    block is i against those of j: the links (u, v) that join their components
+    (``root``), at most one per component."""
 
     def run(rows):
         import pandas as pd
 
+        i, j, own = rows["i"].iloc[0], rows["j"].iloc[0], rows["own"].to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         sets, root = rows["shingles"].tolist(), rows["root"].to_numpy()
         sizes = np.array([len(x) for x in sets], np.int64)
         member = np.repeat(np.arange(len(sets)), sizes)
         values, column, seen = np.unique(np.concatenate([*sets, np.zeros(0, np.int32)]), return_inverse=True, return_counts=True)
-        shared = seen[column] > 1  # a shingle of one member alone is common to none
-        member, column = member[shared], column[shared]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, values.size, BLOCK_COLUMNS):
+        shared = seen > 1  # a shingle of one member alone is common to none
+        member, column = member[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        common = np.zeros((left.size, right.size), np.float32)
+        for lo in range(0, int(shared.sum()), BLOCK_COLUMNS):
             part = (column >= lo) & (column < lo + BLOCK_COLUMNS)
-            if part.any():
-                has = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
-                has[member[part], column[part] - lo] = 1
-                common += has @ has.T
-        alike = (common > 0) & (common >= similarity * (sizes[:, None] + sizes - common) - 1e-6)
-        # least root over all links and over equal roots, until nothing changes
-        near = alike | (root[:, None] == root)
-        label = root.copy()
+            has = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
+            has[member[part], column[part] - lo] = 1
+            common += has[left] @ has[right].T
+        most = sizes[left][:, None] + sizes[right] - common
+        a, b = np.nonzero((common > 0) & (common >= similarity * most - 1e-6))
+        # least root over all links, until nothing changes
+        roots, code = np.unique(root, return_inverse=True)
+        a, b = code[left[a]], code[right[b]]
+        label = np.arange(roots.size)
         while True:
-            lower = np.where(near, label, np.iinfo(np.int64).max).min(1)
+            lower = label.copy()
+            np.minimum.at(lower, a, label[b])
+            np.minimum.at(lower, b, label[a])
+            lower = lower[lower]
             if (lower == label).all():
                 break
             label = lower
-        moved = label != root
-        return pd.DataFrame({"u": root[moved], "v": label[moved]}).drop_duplicates()
+        moved = np.flatnonzero(label != np.arange(roots.size))
+        return pd.DataFrame({"u": roots[moved], "v": roots[label[moved]]})
 
     return run
 
 
 def _links_of_the_rest(at: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between components that still share a bucket: there, every pair of
-    members that can reach ``similarity`` by size is compared.
+    members of different components that can reach ``similarity`` by size is compared.
 
     Only buckets with members of several components count.  A member goes to the
-    band of its size and to the next lower one, so that sizes which allow the
-    similarity meet; a band's members are dealt to blocks of about ``BLOCK_ROWS``,
-    and each pair of blocks is one group.  No pairs are made as rows.
+    band of its size, its home, and to the next lower one, so that sizes which allow
+    the similarity meet; a band without a home has only pairs that meet in another.
+    In a band, the members of the largest component are dealt to blocks apart from
+    the others; each block of others is compared with every block, so a large group
+    of copies costs its size for each block of others and not its square.  A pair
+    of blocks is one group.  No pairs are made as rows.
     """
-    several = F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
     rooted = at.select("place", "key", "node").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # up to so many members, the neighbours have been all
-    still = rooted.groupBy("place", "key").agg(*several).where(f"low < high AND n > {NEIGHBOURS + 1}").select("place", "key")
+    crowded = rooted.groupBy("place", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    still = crowded.where(f"low < high AND n > {NEIGHBOURS + 1}").select("place", "key")
     sized = rooted.join(still, ["place", "key"]).join(sets.select("node", F.size("shingles").alias("size")), "node")
-    band = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + F.lit(1e-9)).cast("int")
-    banded = written(sized.where("size > 0").withColumn("band", F.explode(F.array(band, band - 1))).select("place", "key", "band", "node", "root"), "bands")
+    home = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + F.lit(1e-9)).cast("int")
+    banded = sized.where("size > 0").withColumn("home", home).withColumn("band", F.explode(F.array("home", F.col("home") - 1)))
+    banded = written(banded.select("place", "key", "band", (F.col("home") == F.col("band")).alias("home"), "node", "root"), "bands")
+    by_root = banded.groupBy("place", "key", "band", "root").agg(
+        F.count("*").alias("n"), F.count_if("home").alias("homes"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")
+    )
+    groups = by_root.groupBy("place", "key", "band").agg(
+        F.count("*").alias("roots"), F.sum("homes").alias("homes"), F.sum("n").alias("n"), F.sum("same").alias("same"), F.max(F.struct("n", "root")).alias("top")
+    )
     # the same members under several keys are compared once
-    groups = banded.groupBy("place", "key", "band").agg(*several, F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")).where("low < high")
-    once = groups.groupBy("same", "n").agg(F.min(F.struct("place", "key", "band")).alias("k")).select("k.*", "n")
-    dealt = banded.join(once, ["place", "key", "band"]).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("place", "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+    once = groups.where("roots > 1 AND homes > 0").groupBy("same", "n").agg(F.min(F.struct("place", "key", "band", "top")).alias("k")).select("k.*", "n")
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES * F.pow(F.lit(similarity), F.col("band") + 2))))
+    once = once.select("place", "key", "band", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / rows).alias("others"), F.ceil(F.col("top.n") / rows).alias("tops"))
+    dealt = banded.join(once, ["place", "key", "band"]).withColumn("is_top", F.expr("root = top"))
+    dealt = dealt.withColumn("own", F.expr("if(is_top, others + pmod(xxhash64(node), tops), pmod(xxhash64(node), others))"))
+    dealt = dealt.withColumn("other", F.expr("explode(sequence(0L, if(is_top, others, others + tops) - 1))"))
+    dealt = dealt.select("place", "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
     return dealt.join(sets, "node").groupBy("place", "key", "band", "i", "j").applyInPandas(_linked_roots(similarity), "u long, v long").distinct()
 
 
