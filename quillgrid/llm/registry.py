@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bytebpe, html_text, isomedia, langid, latticelm, mixing, simhash, syncmers, urltree, warc
+from . import bytebpe, centroids, divergence, html_text, isomedia, langid, latticelm, licenses, mixing, simhash, syncmers, urltree, warc
 from .common import table
 
 #: Target weights of the mixture; sources that are not listed share the rest.
@@ -66,9 +66,24 @@ def op10_lattice_lm(spark, sf_dir):
     return latticelm.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_langid, op4_syncmers, op5_iso_media, op6_simhash, op7_byte_bpe, op8_url_filter, op9_warc, op10_lattice_lm)}
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("passages")
+
+
+def op13_centroids(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_langid, op4_syncmers, op5_iso_media, op6_simhash, op7_byte_bpe, op8_url_filter, op9_warc, op10_lattice_lm, op11_divergence, op12_licenses, op13_centroids)}
 ORACLES = {
     "op2_mix_sources": mixing.oracle(WEIGHTS, OTHER_WEIGHT, BLOCK_CHARS),
     "op8_url_filter": urltree.oracle(RULES, LABELLED_SQL),
     "op9_warc": warc.oracle(),
+    "op11_divergence": divergence.oracle(),
+    "op12_licenses": licenses.oracle(),
+    "op13_centroids": centroids.oracle(),
 }
