@@ -206,7 +206,7 @@ def audit(documents: DataFrame, least: int = 3) -> DataFrame:
     langs = totals.groupBy("lang").agg(F.first("v").alias("v"), F.first("n_sources").alias("s"))
     terms = F.greatest(F.lit(1), F.floor(CELLS / F.col("s")), F.least("s", F.floor(CELLS * WIDER / F.col("s"))))
     dealt = langs.select("lang", F.ceil(F.col("v") / terms).alias("buckets"), F.ceil(F.col("s") / BLOCK).alias("blocks"), F.col("v").alias("copies"))
-    few = dealt.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    few = dealt.count() <= MAX_BROADCAST_KEYS
     by_lang = stripes.join(F.broadcast(dealt.drop("copies")), "lang") if few else hot_join(stripes, dealt, "lang", F.col("term"))
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     own = by_lang.select("lang", "term", "sources", "counts", F.pmod(F.xxhash64("term"), "buckets").alias("bucket"), blocks)
