@@ -66,7 +66,11 @@ def tree_transforms(nodes: DataFrame) -> DataFrame:
 
 def start_points(paths: DataFrame) -> DataFrame:
     """(page, path_id, path_ord, x, y) of paths that begin with a move command."""
-    at = cumulative_transforms(paths)
+    return moved_points(cumulative_transforms(paths))
+
+
+def moved_points(at: DataFrame) -> DataFrame:
+    """The same of paths whose whole transform is already known (``m``)."""
     x0, y0 = (F.expr(rf"try_cast(regexp_extract(d, '^[Mm]\\s*([\\d.-]+)[\\s,]+([\\d.-]+)', {i}) AS DOUBLE)") for i in (1, 2))
     return at.withColumns({"x0": x0, "y0": y0}).where("x0 IS NOT NULL AND y0 IS NOT NULL").selectExpr("page", "path_id", "path_ord", "x0 * m.sx + m.tx AS x", "y0 * m.sy + m.ty AS y")
 

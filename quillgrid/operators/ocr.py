@@ -7,7 +7,7 @@ comparisons, except that an unknown gap starts a new group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TSV_COLUMNS = ["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"]
@@ -81,9 +81,10 @@ def words_by_confidence(rows: DataFrame, least: float = CONF_LEAST) -> DataFrame
     return rows.where(F.col("conf") > least).where(trimmed(F.col("text")) != "")
 
 
-def scaled(rows: DataFrame, scale: float) -> DataFrame:
-    """Each of the four numbers rounded on its own."""
-    return rows.withColumns({c: rounded(F.col(c) * F.lit(float(scale))) for c in ("left", "top", "width", "height")})
+def scaled(rows: DataFrame, scale: float | Column) -> DataFrame:
+    """Each of the four numbers rounded on its own; one scale, or one a row."""
+    by = scale if isinstance(scale, Column) else F.lit(float(scale))
+    return rows.withColumns({c: rounded(F.col(c) * by) for c in ("left", "top", "width", "height")})
 
 
 def page_widths(rows: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def scale_factors(rows: DataFrame, drawings: DataFrame) -> DataFrame:
     box = F.split("view_box", " ")
     width = F.when(F.size(box) == 4, F.expr("try_cast(split(view_box, ' ')[2] AS DOUBLE)"))
     both = drawings.select("src", width.alias("w")).join(page_widths(rows), "src", "left")
-    return both.select("src", F.when((F.col("w") > 0) & (F.col("ocr_width") > 0), F.round(F.col("w") / F.col("ocr_width"), 6)).otherwise(F.lit(1.0)).alias("scale"))
+    return both.select("src", F.when((F.col("w") > 0) & (F.col("ocr_width") > 0), F.col("w") / F.col("ocr_width")).otherwise(F.lit(1.0)).alias("scale"))
 
 
 def line_groups(words: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ x AS (SELECT b.src, CASE WHEN len(vb) = 4 THEN TRY_CAST(vb[3] AS DOUBLE) END AS
 SELECT src, CASE WHEN w > 0 AND ocr_width > 0 THEN round(w / ocr_width, 6) ELSE 1.0::DOUBLE END AS scale FROM x""")
 def scale_factor(s, d):
     drawings = v.table(s, d, "documents").selectExpr("doc_id AS src", f"{VIEW_BOX} AS view_box")
-    return ocr.scale_factors(v.pages_level1(s, d), drawings)
+    return ocr.scale_factors(v.pages_level1(s, d), drawings).withColumn("scale", F.round("scale", 6))
 
 
 @query("scaled_words", f"{W}, {SCALED} SELECT {COLS} FROM kept")
