@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ GAP = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 #: Bytes of a text that are cut into terms at a time.
 SLICE = 1 << 20
 #: Counts, and bytes of terms, that a task's stripes hold before they are handed on.
-HELD = 300_000
+HELD = 700_000
 HELD_BYTES = 32 << 20
+#: Stripes that are merged at a time.
+ROWS = 8192
 #: Numbers that a bucket's table of counts (terms x sources) has about; with many
 #: sources so many times more, lest a bucket return more rows than its table has numbers.
 CELLS = 1 << 17
@@ -105,31 +108,44 @@ def folded(documents: DataFrame) -> DataFrame:
     return map_arrow(rows, run, STRIPE)
 
 
-def merged(stripes: DataFrame, least: int) -> DataFrame:
-    """One stripe for each (lang, term) in at least so many documents of its language."""
+def _merge(stripes: pa.RecordBatch) -> pa.RecordBatch:
+    """Sorted stripes with those of one key as one."""
+    lang, term, df, sources, counts = stripes.columns
+    n = stripes.num_rows
+    first = np.ones(n, bool)
+    if n > 1:
+        same = (pc.equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False) for key in (lang, term))
+        first[1:] = ~np.logical_and(*same)
+    starts = np.flatnonzero(first)
+    run = np.repeat(np.cumsum(first) - 1, pc.list_value_length(sources).to_numpy(zero_copy_only=False))
+    names = sources.flatten().dictionary_encode()
+    key = run * len(names.dictionary) + names.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    own, at = np.unique(key[order], return_index=True)
+    sums = np.add.reduceat(counts.flatten().to_numpy(zero_copy_only=False)[order], at)
+    offsets = pa.array(np.searchsorted(own // len(names.dictionary), np.arange(len(starts) + 1)).astype(np.int32))
+    merged = [pa.ListArray.from_arrays(offsets, names.dictionary.take(pa.array(own % len(names.dictionary)))), pa.ListArray.from_arrays(offsets, pa.array(sums))]
+    return pa.RecordBatch.from_arrays([lang.take(pa.array(starts)), term.take(pa.array(starts)), pa.array(np.add.reduceat(df.to_numpy(), starts)), *merged], names=stripes.schema.names)
 
-    def run(batches):
-        key, df, counts, out = None, 0, {}, []
 
-        def done():
-            if key is not None and df >= least:
-                out.append((*key, df, list(counts), list(counts.values())))
+def merged(stripes: DataFrame, least: int) -> DataFrame:
+    """One stripe for each (lang, term) in at least so many documents of its
+    language.  A batch's last key waits for the next batch, in which it may go on."""
 
+    def run(batches):
+        last = None
         for batch in batches:
-            for lang, term, n, sources, own in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if (lang, term) != key:
-                    done()
-                    key, df, counts = (lang, term), 0, {}
-                df += n
-                for s, c in zip(sources, own):
-                    counts[s] = counts.get(s, 0) + c
-            if len(out) >= 5_000:
-                yield _batch(out)
-                out.clear()
-        done()
-        yield _batch(out)
-
-    return map_arrow(stripes.repartition("lang", "term").sortWithinPartitions("lang", "term"), run, STRIPE)
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=[c.split()[0] for c in STRIPE.split(", ")])
+            both = _merge(batch if last is None else pa.concat_batches([last, batch]))
+            last = both.slice(both.num_rows - 1)
+            done = both.slice(0, both.num_rows - 1)
+            yield done.filter(pc.greater_equal(done.column("df"), least))
+        if last is not None:
+            yield last.filter(pc.greater_equal(last.column("df"), least))
+
+    return map_arrow(stripes.repartition("lang", "term").sortWithinPartitions("lang", "term"), run, STRIPE, ROWS)
 
 
 def shares(count: np.ndarray, total) -> np.ndarray:
@@ -149,7 +165,7 @@ def apart(p, q):
     return d * d // q
 
 
-def _bucket(stripes: pa.Table, sources: pa.Table) -> pa.Table:
+def _bucket(stripes: pa.Table, sources: pa.Table, size: int) -> pa.Table:
     """A bucket's part of each divergence of the block's sources: rows (lang,
     source, part, item, hi, lo) with f = hi * 2^30 + lo, summed for pairs."""
     kinds = [("lang", pa.binary()), ("source", pa.binary()), ("part", pa.string()), ("item", pa.binary()), ("hi", pa.int64()), ("lo", pa.int64())]
@@ -169,7 +185,7 @@ def _bucket(stripes: pa.Table, sources: pa.Table) -> pa.Table:
     q = shares(table.sum(0), int(sources.column("n_lang")[0].as_py()) + v)
     block = stripes.column("block")[0].as_py()
     out: list[list] = [[] for _ in range(5)]
-    for g in range(block * BLOCK, min(len(names), (block + 1) * BLOCK)):
+    for g in range(block * size, min(len(names), (block + 1) * size)):
         f = apart(p[g], p)
         hi, lo = (f >> HALF).sum(1), (f & ((1 << HALF) - 1)).sum(1)
         others = [h for h in range(len(names)) if h != g]
@@ -211,8 +227,8 @@ def audit(documents: DataFrame, least: int = 3) -> DataFrame:
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     own = by_lang.select("lang", "term", "sources", "counts", F.pmod(F.xxhash64("term"), "buckets").alias("bucket"), blocks)
     told = totals.where("v > 0").join(dealt.drop("copies"), "lang").select("lang", "source", "n", "v", "n_lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"), blocks)
-    key = ["lang", "bucket", "block"]
-    parts = own.groupBy(*key).cogroup(told.groupBy(*key)).applyInArrow(lambda _, a, b: _bucket(a, b.sort_by("source")), "lang binary, source binary, part string, item binary, hi long, lo long")
+    key, size = ["lang", "bucket", "block"], BLOCK
+    parts = own.groupBy(*key).cogroup(told.groupBy(*key)).applyInArrow(lambda _, a, b: _bucket(a, b.sort_by("source"), size), "lang binary, source binary, part string, item binary, hi long, lo long")
     # a term has one row a group, a pair one a bucket
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     parts = written(parts.groupBy("lang", "source", "part", "item").agg((exact("hi") * (1 << HALF) + exact("lo")).try_cast("long").alias("value")), "parts")
