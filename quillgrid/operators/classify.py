@@ -20,7 +20,7 @@ def long_lines(mask: DataFrame, sizes: DataFrame, ratio: float = 0.4) -> tuple[D
     """Pixels of the horizontal and of the vertical lines that reach ``ratio`` of
     their image's side and four pixels; sizes: (image_id, width, height)."""
     side = {"x": F.col("width"), "y": F.col("height")}
-    opened = [(raster.lines(mask, axis, sizes.select("image_id", side[axis].alias("dim"))), axis) for axis in "xy"]
+    opened = [raster.lines(mask, axis, sizes.select("image_id", side[axis].alias("dim"))) for axis in "xy"]
     found = zip("xy", raster.labelled_each(opened))
     least = {axis: sizes.select("image_id", F.greatest(F.lit(4), F.floor(F.lit(ratio) * side[axis])).alias("least")) for axis in "xy"}
     h, v = (raster.long_components(labels, axis, least[axis]) for axis, labels in found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import HOT_ROWS, hot_join
 from ..functions.storage import written
 
 
@@ -13,6 +14,16 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
+def _with_least(edges: DataFrame, most: int) -> DataFrame:
+    """``edges`` with m, the least of u and its neighbours; a node with many
+    neighbours, such as the least one of a large component, is dealt out.  most: a
+    bound of the rows."""
+    if most <= HOT_ROWS:
+        return edges.join(_least(edges), "u")
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("copies"))
+    return hot_join(edges, least, "u", F.col("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each node of the edges (u, v): root is the least node of
     its component.  Each round is written to the shared folder; rounds grow with
@@ -23,15 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
+    rows = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = _least(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = _with_least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        if rows > HOT_ROWS:  # it is read twice below
+            large = written(large, "edges")
+        small = _with_least(large, 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(_least(large).select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(edges.select("v", F.col("v").alias("root")).distinct())

@@ -6,9 +6,12 @@ so an image is never one group.  Masks are sparse: foreground rows only.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from .graph import components
 
 #: Labels and pixel numbers are y * STRIDE + x, whatever an image's width.
@@ -17,6 +20,8 @@ HEX = "printf('#%02x%02x%02x', r, g, b)"
 ROW, COLUMN = "PARTITION BY image_id, y ORDER BY x", "PARTITION BY image_id, x ORDER BY y"
 MARGIN = 2  # brightness by which the foreground exceeds its surroundings
 BLOCK = 15
+#: Components are searched in squares of so many pixels a side at first.
+TILE = 256
 
 
 def _known(rows: DataFrame, value: int | float | DataFrame, name: str) -> DataFrame:
@@ -165,32 +170,71 @@ def eroded(pixels: DataFrame, threshold: int) -> DataFrame:
     return bw.selectExpr("image_id", "y", "x", f"least(v, {near}) AS v")
 
 
-def labelled_each(masks: list[tuple[DataFrame, str]]) -> list[DataFrame]:
-    """(image_id, y, x, label) for each (mask, along): label is the least
-    y * STRIDE + x of the pixel's 8-connected component in its mask.
-
-    Runs along an axis are merged first; only runs that touch in adjacent rows (or
-    columns) become edges, found by an equi-join on their pixels.  The edges of all
-    masks go through one search for components.
+def tile_labels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For pixels in the order of (y, x), the number of the first one of each one's
+    8-connected component.  Roots hang on smaller roots next to them and pointers
+    are then cut short, so rounds grow with the logarithm of the pixels."""
+    top, left = int(y.min()), int(x.min())
+    grid = np.full((int(y.max()) - top + 3, int(x.max()) - left + 3), -1, np.int64)
+    y, x = y - top + 1, x - left + 1
+    grid[y, x] = np.arange(len(y))
+    pairs = [(np.arange(len(y)), grid[y + dy, x + dx]) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    u, v = (np.concatenate(side) for side in zip(*((a[b >= 0], b[b >= 0]) for a, b in pairs)))
+    label = np.arange(len(y))
+    while True:
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        apart = low != high
+        if not apart.any():
+            return label
+        u, v = u[apart], v[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _in_tile(rows: pa.Table) -> pa.Table:
+    """Pixels of one tile with their component's least number in the tile."""
+    y, x = (rows.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+    order = np.lexsort((x, y))
+    at = (y * STRIDE + x)[order]
+    rows = rows.take(pa.array(order)).select(["mask", "image_id", "y", "x"])
+    return rows.append_column("own", pa.array(at[tile_labels(y[order], x[order])]))
+
+
+def labelled_each(masks: list[DataFrame], tile: int = TILE) -> list[DataFrame]:
+    """(image_id, y, x, label) for each mask: label is the least y * STRIDE + x of
+    the pixel's 8-connected component in its mask.
+
+    Components are found tile by tile; only those that touch across a border of
+    tiles become edges, and one search joins them for all masks.  A repeated
+    pixel counts once.
     """
-    nodes, edges = [], None
-    for k, (mask, a) in enumerate(masks):
-        o = "y" if a == "x" else "x"
-        w = f"PARTITION BY image_id, {o}"
-        runs = mask.select("image_id", "y", "x").distinct().selectExpr("*", f"{a} - row_number() OVER ({w} ORDER BY {a}) AS run").selectExpr("image_id", "y", "x", f"min({a}) OVER ({w}, run) AS a0")
-        first = {a: F.col("a0"), o: F.col(o)}
-        node = runs.withColumn("v", F.struct(F.lit(k).alias("mask"), "image_id", (first["y"].cast("long") * STRIDE + first["x"]).alias("at")))
-        beside = node.select("image_id", (F.col(o) + 1).alias(o), F.explode(F.array(F.col(a) - 1, a, F.col(a) + 1)).alias(a), F.col("v").alias("u"))
-        own = node.select("image_id", "y", "x", "v").join(beside, ["image_id", "y", "x"]).select("u", "v").distinct()
-        edges = own if edges is None else edges.unionByName(own)
-        nodes.append(node)
-    roots = components(edges)
-    return [node.join(roots, "v", "left").select("image_id", "y", "x", F.coalesce("root", "v")["at"].alias("label")) for node in nodes]
-
-
-def labelled(mask: DataFrame, along: str = "x") -> DataFrame:
+    pixels = None
+    for k, mask in enumerate(masks):
+        own = mask.select(F.lit(k).alias("mask"), "image_id", "y", "x")
+        pixels = own if pixels is None else pixels.unionByName(own)
+    kinds = dict(pixels.dtypes)
+    at = ["mask", "image_id", "y", "x"]
+    tiles = pixels.distinct().withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)}).groupBy("mask", "image_id", "ty", "tx")
+    found = written(tiles.applyInArrow(_in_tile, ", ".join([*(f"{c} {kinds[c]}" for c in at), "own long"])), "tiles")
+    last = {c: F.pmod(F.col(c), F.lit(tile)) == tile - 1 for c in "yx"}
+    edge = found.where(last["y"] | last["x"] | (F.pmod("y", F.lit(tile)) == 0) | (F.pmod("x", F.lit(tile)) == 0))
+    place = lambda dy, dx: F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
+    beside = F.concat(F.when(last["x"], F.array(*(place(dy, 1) for dy in (-1, 0, 1)))).otherwise(F.array()), F.when(last["y"], F.array(*(place(1, dx) for dx in (-1, 0, 1)))).otherwise(F.array()))
+    across = edge.select("mask", "image_id", "own", F.explode(beside).alias("b")).select("mask", "image_id", "b.y", "b.x", F.col("own").alias("near"))
+    node = lambda c: F.struct("mask", "image_id", F.col(c).alias("at"))
+    edges = written(across.join(edge, at).where("near <> own").select(node("near").alias("u"), node("own").alias("v")).distinct(), "tile-edges")
+    if edges.isEmpty():
+        whole = found.withColumnRenamed("own", "label")
+    else:
+        roots = components(edges).select(F.col("v.mask").alias("mask"), F.col("v.image_id").alias("image_id"), F.col("v.at").alias("own"), F.col("root.at").alias("root"))
+        whole = found.join(roots, ["mask", "image_id", "own"], "left").withColumn("label", F.coalesce("root", "own"))
+    return [whole.where(F.col("mask") == k).select("image_id", "y", "x", "label") for k in range(len(masks))]
+
+
+def labelled(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """``labelled_each`` for one mask."""
-    return labelled_each([(mask, along)])[0]
+    return labelled_each([mask], tile)[0]
 
 
 def component_stats(labels: DataFrame) -> DataFrame:

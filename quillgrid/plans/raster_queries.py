@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import classify
+from ..operators import classify, contours
 from ..operators import raster as r
+from ..operators import resample
 from . import views as v
 from .registry import query
 
@@ -241,3 +242,95 @@ q AS (SELECT image_id, box, {", ".join(f"CAST((2 * sum({c} * n) + sum(n)) // (2
 SELECT image_id, y, x, qr AS r, qg AS g, qb AS b FROM rgb JOIN m3 USING (image_id, r, g, b) JOIN q USING (image_id, box)""")
 def quantize_rgb(s, d):
     return r.median_cut_rgb(v.rgb(s, d), 3)
+
+
+def _lanczos(factor):
+    """Both passes on the dense grid; a kernel of three lobes, stretched when the image shrinks."""
+    stretch = min(1.0, factor)
+
+    def table(name, side):
+        z = f"((at - centre) * {stretch}::DOUBLE * pi())"
+        return f"""{name}o AS (SELECT n, o, (o + 0.5::DOUBLE) / {factor}::DOUBLE - 0.5::DOUBLE AS centre FROM (SELECT n, unnest(range(0, greatest(1, CAST(floor(n * {factor}::DOUBLE + 0.5) AS BIGINT)))) AS o FROM (SELECT DISTINCT {side} AS n FROM size))),
+{name}e AS (SELECT n, o, centre, unnest(range(CAST(ceil(centre - {3 / stretch!r}::DOUBLE) AS BIGINT), CAST(floor(centre + {3 / stretch!r}::DOUBLE) AS BIGINT) + 1)) AS at FROM {name}o),
+{name} AS (SELECT n, o, greatest(0, least(n - 1, at)) AS s, CAST(sum(CAST(floor(CASE WHEN abs({z}) < 1e-9 THEN 1 ELSE 3 * sin({z}) * sin({z} / 3) / ({z} * {z}) END * 65536 + 0.5) AS BIGINT)) AS BIGINT) AS weight FROM {name}e GROUP BY ALL)"""
+
+    return f"""WITH {v.PIXELS}, size AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM pixels GROUP BY image_id),
+{table("wx", "width").replace(" at ", " k ").replace("(at ", "(k ").replace(" at)", " k)")}, {table("wy", "height").replace(" at ", " k ").replace("(at ", "(k ").replace(" at)", " k)")},
+hp AS (SELECT image_id, height, y, o AS x, CAST(floor((sum(weight * g * 256) / sum(weight)::DOUBLE) + 0.5) AS BIGINT) AS g FROM pixels JOIN size USING (image_id) JOIN wx ON wx.n = width AND wx.s = x GROUP BY image_id, height, y, o)
+SELECT image_id, CAST(o AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(greatest(0, least(255, floor(sum(weight * g) / (sum(weight) * 256::DOUBLE) + 0.5))) AS INTEGER) AS g FROM hp JOIN wy ON wy.n = height AND wy.s = y GROUP BY image_id, o, x"""
+
+
+@query("rescale_lanczos", _lanczos(1.5))
+def rescale_lanczos(s, d):
+    return resample.lanczos_rescaled(v.pixels(s, d), 1.5)
+
+
+@query("rescale_lanczos_smaller", _lanczos(0.4))
+def rescale_lanczos_smaller(s, d):
+    return resample.lanczos_rescaled(v.pixels(s, d), 0.4)
+
+
+def _octree(most):
+    """Leaves given up on each level, in the order of pixels and colour, as long as more than ``most`` are left."""
+    levels = ""
+    for k in range(7, -1, -1):
+        levels += f""",
+i{k} AS (SELECT image_id, r >> {7 - k} AS r, g >> {7 - k} AS g, b >> {7 - k} AS b, sum(n) AS n FROM c GROUP BY ALL),
+o{k} AS (SELECT image_id, r >> 1 AS r, g >> 1 AS g, b >> 1 AS b, count(*) AS children, sum(n) AS n FROM i{k} GROUP BY ALL),
+g{k} AS (SELECT a.image_id, a.r, a.g, a.b FROM o{k} a LEFT JOIN o{k} z ON z.image_id = a.image_id AND (z.n, z.r, z.g, z.b) < (a.n, a.r, a.g, a.b) GROUP BY a.image_id, a.r, a.g, a.b
+  HAVING (SELECT count(*) FROM i{k} WHERE i{k}.image_id = a.image_id) - coalesce(sum(z.children - 1), 0) > {most})"""
+    depth = " ".join(f"WHEN (image_id, r >> {8 - k}, g >> {8 - k}, b >> {8 - k}) IN (SELECT (image_id, r, g, b) FROM g{k}) THEN {k}" for k in range(8))
+    return f"""WITH {v.RGB}, c AS (SELECT image_id, r, g, b, count(*) AS n FROM rgb GROUP BY ALL){levels},
+d AS (SELECT *, CASE {depth} ELSE 8 END AS depth FROM c),
+l AS (SELECT *, r >> (8 - depth) AS lr, g >> (8 - depth) AS lg, b >> (8 - depth) AS lb FROM d),
+m AS (SELECT image_id, depth, lr, lg, lb, {", ".join(f"CAST((2 * sum({c} * n) + sum(n)) // (2 * sum(n)) AS INTEGER) AS q{c}" for c in "rgb")} FROM l GROUP BY ALL)
+SELECT rgb.image_id, y, x, qr AS r, qg AS g, qb AS b FROM rgb JOIN l USING (image_id, r, g, b) JOIN m USING (image_id, depth, lr, lg, lb)"""
+
+
+@query("quantize_octree", _octree(12))
+def quantize_octree(s, d):
+    return resample.octree(v.rgb(s, d), 12)
+
+
+def web_palettes(s, d):
+    return v.rgb(s, d).select("image_id").distinct().crossJoin(F.broadcast(s.createDataFrame(WEB, "cindex int, r int, g int, b int")))
+
+
+@query("dither_floyd_steinberg", None)
+def dither_floyd_steinberg(s, d):
+    return resample.floyd_steinberg(v.rgb(s, d), web_palettes(s, d))
+
+
+@query("dither_riemersma", None)
+def dither_riemersma(s, d):
+    return resample.riemersma(v.rgb(s, d), web_palettes(s, d))
+
+
+#: Sides of pixels that face the background one by one, then walked from each ring's first until it comes round.
+RINGS = f"""{LABELS}, side AS (SELECT m.image_id, m.y, m.x, s.dir, m.y + s.fy AS y0, m.x + s.fx AS x0, m.y + s.ty AS y1, m.x + s.tx AS x1
+  FROM mask m, (VALUES (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 1), (2, 1, 0, 1, 1, 1, 0), (3, 0, -1, 1, 0, 0, 0)) s(dir, dy, dx, fy, fx, ty, tx)
+  WHERE NOT EXISTS (SELECT 1 FROM mask n WHERE n.image_id = m.image_id AND n.y = m.y + dy AND n.x = m.x + dx)),
+go AS MATERIALIZED (SELECT a.image_id, a.y0, a.x0, a.dir, a.y, a.x, arg_min([b.y0, b.x0, b.dir], CASE (b.dir - a.dir + 4) % 4 WHEN 3 THEN 0 ELSE 1 END) AS nxt FROM side a JOIN side b ON a.image_id = b.image_id AND a.y1 = b.y0 AND a.x1 = b.x0 GROUP BY ALL),
+hop AS (SELECT image_id, [y0, x0, dir] AS e, nxt, y, x FROM go),
+walk2 AS (SELECT image_id, e AS root, e, 0 AS step FROM hop UNION ALL SELECT w.image_id, root, hop.nxt, step + 1 FROM walk2 w JOIN hop ON hop.image_id = w.image_id AND hop.e = w.e WHERE hop.nxt > root),
+-- a ring's first side is reached again from all of its sides, and none of them is less
+ends AS (SELECT DISTINCT w.image_id, root FROM walk2 w JOIN hop ON hop.image_id = w.image_id AND hop.e = w.e WHERE hop.nxt = root),
+cor AS (SELECT w.image_id, root, w.e, step, lag(w.e[3]) OVER (PARTITION BY w.image_id, root ORDER BY step) AS was FROM walk2 w JOIN ends USING (image_id, root)),
+outl AS (SELECT image_id, root, count(*) AS n_corners, string_agg(e[2] || ',' || e[1], ' L ' ORDER BY step) AS points FROM cor WHERE was IS NULL OR was <> e[3] GROUP BY ALL),
+-- the area by Green: down along the right of a pixel, up along its left
+ar AS (SELECT image_id, root, CAST(sum(CASE e[3] WHEN 1 THEN e[2] WHEN 3 THEN -e[2] ELSE 0 END) AS DOUBLE) AS area FROM cor GROUP BY ALL)
+SELECT o.image_id, l.label, o.root[1] * {4 * (STRIDE // 8)} + o.root[2] * 4 + o.root[3] AS ring, n_corners, area, 'M ' || points || ' Z' AS d
+FROM outl o JOIN ar USING (image_id, root) JOIN hop ON hop.image_id = o.image_id AND hop.e = o.root JOIN labels l ON l.image_id = o.image_id AND l.y = hop.y AND l.x = hop.x"""
+
+
+@query("trace_contours", f"WITH RECURSIVE {RINGS}")
+def trace_contours(s, d):
+    corners = contours.written(contours.rings(v.mask(s, d)), "corners")
+    return contours.outlines(corners).join(contours.with_labels(corners, labels(s, d)), ["image_id", "ring"]).select("image_id", "label", "ring", "n_corners", "area", "d")
+
+
+@query("trace_polygons", None)
+def trace_polygons(s, d):
+    """Outlines of despeckled masks within 1.5 pixels, as paths."""
+    mask = r.despeckled(r.labelled(coarse(s, d)), 2)
+    return contours.outlines(contours.simplified(contours.rings(mask), 1.5))

@@ -6,7 +6,7 @@ from quillgrid.plans import catalog
 from tests.compare import check_against_duckdb
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, name):
     check_against_duckdb(spark, catalog.QUERIES[name], catalog.ORACLES[name])
 
