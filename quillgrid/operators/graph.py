@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import HOT_ROWS, hot_join
-from ..functions.storage import written
+from ..functions.storage import dropped, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _with_least(edges: DataFrame, most: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each node of the edges (u, v): root is the least node of
-    its component.  Each round is written to the shared folder; rounds grow with
+    its component.  Each round is written to the shared folder and takes the place of the one before; rounds grow with
     the logarithm of the longest path.  Only counts reach the driver.
 
     Nulls and self-loops are ignored; repeated edges count once; without edges
@@ -38,11 +38,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        if rows > HOT_ROWS:  # it is read twice below
+        twice = rows > HOT_ROWS  # large is read twice below
+        if twice:
             large = written(large, "edges")
         small = _with_least(large, 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(_least(large).select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
+        after = written(small, "edges")
+        dropped(edges, *([large] if twice else []))
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
