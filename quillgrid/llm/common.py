@@ -8,17 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_path, written
+from ..functions.joins import MAX_BROADCAST_KEYS, hot_join
+from ..functions.storage import dropped, lasting, shared_path, temporary, written
 
-__all__ = ["hot_join", "map_arrow", "pieces", "remainder", "shared_path", "table", "written"]
+__all__ = ["MAX_BROADCAST_KEYS", "dropped", "hot_join", "lasting", "map_arrow", "pieces", "remainder", "shared_path", "table", "temporary", "written"]
 
 #: Rows and bytes of what a task works on at a time; one longer row stands alone.
 PIECE_ROWS = 512
 PIECE_BYTES = 4 << 20
-#: A key with more rows than this is hot; its join is dealt out in parts of this size.
-HOT_ROWS = 100_000
-#: Hot keys that may be broadcast (a few dozen bytes each).
-MAX_BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,25 +50,6 @@ def map_arrow(df: DataFrame, run, schema, rows: int = PIECE_ROWS) -> DataFrame:
     return df.mapInArrow(bounded, schema)
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Inner join of ``rows`` with ``keyed`` on ``key``, without a hot key in one task.
-
-    keyed: one row per key, with ``copies``, how many rows carry it (not
-    returned).  Keys with more than ``HOT_ROWS`` of them, of which there are at
-    most rows / ``HOT_ROWS``, are dealt out in as many parts by the hash of
-    ``spread``, a column of ``rows``; their row in ``keyed`` goes to each part.
-    """
-    parts = F.ceil(F.col("copies") / HOT_ROWS)
-    hot = written(keyed.where(F.col("copies") > HOT_ROWS).select(F.col(key).alias("__key"), parts.alias("__parts")), "hot-keys")
-    n = hot.limit(MAX_BROADCAST_KEYS + 1).count()
-    if not n:
-        return rows.join(keyed.drop("copies"), key)
-    dealt = rows.join(F.broadcast(hot) if n <= MAX_BROADCAST_KEYS else hot, F.col(key) == F.col("__key"), "left")
-    dealt = dealt.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(spread), "__parts"), F.lit(0))).drop("__key", "__parts")
-    each = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("copies")
-    return dealt.join(each, [key, "__part"]).drop("__part")
-
-
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, map_arrow, written
+from .common import dropped, hot_join, lasting, map_arrow, temporary, written
 from ..operators.graph import components
 
 #: Generator polynomials (fixed values) of the binary Golay code and the Hamming code.
@@ -216,8 +216,13 @@ def _odd() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 2**63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _row():
+    """A hash of the text: rows that share a doc_id are told apart by it."""
+    return F.xxhash64("text")
+
+
 def _sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id; node, a hash of the words; keys, for each table the SimHash of the
+    """doc_id; row, a hash of the text; node, a hash of the words; keys, for each table the SimHash of the
     sampled shingles and the next least hash; shingles, the distinct shingles as 32-bit hashes."""
 
     def run(batches):
@@ -245,15 +250,16 @@ def _sketches(documents: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
+                    b.column("row"),
                     pa.array(node, pa.int64()),
                     pa.array(keys, pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64()), ("tail", pa.int64())]))),
                     pa.array(sets, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "node", "keys", "shingles"],
+                names=["doc_id", "row", "node", "keys", "shingles"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, node long, keys array<struct<place:int,key:long,tail:long>>, shingles array<int>")
+    return map_arrow(documents.select("doc_id", "text", _row().alias("row")), run, f"doc_id {kind}, row long, node long, keys array<struct<place:int,key:long,tail:long>>, shingles array<int>")
 
 
 def _linked_roots(similarity: float):
@@ -310,29 +316,30 @@ def _links_of_the_rest(at: DataFrame, roots: DataFrame, sets: DataFrame, similar
     of copies costs its size for each block of others and not its square.  A pair
     of blocks is one group.  No pairs are made as rows.
     """
-    rooted = at.select("place", "key", "node").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = at.select("at", "node").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # up to so many members, the neighbours have been all
-    crowded = rooted.groupBy("place", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    still = crowded.where(f"low < high AND n > {NEIGHBOURS + 1}").select("place", "key")
-    sized = rooted.join(still, ["place", "key"]).join(sets.select("node", F.size("shingles").alias("size")), "node")
+    crowded = rooted.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("copies"))
+    still = crowded.where(f"low < high AND copies > {NEIGHBOURS + 1}").select("at", "copies")
+    sized = hot_join(rooted, still, "at", F.col("node")).join(sets.select("node", F.size("shingles").alias("size")), "node")
     home = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + F.lit(1e-9)).cast("int")
     banded = sized.where("size > 0").withColumn("home", home).withColumn("band", F.explode(F.array("home", F.col("home") - 1)))
-    banded = written(banded.select("place", "key", "band", (F.col("home") == F.col("band")).alias("home"), "node", "root"), "bands")
-    by_root = banded.groupBy("place", "key", "band", "root").agg(
+    banded = banded.select(F.struct("at", "band").alias("at"), (F.col("home") == F.col("band")).alias("home"), "node", "root")
+    banded = written(banded, "bands")
+    by_root = banded.groupBy("at", "root").agg(
         F.count("*").alias("n"), F.count_if("home").alias("homes"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")
     )
-    groups = by_root.groupBy("place", "key", "band").agg(
+    groups = by_root.groupBy("at").agg(
         F.count("*").alias("roots"), F.sum("homes").alias("homes"), F.sum("n").alias("n"), F.sum("same").alias("same"), F.max(F.struct("n", "root")).alias("top")
     )
     # the same members under several keys are compared once
-    once = groups.where("roots > 1 AND homes > 0").groupBy("same", "n").agg(F.min(F.struct("place", "key", "band", "top")).alias("k")).select("k.*", "n")
-    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES * F.pow(F.lit(similarity), F.col("band") + 2))))
-    once = once.select("place", "key", "band", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / rows).alias("others"), F.ceil(F.col("top.n") / rows).alias("tops"))
-    dealt = banded.join(once, ["place", "key", "band"]).withColumn("is_top", F.expr("root = top"))
+    once = groups.where("roots > 1 AND homes > 0").groupBy("same", "n").agg(F.min(F.struct("at", "top")).alias("k")).select("k.*", "n")
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES * F.pow(F.lit(similarity), F.col("at.band") + 2))))
+    once = once.select("at", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / rows).alias("others"), F.ceil(F.col("top.n") / rows).alias("tops"), F.col("n").alias("copies"))
+    dealt = hot_join(banded, once, "at", F.col("node")).withColumn("is_top", F.expr("root = top"))
     dealt = dealt.withColumn("own", F.expr("if(is_top, others + pmod(xxhash64(node), tops), pmod(xxhash64(node), others))"))
     dealt = dealt.withColumn("other", F.expr("explode(sequence(0L, if(is_top, others, others + tops) - 1))"))
-    dealt = dealt.select("place", "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    return dealt.join(sets, "node").groupBy("place", "key", "band", "i", "j").applyInPandas(_linked_roots(similarity), "u long, v long").distinct()
+    dealt = dealt.select("at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    return dealt.join(sets, "node").groupBy("at", "i", "j").applyInPandas(_linked_roots(similarity), "u long, v long").distinct()
 
 
 def _short_pairs(sketch: DataFrame, similarity: float) -> DataFrame:
@@ -357,10 +364,10 @@ def _candidates(at: DataFrame) -> DataFrame:
     Buckets within one component give none.
     """
     me = F.struct("node", "root")
-    least = at.groupBy("place", "key").agg(F.min(me).alias("n0"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    least = at.groupBy("at").agg(F.min(me).alias("n0"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.count("*").alias("copies")).where("low < high")
     # neighbours in the order of the next least hash; large buckets are salted
-    salted = at.join(least, ["place", "key"]).withColumn("salt", F.expr(f"pmod(xxhash64(node), ceil(n / {BLOCK_ROWS}))"))
-    bucket = "PARTITION BY place, key, salt ORDER BY tail, node"
+    salted = hot_join(at, least, "at", F.col("node")).withColumn("salt", F.expr(f"pmod(xxhash64(node), ceil(n / {BLOCK_ROWS}))"))
+    bucket = "PARTITION BY at, salt ORDER BY tail, node"
     near = salted.select(me.alias("a"), "n0", *(F.expr(f"lead(struct(node, root), {i}) OVER ({bucket})").alias(f"n{i}") for i in range(1, NEIGHBOURS + 1)))
     met = F.array(*(f"n{i}" for i in range(NEIGHBOURS + 1)))
     pairs = near.select("a", F.explode(F.filter(met, lambda b: b.root != F.col("a.root"))).alias("b"))
@@ -375,8 +382,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, keeper) of every document with an id: keeper is the smallest id
-    of its group of near-duplicates by shingle-set similarity.
+    """(doc_id, row, copies, keeper, keeper_row) of every doc_id and text: row is
+    a hash of the text, copies how many rows have both, and keeper and keeper_row
+    are those of the smallest (doc_id, row) of its group of near-duplicates by
+    shingle-set similarity; null ids come last.
 
     Documents that share a fingerprint share a bucket.  First each is compared
     with the least one and a few neighbours of its bucket, which joins almost all
@@ -387,33 +396,52 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
     found exactly (``_short_pairs``).
     """
     sketch = written(_sketches(documents, words), "sketches")
-    at = written(sketch.select("node", F.explode("keys").alias("k")).select("node", "k.place", "k.key", "k.tail").distinct(), "buckets")
-    shared = at.groupBy("place", "key").count().where("count > 1").select("place", "key")
-    at = written(at.join(shared, ["place", "key"], "left_semi"), "shared-buckets")
+    all_at = written(sketch.select("node", F.explode("keys").alias("k")).select("node", F.struct("k.place", "k.key").alias("at"), "k.tail").distinct(), "buckets")
+    shared = all_at.groupBy("at").agg(F.count("*").alias("copies")).where("copies > 1")
+    at = written(hot_join(all_at, shared, "at", F.col("node")), "shared-buckets")
+    dropped(all_at)
     short = written(_short_pairs(sketch, similarity), "short-pairs")
     compared = at.select("node").unionByName(short.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     # copies are merged before the join, so that none of them is a hot key
-    sets = sketch.groupBy("node").agg(F.min_by("shingles", "doc_id").alias("shingles")).join(compared, "node", "left_semi")
+    sets = sketch.groupBy("node").agg(F.min_by("shingles", "row").alias("shingles")).join(compared, "node", "left_semi")
     sets = written(sets.where("shingles IS NOT NULL"), "shingle-sets")
-    first = _candidates(at.where(f"place < {FIRST}").withColumn("root", F.col("node")))
+    first = _candidates(at.where(f"at.place < {FIRST}").withColumn("root", F.col("node")))
     known = first.unionByName(short.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
     linked = written(_alike(written(known, "first-candidates"), sets, similarity), "first-links")
     roots = written(components(linked), "first-roots").withColumnRenamed("v", "node")
-    later = at.where(f"place >= {FIRST}").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    later = at.where(f"at.place >= {FIRST}").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = linked.unionByName(_alike(written(_candidates(later), "candidates"), sets, similarity))
     roots = written(components(linked), "roots")
     rest = written(_links_of_the_rest(at, roots, sets, similarity), "rest")
-    ids = sketch.select("doc_id", "node").where("doc_id IS NOT NULL")
-    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = written(sketch.groupBy("doc_id", "row", "node").agg(F.count("*").alias("rows")), "rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    nodes = ids.groupBy("node").agg(least.alias("least"), F.count("*").alias("copies")).join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not rest.isEmpty():
         joined = components(rest).select(F.col("v").alias("root"), F.col("root").alias("top"))
         nodes = nodes.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    least = nodes.groupBy("root").agg(F.min("least").alias("keeper"))
-    return ids.join(nodes.select("node", "root").join(least, "root").select("node", "keeper"), "node").select("doc_id", "keeper").distinct()
+    nodes = written(nodes, "rooted")
+    first_of = nodes.groupBy("root").agg(F.min("least").alias("keeper"), F.count("*").alias("copies"))
+    known = hot_join(nodes.select("node", "root", F.col("copies").alias("n")), first_of, "root", F.col("node")).select("node", "keeper", F.col("n").alias("copies"))
+    told = hot_join(ids, written(known, "keepers"), "node", F.xxhash64("doc_id", "row"))
+    return told.select("doc_id", "row", F.col("rows").alias("copies"), F.col("keeper.doc_id").alias("keeper"), F.col("keeper.row").alias("keeper_row"))
 
 
 def near_duplicates_removed(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``documents`` without those whose group has a smaller id; rows without an
-    id cannot be ordered and stay."""
-    gone = similar_groups(documents, words, similarity).where("doc_id <> keeper").select("doc_id")
-    return documents.join(written(gone, "duplicates"), "doc_id", "left_anti").select(*documents.columns)
+    """``documents`` with one row of each group of near-duplicates, that of the
+    smallest id (then hash of the text; null ids come last).
+
+    Rows are told apart by id and text, so a text of its own stays although
+    another row with its id goes; of rows that repeat both, one stays.
+    """
+    with temporary(documents.sparkSession):
+        told = similar_groups(documents, words, similarity)
+        keeps = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("row") == F.col("keeper_row"))
+        told = told.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), keeps.alias("__keeps"), "copies").where("NOT __keeps OR copies > 1").drop("copies")
+        told = lasting(written(told, "decisions"))
+    rows = documents.withColumn("__row_of", _row())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_of") == F.col("__row"))
+    out = rows.join(told, same, "left_anti")
+    repeated = told.where("__keeps")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__row_of"]))
+    return out.select(*documents.columns)

@@ -365,6 +365,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {i for i in sets if find(i) == i}
 
 
+def test_near_duplicates_are_told_apart_by_id_and_text(spark):
+    """A text of its own stays although its id has a duplicate, too; of repeated rows one stays."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "just some other words that stand alone")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (None, a), (None, "nobody knows who wrote this line"), (None, "nobody knows who wrote this line")]
+    got = [(r.doc_id, r.text) for r in simhash.near_duplicates_removed(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (3, c), (None, "nobody knows who wrote this line")], key=repr)
+
+
+def test_hot_buckets_and_copies_give_the_same_groups(spark, monkeypatch):
+    from quillgrid.functions import joins
+
+    rows = [(i, f"the same long passage of many words stands here and there {'x' * (i % 9)}") for i in range(120)] + [(200 + i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)]
+    want = sorted((r.doc_id, r.keeper) for r in simhash.similar_groups(frame(spark, rows)).collect())
+    monkeypatch.setattr(joins, "HOT_ROWS", 7)
+    assert sorted((r.doc_id, r.keeper) for r in simhash.similar_groups(frame(spark, rows)).collect()) == want
+    assert {k for i, k in want if i < 120} == {0}
+
+
 def test_small_sets_meet_without_shared_fingerprints(spark, monkeypatch):
     """Texts of 8 to 13 words, against brute force, where no fingerprint helps but that of equal sets."""
     monkeypatch.setattr(simhash, "SAMPLE", 1000)
@@ -405,7 +423,7 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert 40 < len(set(root)) < len(root) - 20
-    at = spark.createDataFrame([(0, 7, n, 0) for n in range(len(sets))], "place int, key long, node long, tail long")
+    at = spark.createDataFrame([((0, 7), n, 0) for n in range(len(sets))], "at struct<place: int, key: long>, node long, tail long")
     known = spark.createDataFrame([(1, 0)] if root[1] == 0 else [], "v long, root long")
     table_of_sets = spark.createDataFrame([(n, sorted(x)) for n, x in enumerate(sets)], "node long, shingles array<int>")
     found = {n: n for n in range(len(sets))} | {r.v: r.root for r in known.collect()}
@@ -686,9 +704,9 @@ def test_url_templates_pool_below_wildcards(spark):
 
 def test_url_oddities_and_the_join_beyond_broadcast(spark, monkeypatch):
     """Repeated rows, very long paths, clashing columns; forms too many to broadcast, one of them hot."""
-    from quillgrid.llm import common
+    from quillgrid.functions import joins
 
-    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
     rows = [(i, "http://h.tld/hot", i % 2, "x", 1) for i in range(200)] + [(1000 + i, f"http://h.tld/p/{'s' * (i % 5)}/{i}", None, "y", 2) for i in range(50)]
     rows += [(2000, "http://h.tld/" + "/".join(["d"] * 300), None, "z", 3), (2000, "http://h.tld/" + "/".join(["d"] * 300), None, "z", 3), (2001, None, 1, None, None), (2002, "http://h.tld/" + "q" * 100_000, 0, "", 0)]
     urls = spark.createDataFrame(rows, "page_id long, url string, bad int, copies string, n int")
@@ -717,9 +735,9 @@ def test_warc_urls_with_other_white_space(spark):
 
 
 def test_warc_hot_payload_and_lost_target(spark, monkeypatch):
-    from quillgrid.llm import common
+    from quillgrid.functions import joins
 
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
     rows = [(i, f"http://h/{i}", "" if i < 90 else str(i)) for i in range(100)]
     capture = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(capture).collect()}
