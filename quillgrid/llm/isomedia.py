@@ -85,7 +85,8 @@ def wrap(data: bytes) -> bytes:
 
 @dataclass
 class Track:
-    """What the boxes of one track say."""
+    """What the boxes of one track say; offsets and sizes of all samples, and
+    which of them are keyframes."""
 
     handler: str = ""
     codec: str = ""
@@ -94,74 +95,102 @@ class Track:
     timescale: int = 0
     duration: int = 0
     tables: dict[bytes, memoryview] = field(default_factory=dict)
-
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Offset and size of every sample, from stsz, stsc and stco or co64."""
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    keys: np.ndarray | None = None
+
+    def _numbers(self, kind: bytes, width: int, per: int = 1, head: int = 4) -> np.ndarray:
+        """The whole entries of a table that begins with their count."""
+        body = self.tables[kind]
+        n = struct.unpack_from(">I", body, head)[0] * per
+        if n * width > len(body) - head - 4:
+            raise ValueError("a table is longer than its box")
+        return np.frombuffer(body, f">u{width}", n, head + 4).astype(np.int64)
+
+    def decode(self, length: int) -> None:
+        """Places of samples, from stsz, stsc and stco or co64, in a file of so many
+        bytes.  What contradicts itself or the file is a ValueError, before
+        anything is made that is larger than the file."""
         if not {b"stsz", b"stsc"} <= self.tables.keys():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        z = self.tables[b"stsz"]
-        same, n = struct.unpack_from(">II", z, 4)
-        sizes = np.full(n, same, np.int64) if same else np.frombuffer(z, ">u4", n, 12).astype(np.int64)
-        kind = b"co64" if b"co64" in self.tables else b"stco"
-        o = self.tables[kind]
-        chunks = np.frombuffer(o, ">u8" if kind == b"co64" else ">u4", struct.unpack_from(">I", o, 4)[0], 8).astype(np.int64)
-        c = self.tables[b"stsc"]
-        runs = np.frombuffer(c, ">u4", struct.unpack_from(">I", c, 4)[0] * 3, 8).reshape(-1, 3).astype(np.int64)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-        chunk = np.repeat(np.arange(len(chunks)), per)[:n]
-        before = np.cumsum(sizes) - sizes
+            return
+        same, n = struct.unpack_from(">II", self.tables[b"stsz"], 4)
+        if same and n * same > length:
+            raise ValueError("samples are longer than the file")
+        size = np.full(n, same, np.int64) if same else self._numbers(b"stsz", 4, head=8)
+        chunks = self._numbers(b"co64", 8) if b"co64" in self.tables else self._numbers(b"stco", 4)
+        runs = self._numbers(b"stsc", 4, 3).reshape(-1, 3)
+        times = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if len(runs) and runs[0, 0] != 1 or (times <= 0).any() or int((runs[:, 1] * times).sum()) != n or len(runs) == 0 and n:
+            raise ValueError("chunks do not hold the samples")
+        chunk = np.repeat(np.arange(len(chunks)), np.repeat(runs[:, 1], times)) if n else np.zeros(0, np.int64)
+        before = np.cumsum(size) - size
         first = np.searchsorted(chunk, np.arange(len(chunks)))
-        return chunks[chunk] + before - before[first[chunk]], sizes
+        at = chunks[chunk] + before - before[first[chunk]]
+        if (chunks[chunk] < 0).any() or (at + size > length).any():
+            raise ValueError("samples lie outside of the file")
+        if b"stss" in self.tables:
+            keys = self._numbers(b"stss", 4) - 1
+            if (keys < 0).any() or (keys >= n).any():
+                raise ValueError("keyframes that are no samples")
+            self.keys = keys
+        self.at, self.size = at, size
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and size of every sample."""
+        return self.at, self.size
 
     def keyframes(self) -> tuple[np.ndarray, np.ndarray]:
-        at, size = self.samples()
-        if b"stss" in self.tables:
-            s = self.tables[b"stss"]
-            keep = np.frombuffer(s, ">u4", struct.unpack_from(">I", s, 4)[0], 8).astype(np.int64) - 1
-            at, size = at[keep], size[keep]
-        return at, size
+        return (self.at, self.size) if self.keys is None else (self.at[self.keys], self.size[self.keys])
 
 
-def walk(data: memoryview, at: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, body) of every box, containers before what they hold."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+def walk(data: memoryview):
+    """(kind, parent, in_track, body) of every box, containers before what they
+    hold, however deep they nest.  What does not fit into its container ends it."""
+    todo = [(0, len(data), b"", False)]
+    while todo:
+        at, end, parent, in_track = todo.pop()
+        if at + 8 > end:
+            continue
         n, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if n == 1:
             n, head = struct.unpack_from(">Q", data, at + 8)[0], 16
         n = n or end - at
         if n < head or at + n > end:
-            return
-        yield (*path, kind), data[at + head : at + n]
+            continue
+        yield kind, parent, in_track, data[at + head : at + n]
+        todo.append((at + n, end, parent, in_track))
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + n, (*path, kind))
-        at += n
+            todo.append((at + head, at + n, kind, in_track or kind == b"trak"))
 
 
 def describe(data: bytes | None) -> tuple[str, list[Track]]:
-    """Brand and tracks; the bodies of media data boxes are stepped over."""
+    """Brand and tracks with their sample tables; the bodies of media data boxes
+    are stepped over.  A file with a malformed box or table has no tracks."""
     brand, tracks = "", []
     try:
-        for path, body in walk(memoryview(data or b"")):
-            kind = path[-1]
+        for kind, parent, in_track, body in walk(memoryview(data or b"")):
             if kind == b"ftyp":
                 brand = bytes(body[:4]).decode("latin-1")
             elif kind == b"trak":
                 tracks.append(Track())
-            elif not tracks or b"trak" not in path:
+            elif not in_track:
                 continue
             elif kind == b"mdhd":
                 tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ", body, 20) if body[0] else struct.unpack_from(">II", body, 12)
+                if tracks[-1].duration >> 63:
+                    raise ValueError("a duration beyond 63 bits")
             elif kind == b"hdlr":
                 tracks[-1].handler = bytes(body[8:12]).decode("latin-1")
             elif kind == b"stsd":
                 tracks[-1].codec = bytes(body[12:16]).decode("latin-1")
                 if tracks[-1].handler == "vide":
                     tracks[-1].width, tracks[-1].height = struct.unpack_from(">HH", body, 8 + 32)
-            elif len(path) > 1 and path[-2] == b"stbl":
+            elif parent == b"stbl":
                 tracks[-1].tables[kind] = body
-    except (struct.error, IndexError):
+        for track in tracks:
+            track.decode(len(data or b""))
+    except (struct.error, IndexError, KeyError, ValueError):
         return brand, []
     return brand, tracks
 
@@ -202,12 +231,15 @@ TRACKS = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), (
 TRACKS_SQL = "array<struct<handler:string,codec:string,timescale:long,duration:long,keyframes:array<struct<offset:long,length:long>>>>"
 
 
-def _told(tracks: list[Track]) -> list[dict]:
-    out = []
-    for t in tracks:
-        at, size = t.keyframes()
-        out.append({"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "keyframes": [{"offset": a, "length": n} for a, n in zip(at.tolist(), size.tolist())]})
-    return out
+def _told(files: list[list[Track]]) -> pa.Array:
+    """The tracks of each file; ranges go from numpy to Arrow without Python's objects."""
+    tracks = [t for own in files for t in own]
+    ranges = [t.keyframes() for t in tracks]
+    offsets = lambda n: pa.array(np.concatenate(([0], np.cumsum(n, dtype=np.int64))).astype(np.int32))
+    flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in ranges)])) for k in (0, 1)]
+    keyframes = pa.ListArray.from_arrays(offsets([len(r[0]) for r in ranges]), pa.StructArray.from_arrays(flat, fields=list(TRACKS.value_type.field("keyframes").type.value_type)))
+    columns = [pa.array([getattr(t, c) for t in tracks], k) for c, k in (("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()))]
+    return pa.ListArray.from_arrays(offsets([len(own) for own in files]), pa.StructArray.from_arrays([*columns, keyframes], fields=list(TRACKS.value_type)))
 
 
 def media_tracks(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -217,8 +249,8 @@ def media_tracks(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [_told(describe(m.as_py())[1]) for m in b.column(media_col)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, TRACKS)], names=[*names, "tracks"])
+            told = _told([describe(m.as_py())[1] for m in b.column(media_col)])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), told], names=[*names, "tracks"])
 
     kinds = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
     return map_arrow(df, run, f"{kinds}tracks {TRACKS_SQL}")
@@ -229,15 +261,16 @@ def digests(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
+            out, found = [], []
             for t in b.column("text"):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 data = wrap(padded(raw))
                 brand, tracks = describe(data)
                 back = payload(data, tracks[0])
-                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(brand, tracks[0], data), _told(tracks)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), TRACKS)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks"])
+                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(brand, tracks[0], data)))
+                found.append(tracks)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)), _told(found)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks {TRACKS_SQL}")
