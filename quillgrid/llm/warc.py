@@ -67,9 +67,10 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (m[2] or "/").lower()
 
 
-def capture_key(url: str | None, page_id: int | None) -> str:
-    """Key of one capture, unique by page id."""
-    return f"{url_key(url)} {'-' if page_id is None else page_id}"
+def capture_key(url: str | None, page_id: int | None, digest: str) -> str:
+    """Key of one capture, unique by page id and payload: pages that repeat an id
+    with another text are captures of their own."""
+    return f"{url_key(url)} {'-' if page_id is None else page_id} {digest}"
 
 
 def _record(kind: str, page_id, url, digest: str, payload: bytes, refers_to=None, refers_url=None) -> bytes:
@@ -142,7 +143,7 @@ def _writer(root: str):
                     revisit = winner is not None and winner != page_id
                     data = _gzip(_record("revisit" if revisit else "response", page_id, url, digest.as_py(), b"" if revisit else (payload or "").encode("utf-8", "surrogatepass"), winner, winner_url.as_py()))
                     out.write(data)
-                    lines.append((capture_key(url, page_id), name, at, len(data)))
+                    lines.append((capture_key(url, page_id, digest.as_py()), name, at, len(data)))
                     at += len(data)
                 yield told()
         finally:
@@ -314,8 +315,8 @@ def records(at: Capture) -> DataFrame:
                             if kind == "response":
                                 out.append((page, len(payload), sha1_base32(payload), kind, None, None))
                             else:
-                                target = _page(headers["warc-refers-to"])
-                                out.append((page, None, headers["warc-payload-digest"].removeprefix("sha1:"), kind, target, capture_key(headers.get("warc-refers-to-target-uri"), target)))
+                                target, digest = _page(headers["warc-refers-to"]), headers["warc-payload-digest"].removeprefix("sha1:")
+                                out.append((page, None, digest, kind, target, capture_key(headers.get("warc-refers-to-target-uri"), target, digest)))
                             data, member, parts = member.unused_data, zlib.decompressobj(31), []
                         else:
                             data = b""

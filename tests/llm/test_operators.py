@@ -211,6 +211,30 @@ def test_media_round_trip(spark):
     assert isomedia.describe(None)[1] == [] and isomedia.describe(b"\0\0\0\x20moov")[1] == []
 
 
+def test_malformed_media_have_no_tracks(spark):
+    """Counts and places that contradict the boxes or the file, and boxes nested beyond any recursion."""
+    import struct
+
+    good = isomedia.wrap(isomedia.padded(b"some text" * 500))
+
+    def changed(kind, at, *words):
+        i = good.index(kind) + 4 + at
+        return good[:i] + struct.pack(f">{len(words)}I", *words) + good[i + 4 * len(words) :]
+
+    nested = b""
+    for _ in range(3_000):
+        nested = struct.pack(">I4s", len(nested) + 8, b"moov") + nested
+    bad = {
+        "many samples": changed(b"stsz", 8, 1_000_000), "most samples": changed(b"stsz", 4, 1, 2**32 - 1), "few samples": changed(b"stsz", 8, 3), "sizes that are not there": changed(b"stsz", 4, 0, 1_000),
+        "keyframe count": changed(b"stss", 4, 10_000), "keyframe index": changed(b"stss", 8, 99_999), "keyframe zero": changed(b"stss", 8, 0), "no chunks": changed(b"stco", 4, 0),
+        "chunk beyond": changed(b"stco", 8, 2**31), "first run": changed(b"stsc", 8, 7), "run of none": changed(b"stsc", 12, 0), "run count": changed(b"stsc", 4, 2**31), "nested": nested, "cut": good[:-20],
+    }
+    assert [len(t.keyframes()[0]) for t in isomedia.describe(good)[1]] == [2]
+    rows = spark.createDataFrame([*bad.items(), ("good", good), ("none", None)], "name string, media binary")
+    got = {r.name: len(r.tracks) for r in isomedia.media_tracks(rows).collect()}
+    assert got == {k: 0 for k in bad} | {"good": 1, "none": 0}
+
+
 def test_media_tracks_of_another_layout(spark):
     """Media data behind a 64-bit size, sizes of their own, 64-bit offsets, no
     table of keyframes, two tracks of which one has gaps, unknown boxes."""
@@ -747,6 +771,13 @@ def test_warc_hot_payload_and_lost_target(spark, monkeypatch):
         warc.read(capture).collect()
 
 
+def test_warc_ids_that_repeat_with_other_payloads(spark):
+    rows = [(9, "http://u/", "A"), (9, "http://u/", "BBBB"), (1, "http://x/", "BBBB"), (2, "http://x/", "A"), (9, "http://v/", "BBBB")]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    b, a = (warc.sha1_base32(x) for x in (b"BBBB", b"A"))
+    assert sorted(map(tuple, got), key=repr) == sorted([(9, 1, a, "response", None), (9, 4, b, "response", None), (9, 4, b, "response", None), (1, 4, b, "revisit", 9), (2, 1, a, "revisit", 9)], key=repr)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a.b/c", "x"), (2, "http://a.b/d e", "x"), (3, None, None), (4, "http://q.r", ""), (5, "http://a.b/c", "x"), (5, "http://a.b/c", "x"), (None, "u", "y"), (6, "http://l.m", LONG), (7, "http://ü.de/\n", "ü")]
     capture = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
@@ -758,7 +789,7 @@ def test_warc_round_trip(spark):
         w = winner.get(html or "", i)
         want.append((i or 0, "response" if w == i else "revisit", None if w == i else w, len(raw), warc.sha1_base32(raw)))
     assert got == sorted(want)
-    keys = spark.createDataFrame([(warc.capture_key("http://a.b/c", 5),), (warc.capture_key("http://no.where", 1),), (None,)], "key string")
+    keys = spark.createDataFrame([(warc.capture_key("http://a.b/c", 5, warc.sha1_base32(dict((i, h) for i, _, h in rows)[5].encode())),), (warc.capture_key("http://no.where", 1, "A" * 32),), (None,)], "key string")
     assert [(r.page_id, r.payload_bytes) for r in warc.lookup(capture, keys).collect()] == [(5, 1)]
 
 
