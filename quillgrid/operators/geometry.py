@@ -2,8 +2,8 @@
 
 A path's anchor is its first move command under the transforms of its ancestors,
 outermost first, its own last.  The match of anchors to boxes is a range join;
-both sides meet in grid cells, so that it is an equi-join on (page, cell) whose
-rows are checked against the closed box.
+both sides meet in cells of grids of several levels, so that it is an equi-join on
+(page, level, cell) whose rows are checked against the closed box.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import written
 
-CELL = 32
 FILL = "#666666"
 FONT = "Arial, sans-serif"
 
@@ -75,15 +74,27 @@ def moved_points(at: DataFrame) -> DataFrame:
     return at.withColumns({"x0": x0, "y0": y0}).where("x0 IS NOT NULL AND y0 IS NOT NULL").selectExpr("page", "path_id", "path_ord", "x0 * m.sx + m.tx AS x", "y0 * m.sy + m.ty AS y")
 
 
-def match_paths(points: DataFrame, boxes: DataFrame, cell: int = CELL) -> DataFrame:
+def match_paths(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """(page, path_id, path_ord, word_id, left, top, text): the first box, by
-    word order, that holds the point; points in no box give no row."""
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.expr(hi) / cell)))
-    cells = boxes.withColumn("cx", span("left", "left + width")).withColumn("cy", span("top", "top + height"))
-    at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    hits = at.join(cells, ["page", "cx", "cy"]).where("x BETWEEN left AND left + width AND y BETWEEN top AND top + height")
-    first = F.min_by(F.struct("word_id", "left", "top", "text"), F.struct("word_ord", "word_id"))
-    return hits.groupBy("page", "path_id", "path_ord").agg(first.alias("w")).select("page", "path_id", "path_ord", "w.*")
+    word order, that holds the point; points in no box give no row.
+
+    A box lies in the grid of its level, whose cells are at least as long as its
+    longer side, so it is in four cells at most, whatever its size.  A point looks
+    into one cell of each level that its page has, some sixty at most.  Boxes
+    of negative size or without a number hold nothing.
+    """
+    whole = boxes.where("width >= 0 AND height >= 0 AND left IS NOT NULL AND top IS NOT NULL")
+    sized = whole.withColumn("level", F.ceil(F.log2(F.greatest("width", "height", F.lit(1)))).cast("int"))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.expr(hi) / side)))
+    cells = sized.withColumn("cx", span("left", "left + width")).withColumn("cy", span("top", "top + height"))
+    levels = sized.groupBy("page").agg(F.collect_set("level").alias("levels"))
+    at = points.join(levels, "page").withColumn("level", F.explode("levels")).drop("levels")
+    at = at.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    hits = at.join(cells.select("page", "level", "cx", "cy", "word_id", "word_ord", "left", "top", "width", "height"), ["page", "level", "cx", "cy"]).where("x BETWEEN left AND left + width AND y BETWEEN top AND top + height")
+    # numbers only, so that the least is kept in place without a sort; the texts come after
+    first = hits.groupBy("page", "path_id", "path_ord").agg(F.min(F.struct("word_ord", "word_id")).alias("w")).select("page", "path_id", "path_ord", "w.*")
+    return first.join(boxes.select("page", "word_ord", "word_id", "left", "top", "text").dropDuplicates(["page", "word_ord", "word_id"]), ["page", "word_ord", "word_id"]).select("page", "path_id", "path_ord", "word_id", "left", "top", "text")
 
 
 def paths_per_word(matches: DataFrame) -> DataFrame:
@@ -92,7 +103,8 @@ def paths_per_word(matches: DataFrame) -> DataFrame:
 
 
 def without_matched(paths: DataFrame, matches: DataFrame) -> DataFrame:
-    return paths.join(matches.select("path_id"), "path_id", "left_anti")
+    """Paths that no word has; ids are those of a page and may be another page's, too."""
+    return paths.join(matches.select("page", "path_id"), ["page", "path_id"], "left_anti")
 
 
 def coloured_groups(groups: DataFrame) -> DataFrame:

@@ -77,8 +77,8 @@ def argument_status(rows: DataFrame, low: float, high: float | None, kind: str =
     return rows.withColumn("status", F.when(n.isNull(), f"must be {name}").when(inside, "ok").otherwise(f"must be {limits}"))
 
 
-#: Options of a run with kind, least, most, default and choices (fixed values).
-OPTIONS = [
+#: Options of a parallel run with kind, least, most, default and choices (fixed values).
+PARALLEL = [
     ("colors", "int", 0.0, 256.0, None, None),
     ("quantization", "choice", None, None, "mc", "mc,as,nq"),
     ("remap", "text", None, None, None, None),
@@ -92,19 +92,22 @@ OPTIONS = [
     ("floydsteinberg", "flag", None, None, "false", None),
     ("riemersma", "flag", None, None, "false", None),
 ]
+#: A run that goes image by image has no cores, scales by 1 unless told otherwise and
+#: takes the background as a colour (fixed values).
+SEQUENTIAL = [{"prescale": ("prescale", "float", 0.1, None, "1.0", None), "background": ("background", "text", None, None, None, None)}.get(o[0], o) for o in PARALLEL if o[0] != "cores"]
 #: Of each of these pairs a run may set one; of the first it must.
 EXCLUSIVE = [("colors", "remap"), ("floydsteinberg", "riemersma")]
 
 
-def option_values(given: DataFrame, options: list[tuple] = OPTIONS) -> DataFrame:
+def option_values(given: DataFrame, sequential: bool = True) -> DataFrame:
     """(run_id, option, value, status) for every option of every run of (run_id,
     option, value): what is given or the default, and what is wrong with it.
 
-    The last value of an option counts (order: ``ord``); an option that does not
+    Runs go image by image unless they are said to be parallel.  The last value of an option counts (order: ``ord``); an option that does not
     exist has the status ``unknown``.  The table of options is one of a dozen rows.
     """
     spark = given.sparkSession
-    known = spark.createDataFrame(options, "option string, kind string, low double, high double, default string, choices string")
+    known = spark.createDataFrame(SEQUENTIAL if sequential else PARALLEL, "option string, kind string, low double, high double, default string, choices string")
     last = given.groupBy("run_id", "option").agg(F.max_by("value", "ord").alias("value"))
     wanted = given.select("run_id").distinct().crossJoin(F.broadcast(known))
     both = wanted.join(last, ["run_id", "option"], "full")

@@ -21,36 +21,43 @@ ITEMS = f"WITH {v.LAYOUT_ITEMS}"
 
 
 def _placed(along, across, least, spacing, margin, direction):
-    before = f"round({margin}::DOUBLE + coalesce(sum(length + {spacing}) OVER (PARTITION BY layout_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6)"
+    before = f"{margin}::DOUBLE + coalesce(sum(length + {spacing}) OVER (PARTITION BY layout_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     breadth = "(SELECT z.w FROM items z WHERE z.layout_id = st.layout_id ORDER BY z.pos DESC LIMIT 1)" if direction == "c" else f"max({across}) OVER (PARTITION BY layout_id)"
     m = f"{margin}::DOUBLE"
+    need = f"({margin}::DOUBLE + (SELECT z.{along} FROM items z WHERE z.layout_id = items.layout_id ORDER BY z.pos DESC LIMIT 1))" if direction == "c" else f"(2 * {margin}::DOUBLE + sum({along} + {spacing}::DOUBLE) OVER (PARTITION BY layout_id) - {spacing})"
     cells = {"h": (before, m, "length", breadth), "v": (m, before, breadth, "length"), "c": ("0::DOUBLE", "0::DOUBLE", breadth, "length")}[direction]
-    return f"""{ITEMS}, r AS (SELECT *, greatest(0, {least} - sum({along}) OVER (PARTITION BY layout_id)) AS room, sum(stretch) OVER (PARTITION BY layout_id) AS total, max(pos) OVER (PARTITION BY layout_id) AS last FROM items),
-st AS (SELECT *, round({along} + CASE WHEN total > 0 THEN stretch * (room / total) WHEN pos = last THEN room ELSE 0 END, 6) AS length FROM r),
+    return f"""{ITEMS}, 
+-- what items, the gaps between them and both margins leave
+r AS (SELECT *, greatest(0, {least} - {need}) AS room, sum(stretch) OVER (PARTITION BY layout_id) AS total, max(pos) OVER (PARTITION BY layout_id) AS last FROM items),
+st AS (SELECT *, {along} + CASE WHEN total > 0 THEN stretch * (room / total) WHEN pos = last THEN room ELSE 0 END AS length FROM r),
 cells AS (SELECT layout_id, pos, w, h, align, {", ".join(f"{e} AS {c}" for e, c in zip(cells, ("cx", "cy", "cw", "ch")))} FROM st)"""
 
 
-CELLS = "SELECT layout_id, pos, w, h, align, cx, cy, cw, ch FROM cells"
+CELLS = "SELECT layout_id, pos, w, h, align, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cw, 6) AS cw, round(ch, 6) AS ch FROM cells"
+
+
+def _rounded(rows, *columns):
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
 
 
 @query("hbox_layout", f"{_placed('w', 'h', 0, 2, 1, 'h')} {CELLS}")
 def hbox_layout(s, d):
-    return lay.placed(v.layout_items(s, d), "h", 2, 1)
+    return _rounded(lay.placed(v.layout_items(s, d), "h", 2, 1), *"cx cy cw ch".split())
 
 
 @query("vbox_layout", f"{_placed('h', 'w', 0, 3, 0, 'v')} {CELLS}")
 def vbox_layout(s, d):
-    return lay.placed(v.layout_items(s, d), "v", 3)
+    return _rounded(lay.placed(v.layout_items(s, d), "v", 3), *"cx cy cw ch".split())
 
 
 @query("composite_layout", f"{_placed('h', 'w', 0, 0, 0, 'c')} {CELLS}")
 def composite_layout(s, d):
-    return lay.placed(v.layout_items(s, d), "c")
+    return _rounded(lay.placed(v.layout_items(s, d), "c"), *"cx cy cw ch".split())
 
 
 @query("stretch_layout", f"{_placed('w', 'h', 400, 2, 1, 'h')} {CELLS}")
 def stretch_layout(s, d):
-    return lay.placed(v.layout_items(s, d), "h", 2, 1, 400)
+    return _rounded(lay.placed(v.layout_items(s, d), "h", 2, 1, 400), *"cx cy cw ch".split())
 
 
 def _side(low, high, mid, at, room, size):
@@ -60,28 +67,29 @@ def _side(low, high, mid, at, room, size):
 (AX, AW), (AY, AH) = _side(1, 2, 4, "cx", "cw", "w"), _side(32, 64, 128, "cy", "ch", "h")
 
 
-@query("align_in_cell", f"{_placed('w', 'h', 400, 2, 1, 'h')} SELECT layout_id, pos, {AX} AS x, {AY} AS y, {AW} AS width, {AH} AS height FROM cells")
+@query("align_in_cell", f"{_placed('w', 'h', 400, 2, 1, 'h')} SELECT layout_id, pos, {AX} AS x, {AY} AS y, round({AW}, 6) AS width, round({AH}, 6) AS height FROM cells")
 def align_in_cell(s, d):
-    return lay.aligned(lay.placed(v.layout_items(s, d), "h", 2, 1, 400))
+    return _rounded(lay.aligned(lay.placed(v.layout_items(s, d), "h", 2, 1, 400)), "x", "y", "width", "height")
 
 
 #: Trees of layouts: a page holds columns, a column holds rows, which hold files; each tenth file stands free.
 TREE_ITEM = "CASE WHEN pos % 10 = 7 THEN 'free' ELSE 'file' END AS kind, CAST(NULL AS STRING) AS child_id, w, h, stretch, align, CAST(pos % 4 AS DOUBLE) AS dx, 0.5D AS dy"
 TREE_SQL = f"""{ITEMS}, f AS (SELECT *, CASE WHEN pos % 10 = 7 THEN 'free' ELSE 'file' END AS kind, 'c' || split_part(layout_id, '-', 2) AS col_id FROM items),
 -- what rows, columns and pages need
-rn AS (SELECT layout_id, any_value(col_id) AS col_id, sum(CASE WHEN kind = 'file' THEN w ELSE 0 END) + 2::DOUBLE * (count(*) - 1) AS nw, max(CASE WHEN kind = 'file' THEN h ELSE 0 END) AS nh FROM f GROUP BY layout_id),
+rn AS (SELECT layout_id, any_value(col_id) AS col_id, sum(CASE WHEN kind = 'file' THEN w ELSE 0 END) + 2::DOUBLE * (count(*) - 1) + 2 AS nw, max(CASE WHEN kind = 'file' THEN h ELSE 0 END) + 2 AS nh FROM f GROUP BY layout_id),
 rp AS (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY layout_id) AS pos, 'p' || (CAST(substr(col_id, 2) AS BIGINT) % 3) AS page_id FROM rn),
-cn AS (SELECT col_id, any_value(page_id) AS page_id, max(nw) AS nw, sum(nh) + 3::DOUBLE * (count(*) - 1) AS nh FROM rp GROUP BY col_id),
+cn AS (SELECT col_id, any_value(page_id) AS page_id, max(nw) + 4 AS nw, sum(nh) + 3::DOUBLE * (count(*) - 1) + 4 AS nh FROM rp GROUP BY col_id),
 cp AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY col_id) AS pos FROM cn),
 -- a page gives its columns their width and its own height; a column stretches its last row to the height
 cc AS (SELECT *, coalesce(sum(nw + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, max(nh) OVER (PARTITION BY page_id) AS ch FROM cp),
-rc AS (SELECT rp.*, cc.x, cc.nw AS cw, cc.ch, rp.nh + CASE WHEN rp.pos = max(rp.pos) OVER (PARTITION BY rp.col_id) THEN cc.ch - cc.nh ELSE 0 END AS rh FROM rp JOIN cc USING (col_id)),
-rr AS (SELECT *, coalesce(sum(rh + 3) OVER (PARTITION BY col_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM rc),
+-- a column keeps 2 free about its rows, a row 1 about its files
+rc AS (SELECT rp.*, cc.x + 2 AS x, cc.nw AS cw, cc.ch, rp.nh + CASE WHEN rp.pos = max(rp.pos) OVER (PARTITION BY rp.col_id) THEN cc.ch - cc.nh ELSE 0 END AS rh FROM rp JOIN cc USING (col_id)),
+rr AS (SELECT *, 2 + coalesce(sum(rh + 3) OVER (PARTITION BY col_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM rc),
 -- a row shares out what its files and the gaps behind them leave
 fi AS (SELECT f.layout_id, f.pos, f.kind, CASE WHEN f.kind = 'file' THEN f.w ELSE 0 END AS w, CASE WHEN f.kind = 'file' THEN f.h ELSE 0 END AS h, CASE WHEN f.kind = 'file' THEN stretch ELSE 0 END AS stretch, CASE WHEN f.kind = 'file' THEN align ELSE 0 END AS align, rr.x AS ox, rr.y AS oy, rr.cw AS aw, rr.rh AS ah, max(f.pos) OVER (PARTITION BY f.layout_id) AS last FROM f JOIN rr USING (layout_id)),
-fr AS (SELECT *, greatest(0, aw - sum(w) OVER (PARTITION BY layout_id) - 2 * count(*) FILTER (WHERE kind = 'file' AND pos < last) OVER (PARTITION BY layout_id)) AS room, sum(stretch) OVER (PARTITION BY layout_id) AS total FROM fi),
+fr AS (SELECT *, greatest(0, aw - 2 - sum(w) OVER (PARTITION BY layout_id) - 2 * count(*) FILTER (WHERE kind = 'file' AND pos < last) OVER (PARTITION BY layout_id)) AS room, sum(stretch) OVER (PARTITION BY layout_id) AS total FROM fi),
 fl AS (SELECT *, w + CASE WHEN total > 0 THEN stretch * (room / total) WHEN pos = last THEN room ELSE 0 END AS length FROM fr),
-cells AS (SELECT *, ox + coalesce(sum(length + 2) OVER (PARTITION BY layout_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cx, oy AS cy, length AS cw, greatest(ah, max(h) OVER (PARTITION BY layout_id)) AS ch FROM fl),
+cells AS (SELECT *, ox + 1 + coalesce(sum(length + 2) OVER (PARTITION BY layout_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cx, oy + 1 AS cy, length AS cw, greatest(ah, max(h) OVER (PARTITION BY layout_id)) AS ch FROM fl),
 tree AS (
 SELECT page_id AS layout_id, CAST(pos AS INTEGER) AS pos, 0 AS depth, 'layout' AS kind, col_id AS child_id, round(x, 6) AS x, 0::DOUBLE AS y, round(nw, 6) AS width, round(ch, 6) AS height FROM cc
 UNION ALL SELECT col_id, CAST(pos AS INTEGER), 1, 'layout', layout_id, round(x, 6), round(y, 6), round(cw, 6), round(rh, 6) FROM rr
@@ -97,7 +105,7 @@ def layout_tree(s, d):
     inner = "'layout' AS kind, {} AS child_id, CAST(NULL AS DOUBLE) AS w, CAST(NULL AS DOUBLE) AS h, 0 AS stretch, 0 AS align, CAST(NULL AS DOUBLE) AS dx, CAST(NULL AS DOUBLE) AS dy"
     items = files.selectExpr("layout_id", "pos", *TREE_ITEM.split(", "))
     items = items.unionByName(rows.selectExpr("col_id AS layout_id", "pos", *inner.format("layout_id").split(", "))).unionByName(columns.selectExpr("page_id AS layout_id", "pos", *inner.format("col_id").split(", ")))
-    layouts = rows.selectExpr("layout_id", "'h' AS direction", "2D AS spacing").unionByName(columns.selectExpr("col_id AS layout_id", "'v' AS direction", "3D AS spacing")).unionByName(columns.select("page_id").distinct().selectExpr("page_id AS layout_id", "'h' AS direction", "1D AS spacing"))
+    layouts = rows.selectExpr("layout_id", "'h' AS direction", "2D AS spacing", "1D AS margin").unionByName(columns.selectExpr("col_id AS layout_id", "'v' AS direction", "3D AS spacing", "2D AS margin")).unionByName(columns.select("page_id").distinct().selectExpr("page_id AS layout_id", "'h' AS direction", "1D AS spacing", "0D AS margin"))
     return lay.nested(layouts, items)
 
 
@@ -112,6 +120,17 @@ def debug_boxes(s, d):
     return lay.debug_boxes(layout_tree(s, d))
 
 
+@query("layout_extra_groups", f"""{_placed('w', 'h', 0, 2, 1, 'h')}, at AS (SELECT layout_id, pos, {AX} AS x, {AY} AS y FROM cells) SELECT layout_id, pos, printf('<g transform="translate(%.6f,%.6f)"><title>item %d</title></g>', x, y, pos) AS element FROM at WHERE pos % 3 = 0""".replace(", at AS (", ", corners AS (").replace("FROM at WHERE", "FROM corners WHERE"))
+def layout_extra_groups(s, d):
+    items = lay.aligned(lay.placed(v.layout_items(s, d), "h", 2, 1))
+    return lay.extra_groups(items.withColumn("xml", F.expr("CASE WHEN pos % 3 = 0 THEN concat('<title>item ', pos, '</title>') END")))
+
+
+@query("layout_directions", "SELECT p_partkey AS id, ['h', 'v', 'c', 'rtl', 'btt'][p_partkey % 5 + 1] AS direction, CASE WHEN p_partkey % 5 < 3 THEN 'ok' ELSE 'not implemented' END AS status FROM part")
+def layout_directions(s, d):
+    return lay.direction_status(v.table(s, d, "part").selectExpr("p_partkey AS id", "element_at(array('h', 'v', 'c', 'rtl', 'btt'), CAST(p_partkey % 5 + 1 AS INT)) AS direction"))
+
+
 @query("layout_box_size", f"{ITEMS} SELECT layout_id, sum(w) + 2::DOUBLE * (count(*) - 1) + 2 AS width, max(h) + 2::DOUBLE AS height FROM items GROUP BY layout_id")
 def layout_box_size(s, d):
     return lay.box_sizes(v.layout_items(s, d), "h", 2, 1)
@@ -244,19 +263,33 @@ def argument_range_check(s, d):
 
 RUN_OPTION = "CASE event_id % 6 WHEN 0 THEN 'colors' WHEN 1 THEN 'prescale' WHEN 2 THEN 'quantization' WHEN 3 THEN 'smoothcorners' WHEN 4 THEN 'riemersma' ELSE 'colour' END"
 RUN_VALUE = "CASE event_id % 5 WHEN 0 THEN concat(event_id % 300) WHEN 1 THEN concat(event_id % 4, '.5') WHEN 2 THEN 'as' WHEN 3 THEN 'true' ELSE '-1' END"
-OPTION_TABLE = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in o) + ")" for o in j.OPTIONS)
-
-
-@query("option_values", f"""WITH o(option, kind, low, high, dflt, choices) AS (VALUES {OPTION_TABLE}), g AS (SELECT event_id // 4 AS run_id, event_id AS ord, {RUN_OPTION} AS option, {RUN_VALUE} AS value FROM events),
+OPTION_TABLE = "{options}"
+OPTION_SQL = f"""WITH o(option, kind, low, high, dflt, choices) AS (VALUES {OPTION_TABLE}), g AS (SELECT event_id // 4 AS run_id, event_id AS ord, {RUN_OPTION} AS option, {RUN_VALUE} AS value FROM events),
 l AS (SELECT run_id, option, arg_max(value, ord) AS value FROM g GROUP BY ALL), runs AS (SELECT DISTINCT run_id FROM g),
 x AS (SELECT run_id, option, l.value, kind, low, high, dflt, choices FROM (SELECT * FROM runs, o) r FULL JOIN l USING (run_id, option)),
 y AS (SELECT *, TRY_CAST(value AS DOUBLE) AS number, regexp_full_match(value, '[+-]?[0-9]+') AS whole FROM x)
 SELECT run_id, option, coalesce(value, dflt) AS value, CASE WHEN kind IS NULL THEN 'unknown' WHEN value IS NULL THEN 'default'
   WHEN kind = 'int' THEN CASE WHEN NOT whole THEN 'must be an integer' WHEN number < low OR number > high THEN 'must be ' || CASE WHEN high IS NULL THEN printf('%.3f or greater', low) ELSE printf('between %.3f and %.3f', low, high) END ELSE 'ok' END
   WHEN kind = 'float' THEN CASE WHEN number IS NULL THEN 'must be a number' WHEN number < low OR number > high THEN 'must be ' || CASE WHEN high IS NULL THEN printf('%.3f or greater', low) ELSE printf('between %.3f and %.3f', low, high) END ELSE 'ok' END
-  WHEN kind = 'choice' AND value NOT IN ('mc', 'as', 'nq') THEN 'must be one of mc,as,nq' WHEN kind = 'flag' AND value NOT IN ('true', 'false') THEN 'must be true or false' ELSE 'ok' END AS status FROM y""")
+  WHEN kind = 'choice' AND value NOT IN ('mc', 'as', 'nq') THEN 'must be one of mc,as,nq' WHEN kind = 'flag' AND value NOT IN ('true', 'false') THEN 'must be true or false' ELSE 'ok' END AS status FROM y"""
+
+
+def _option_sql(options):
+    return OPTION_SQL.replace(OPTION_TABLE, ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in o) + ")" for o in options))
+
+
+def _run_options(s, d):
+    return v.table(s, d, "events").selectExpr("event_id div 4 AS run_id", "event_id AS ord", f"{RUN_OPTION} AS option", f"{RUN_VALUE} AS value")
+
+
+@query("option_values", _option_sql(j.PARALLEL))
 def option_values(s, d):
-    return j.option_values(v.table(s, d, "events").selectExpr("event_id div 4 AS run_id", "event_id AS ord", f"{RUN_OPTION} AS option", f"{RUN_VALUE} AS value"))
+    return j.option_values(_run_options(s, d), sequential=False)
+
+
+@query("option_values_sequential", _option_sql(j.SEQUENTIAL))
+def option_values_sequential(s, d):
+    return j.option_values(_run_options(s, d))
 
 
 OPTIONS = "event_id, event_id % 3 AS n_inputs, CASE WHEN event_id % 2 = 0 THEN '*.svg' ELSE 'out.svg' END AS output, CASE WHEN event_id % 4 = 0 THEN 'riemersma' ELSE 'none' END AS dither, CASE WHEN event_id % 5 = 0 THEN 'as' ELSE 'mc' END AS quantization, event_id % 6 = 0 AS remap"

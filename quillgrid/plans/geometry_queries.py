@@ -1,5 +1,7 @@
 """Registered queries on paths and boxes."""
 
+from pyspark.sql import functions as F
+
 from ..operators import geometry as g
 from . import views as v
 from .ocr_queries import FILTERED, GAPS, GROUPS, KEPT, W, groups_filtered
@@ -70,9 +72,11 @@ def paths_per_word(s, d):
     return g.paths_per_word(matches(s, d))
 
 
-@query("remove_matched_paths", f"WITH {MATCH} SELECT path_id, page, path_ord, d FROM paths WHERE path_id NOT IN (SELECT path_id FROM mt)")
+@query("remove_matched_paths", f"WITH {MATCH} SELECT path_id % 1000 AS path_id, page, path_ord, d FROM paths WHERE path_id NOT IN (SELECT path_id FROM mt)")
 def remove_matched_paths(s, d):
-    return g.without_matched(v.paths(s, d), matches(s, d)).select("path_id", "page", "path_ord", "d")
+    """Path ids are those of a page here: each page has the same ones."""
+    paths = v.paths(s, d).withColumn("path_id", F.col("path_id") % 1000)
+    return g.without_matched(paths, g.match_paths(g.start_points(paths), v.boxes(s, d))).select("path_id", "page", "path_ord", "d")
 
 
 GROUPS_SQL = "SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 AS INT) AS ord, max(l_partkey) AS group_id FROM lineitem GROUP BY l_orderkey, l_linenumber"

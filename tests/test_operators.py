@@ -8,9 +8,7 @@ from quillgrid.operators import classify, geometry, graph, jobs, layout, raster,
 def test_box_edges_and_first_match(spark):
     points = spark.createDataFrame([(1, 1, 1, 10.0, 10.0), (1, 2, 2, 20.0, 15.0), (1, 3, 3, 15.0, 12.0), (1, 4, 4, 21.0, 12.0)], "page int, path_id int, path_ord int, x double, y double")
     boxes = spark.createDataFrame([(1, 8, 2, 10, 10, 10, 5, "b"), (1, 9, 1, 14, 11, 2, 2, "a")], "page int, word_id int, word_ord int, left int, top int, width int, height int, text string")
-    for cell in (1, 7, 1000):
-        got = {r.path_id: r.text for r in geometry.match_paths(points, boxes, cell).collect()}
-        assert got == {1: "b", 2: "b", 3: "a"}
+    assert {r.path_id: r.text for r in geometry.match_paths(points, boxes).collect()} == {1: "b", 2: "b", 3: "a"}
 
 
 @pytest.mark.parametrize(

@@ -131,9 +131,11 @@ def test_arguments_and_options(spark):
     assert [r.status for r in jobs.argument_status(values, 0, None, "int").collect()] == ["ok", "must be an integer", "must be 0 or greater", "must be an integer", "must be an integer"]
     assert [r.status for r in jobs.argument_status(values, 0, 2).collect()] == ["must be between 0 and 2", "ok", "must be between 0 and 2", "must be a number", "must be a number"]
     given = spark.createDataFrame([(1, 1, "colors", "16"), (1, 2, "colors", "1.5"), (1, 3, "remap", "p.png"), (2, 1, "quantization", "zz"), (2, 2, "riemersma", "true"), (2, 3, "floydsteinberg", "true")], "run_id int, ord int, option string, value string")
-    got = {(r.run_id, r.option): (r.value, r.status) for r in jobs.option_values(given).collect()}
+    got = {(r.run_id, r.option): (r.value, r.status) for r in jobs.option_values(given, sequential=False).collect()}
     assert got[1, "colors"] == ("1.5", "must be an integer") and got[2, "quantization"] == ("zz", "must be one of mc,as,nq")
-    assert got[2, "prescale"] == ("2", "default") and got[2, "riemersma"] == ("true", "ok") and len(got) == 2 * len(jobs.OPTIONS)
+    assert got[2, "prescale"] == ("2", "default") and got[2, "riemersma"] == ("true", "ok") and len(got) == 2 * len(jobs.PARALLEL)
+    alone = {(r.run_id, r.option): (r.value, r.status) for r in jobs.option_values(given).collect()}
+    assert alone[2, "prescale"] == ("1.0", "default") and (1, "cores") not in alone and alone[1, "background"] == (None, "default")
     assert sorted(tuple(r) for r in jobs.exclusive_errors(given).collect()) == [(1, "remap not allowed with colors"), (2, "one of colors and remap is required"), (2, "riemersma not allowed with floydsteinberg")]
 
 
@@ -154,3 +156,35 @@ def test_tables_need_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_path(Session(), "x")
+
+
+def test_stretched_rows_end_at_the_least_length(spark):
+    """Room is what items, gaps and both margins leave: 100 - (10 + 10 + 2 + 2) goes to the last one."""
+    rows = [("a", 0, 10.0, 5.0, 0, 0), ("a", 1, 10.0, 5.0, 0, 0), ("b", 0, 10.0, 5.0, 1, 0), ("b", 1, 10.0, 5.0, 3, 0)]
+    items = spark.createDataFrame(rows, "layout_id string, pos int, w double, h double, stretch int, align int")
+    got = {(r.layout_id, r.pos): (r.cx, r.cw) for r in layout.placed(items, "h", 2, 1, 100).collect()}
+    assert got == {("a", 0): (1.0, 10.0), ("a", 1): (13.0, 86.0), ("b", 0): (1.0, 29.0), ("b", 1): (32.0, 67.0)}
+    assert all(sum(got[k, 1]) + 1 == 100 for k in "ab")
+    down = {r.pos: (r.cy, r.ch) for r in layout.placed(items.where("layout_id = 'a'"), "v", 2, 1, 50).collect()}
+    assert down == {0: (1.0, 5.0), 1: (8.0, 41.0)}
+
+
+def test_margins_of_nested_layouts(spark):
+    """A column with a margin of 5 in a row with a margin of 2 beside a taller file."""
+    items = [("r", 0, "layout", "c", None, None, 0, 0, None, None), ("r", 1, "file", None, 30.0, 60.0, 0, 0x21, None, None), ("c", 0, "file", None, 10.0, 20.0, 0, 0x21, None, None), ("c", 1, "file", None, 12.0, 6.0, 0, 0x21, None, None)]
+    known = spark.createDataFrame([("r", "h", 1.0, 2.0), ("c", "v", 3.0, 5.0)], "layout_id string, direction string, spacing double, margin double")
+    got = {(r.layout_id, r.pos): (r.x, r.y, r.width, r.height) for r in layout.nested(known, spark.createDataFrame(items, ITEM)).collect()}
+    assert got == {("r", 0): (2.0, 2.0, 22.0, 60.0), ("r", 1): (25.0, 2.0, 30.0, 60.0), ("c", 0): (7.0, 7.0, 10.0, 20.0), ("c", 1): (7.0, 30.0, 12.0, 6.0)}
+
+
+def test_paths_are_a_pages_own(spark):
+    paths = spark.createDataFrame([(1, 5), (2, 5)], "page int, path_id int")
+    assert [tuple(r) for r in geometry.without_matched(paths, spark.createDataFrame([(1, 5)], "page int, path_id int")).collect()] == [(2, 5)]
+
+
+def test_boxes_of_any_size_take_four_cells_at_most(spark):
+    box = "page int, word_id int, word_ord int, left double, top double, width double, height double, text string"
+    boxes = [(1, 1, 3, 0.0, 0.0, 1e9, 1e9, "page"), (1, 2, 2, -5.0, -5.0, 0.0, 0.0, "point"), (1, 3, 1, 100.0, 100.0, 50.0, 3.0, "word"), (1, 4, 0, 100.0, 100.0, -1.0, 3.0, "none"), (1, 5, 0, None, 0.0, 9.0, 9.0, "null"), (2, 6, 0, 0.0, 0.0, 31.0, 33.0, "odd")]
+    points = [(1, 1, 1, -5.0, -5.0), (1, 2, 2, 100.0, 103.0), (1, 3, 3, 1e9, 0.0), (1, 4, 4, 1e9 + 1, 0.0), (2, 5, 5, 31.0, 33.0), (2, 6, 6, 31.5, 33.0), (3, 7, 7, 0.0, 0.0)]
+    hits = geometry.match_paths(spark.createDataFrame(points, "page int, path_id int, path_ord int, x double, y double"), spark.createDataFrame(boxes, box))
+    assert {r.path_id: r.text for r in hits.collect()} == {1: "point", 2: "word", 3: "page", 5: "odd"}
