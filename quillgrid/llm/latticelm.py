@@ -6,18 +6,20 @@ recursion in log space sums over them, so a text's probability is marginal, not
 that of one segmentation.  A text's pieces never cross words, hence its log
 probability is the sum over its words plus the end symbol.
 
-The vocabulary is taken as it is; its scores give the piece probabilities.  The
-file at hand scores pieces by rank (minus the place in the order of merges), which
-is no log probability: p is taken as 1 / (10 + rank), normalised.  With ``fitted``
-one step of expectation maximisation over the counts of all training words, from
-these probabilities and smoothed by them, makes those of this corpus; without it
-the vocabulary's own weight the segmentations.
+The vocabulary is taken as it is; its scores give the piece probabilities that
+``score`` is made of.  The file at hand scores pieces by rank (minus the place in
+the order of merges), which is no log probability: p is taken as 1 / (10 + rank),
+normalised.  With ``fitted`` there is a second score, ``fitted_score``, by the
+probabilities that one step of expectation maximisation over the counts of all
+training words makes of these, smoothed by them.
 
 Spark's part: word counts of the whole corpus (counted in each task, summed by
 key), expected piece counts per partition, a lattice score for every distinct
-word, and the texts' sums.  The ``frequent`` most frequent words (a fixed bound)
-are broadcast with their scores; a text's other words go by a join on the word,
-so no table that grows with the corpus is broadcast or collected.
+word, and the texts' sums.  The ``frequent`` most frequent words of at most
+``WORD_BYTES`` bytes (a fixed bound of both) are broadcast with their scores; a
+text's other words go by a join on the word, so no table that grows with the corpus
+is broadcast or collected.  Words beyond ``LONG`` characters go through the recursion
+window by window; what is kept of them is a few numbers a window.
 
 Tokens: ASCII lower case, split at ASCII white space; each text has one end
 token more.  Defined cases: null text is the empty text (one token); characters
@@ -29,6 +31,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from functools import lru_cache
@@ -45,6 +48,11 @@ MARK = "▁"
 HELD_WORDS = 400_000
 #: Words of the table of counts that are scored together.
 WORD_ROWS = 10_000
+#: Longer words are not broadcast.
+WORD_BYTES = 64
+#: Characters of a word that goes by itself, and of a window of it.
+LONG = 2_000
+WINDOW = 1 << 14
 LOG10 = np.log(10.0)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,23 +124,30 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _lattices(v: Vocabulary, logp: np.ndarray, own: list[str]):
-    """For words of one length L: code points (n x L), and for each piece length
-    the ids (n x starts, -1: none) and log probabilities."""
+def _lattices(v: Vocabulary, own: list[str]):
+    """For words of one length L: for each piece length the ids (n x starts, -1:
+    none), and the characters that must be spelt in bytes (row, start, ids)."""
     length = len(own[0])
     code = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), length).astype(np.uint64) + np.uint64(1)
-    table = []
+    table, spelt = [], []
     h = np.zeros((len(own), length), np.uint64)
     for size in range(1, min(length, v.longest) + 1):
         starts = length - size + 1
         h = h[:, :starts] * BASE + code[:, size - 1 :]
         ids = v.find(h.ravel()).reshape(h.shape)
-        lp = np.where(ids >= 0, logp[ids], -np.inf)
         if size == 1:
-            for row, col in zip(*np.nonzero(ids < 0)):  # spelt in bytes
-                lp[row, col] = logp[v.byte[list(own[row][col].encode("utf-8", "surrogatepass"))]].sum()
-        table.append((ids, lp))
-    return table
+            spelt = [(row, col, v.byte[list(own[row][col].encode("utf-8", "surrogatepass"))]) for row, col in zip(*np.nonzero(ids < 0))]
+        table.append(ids)
+    return table, spelt
+
+
+def _weighted(lattices, logp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ids with their log probabilities."""
+    table, spelt = lattices
+    out = [(ids, np.where(ids >= 0, logp[ids], -np.inf)) for ids in table]
+    for row, col, ids in spelt:
+        out[0][1][row, col] = logp[ids].sum()
+    return out
 
 
 def _lse(parts: np.ndarray) -> np.ndarray:
@@ -160,21 +175,97 @@ def _by_length(own: list[str], most: int = 20_000):
             yield length, at[lo : lo + step]
 
 
-def word_logs(v: Vocabulary, logp: np.ndarray, own: list[str]) -> np.ndarray:
-    """Natural log of each marked word's marginal probability."""
-    out = np.zeros(len(own))
+def word_logs(v: Vocabulary, logps: list[np.ndarray], own: list[str]) -> np.ndarray:
+    """Natural logs of each marked word's marginal probability, by each of the
+    piece probabilities."""
+    out = np.zeros((len(logps), len(own)))
     for length, at in _by_length(own):
-        some = [own[i] for i in at]
-        out[at] = _forward(_lattices(v, logp, some), len(some), length)[length]
+        if length > LONG:
+            for i in at:
+                out[:, i] = [LongWord(v, logp, own[i]).log for logp in logps]
+            continue
+        lattices = _lattices(v, [own[i] for i in at])
+        for k, logp in enumerate(logps):
+            out[k, at] = _forward(_weighted(lattices, logp), len(at), length)[length]
     return out
 
 
+class LongWord:
+    """The recursion over one long word, window by window.
+
+    Pieces reach back ``longest`` places at most, so a window needs the values of so
+    many places before it; these are kept for each window, and the windows are gone
+    through again, from the last, for expected uses.
+    """
+
+    def __init__(self, v: Vocabulary, logp: np.ndarray, word: str):
+        self.v, self.logp, self.word = v, logp, word
+        self.before: list[list[float]] = []
+        last = [-math.inf] * (v.longest - 1) + [0.0]
+        for lo in range(0, len(word), WINDOW):
+            self.before.append(last)
+            last = self._forward(self._ending(lo), last)[-v.longest :]
+        self.log = last[-1]
+
+    def _ending(self, lo: int) -> list[list[tuple[int, float, object]]]:
+        """(size, log probability, id or ids of bytes) of the pieces that end at
+        each place of a window, the first one behind ``lo``."""
+        hi, first = min(len(self.word), lo + WINDOW), max(0, lo - self.v.longest + 1)
+        table, spelt = _lattices(self.v, [self.word[first:hi]])
+        out: list[list] = [[] for _ in range(hi - lo)]
+        for size, ids in enumerate(table, 1):
+            for i in np.flatnonzero(ids[0] >= 0).tolist():
+                if (end := first + i + size) > lo:
+                    out[end - lo - 1].append((size, float(self.logp[ids[0, i]]), int(ids[0, i])))
+        for _, i, ids in spelt:
+            if first + i >= lo:
+                out[first + i - lo].append((1, float(self.logp[ids].sum()), ids))
+        return out
+
+    def _forward(self, ending: list, last: list[float]) -> list[float]:
+        """The values of the places before the window and of its own."""
+        a = list(last)
+        for own in ending:
+            a.append(_log_sum([a[-size] + lp for size, lp, _ in own]))
+        return a
+
+    def expected(self, count: float, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece, ``count`` times, to ``out``."""
+        back = self.v.longest
+        after = [-math.inf] * (back - 1) + [0.0]
+        for k in range(len(self.before) - 1, -1, -1):
+            ending = self._ending(k * WINDOW)
+            a = self._forward(ending, self.before[k])
+            b = [-math.inf] * len(ending) + after
+            for x in range(len(ending) - 1, -1, -1):
+                own = b[x + back]
+                for size, lp, ids in ending[x]:
+                    i = x + back - size
+                    b[i] = _log_sum([b[i], lp + own])
+                    uses = math.exp(a[i] + lp + own - self.log) * count
+                    if isinstance(ids, int):
+                        out[ids] += uses
+                    else:
+                        np.add.at(out, ids, uses)
+            after = b[:back]
+
+
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
+
+
 def expected(v: Vocabulary, logp: np.ndarray, own: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words, over all segmentations."""
     out = np.zeros(v.size)
     for length, at in _by_length(own):
+        if length > LONG:
+            for i in at:
+                LongWord(v, logp, own[i]).expected(float(counts[i]), out)
+            continue
         some, c = [own[i] for i in at], counts[at]
-        table = _lattices(v, logp, some)
+        lattices = _lattices(v, some)
+        table = _weighted(lattices, logp)
         a = _forward(table, len(some), length)
         b = np.full((length + 1, len(some)), -np.inf)
         b[length] = 0
@@ -185,8 +276,8 @@ def expected(v: Vocabulary, logp: np.ndarray, own: list[str], counts: np.ndarray
             known = ids >= 0
             out += np.bincount(ids[known], post[known], v.size)
             if size == 1:
-                for row, col in zip(*np.nonzero(~known)):
-                    np.add.at(out, v.byte[list(some[row][col].encode("utf-8", "surrogatepass"))], post[row, col])
+                for row, col, spelt in lattices[1]:
+                    np.add.at(out, spelt, post[row, col])
     return out
 
 
@@ -244,19 +335,22 @@ def train(counted: DataFrame, ends: int, vocab_path: str) -> np.ndarray:
     return np.log(n / n.sum())
 
 
-def with_logs(counted: DataFrame, logp: np.ndarray, vocab_path: str) -> DataFrame:
-    """(word, c, lp): log10 of each word's marginal probability."""
+def with_logs(counted: DataFrame, logps: list[np.ndarray], vocab_path: str) -> DataFrame:
+    """(word, c, lp, lp2): log10 of each word's marginal probability by one or two
+    kinds of piece probabilities; lp2 is 0 where there is one."""
 
     def run(batches):
         v = vocabulary(vocab_path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(word_logs(v, logp, _marked(b.column("word"))) / LOG10)], names=["word", "c", "lp"])
+            logs = word_logs(v, logps, _marked(b.column("word"))) / LOG10
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(logs[0]), pa.array(logs[1] if len(logs) > 1 else np.zeros(b.num_rows))], names=["word", "c", "lp", "lp2"])
 
-    return map_arrow(counted, run, "word binary, c long, lp double", WORD_ROWS)
+    return map_arrow(counted, run, "word binary, c long, lp double, lp2 double", WORD_ROWS)
 
 
-def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted: bool = True) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and, with
+    ``fitted``, fitted_score."""
     spark = documents.sparkSession
     held = remainder(F.col("doc_id"), 5) == 1
     docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), held.alias("held"))
@@ -265,22 +359,22 @@ def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted
     total = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n = (total["n"] or 0) + ends
     denominator = float(np.log10(n + 0.5 * (total["v"] + (1 if ends else 0) + 1)))
-    logp = train(counted, ends, vocab_path) if fitted else own_logs(vocab_path)
-    known = written(with_logs(counted, logp, vocab_path), "word-scores")
-    top = known.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
-    bound = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(zip(top.column("word").to_pylist(), zip(top.column("c").to_pylist(), top.column("lp").to_pylist())))))
-    end_base, end_lp = float(np.log10(ends + 0.5)), float(logp[-1] / LOG10)
+    logps = [own_logs(vocab_path), *([train(counted, ends, vocab_path)] if fitted else [])]
+    known = written(with_logs(counted, logps, vocab_path), "word-scores")
+    top = known.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    bound = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(zip(top.column("word").to_pylist(), zip(*(top.column(c).to_pylist() for c in ("c", "lp", "lp2")))))))
+    end_base, end_lp, end_lp2 = float(np.log10(ends + 0.5)), *(float(logps[min(k, len(logps) - 1)][-1] / LOG10) for k in (0, 1))
 
     def run(batches):
         import xxhash
 
         table = _ready(bound)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(7)]
             for value in batch.column("text"):
                 text = value.as_py()
                 own = Counter(words(text))
-                base, lp, known_, rare = [end_base], [end_lp], int(ends > 0), []
+                base, lp, lp2, known_, rare = [end_base], [end_lp], [end_lp2], int(ends > 0), []
                 for w, tf in own.items():
                     hit = table.get(w)
                     if hit is None:
@@ -288,19 +382,20 @@ def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted
                     else:
                         base.append(tf * hit[1])
                         lp.append(tf * hit[2])
+                        lp2.append(tf * hit[3])
                         known_ += tf * hit[0]
-                for c, x in zip(cols, (xxhash.xxh3_64_intdigest(text or b"") - (1 << 63), own.total() + 1, known_, float(np.sum(base)), float(np.sum(lp)), rare)):
+                for c, x in zip(cols, (xxhash.xxh3_64_intdigest(text or b"") - (1 << 63), own.total() + 1, known_, float(np.sum(base)), float(np.sum(lp)), float(np.sum(lp2)), rare)):
                     c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "held", "h", "n", "known", "base", "lp", "rare"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "held", "h", "n", "known", "base", "lp", "lp2", "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    first = written(map_arrow(docs, run, f"doc_id {kind}, held boolean, h long, n long, known long, base double, lp double, rare array<struct<word:binary,tf:long>>"), "first-sums")
+    first = written(map_arrow(docs, run, f"doc_id {kind}, held boolean, h long, n long, known long, base double, lp double, lp2 double, rare array<struct<word:binary,tf:long>>"), "first-sums")
     rest = first.select("doc_id", "held", "h", F.explode("rare").alias("r")).select("doc_id", "held", "h", "r.word", "r.tf").join(known, "word")
-    rest = rest.select("doc_id", "held", "h", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"), F.expr("IF(c > 0, tf, 0L)").alias("known"), (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("base"), (F.col("tf") * F.col("lp")).alias("lp"))
-    both = first.select("doc_id", "held", "h", F.lit(1).cast("long").alias("m"), "n", "known", "base", "lp").unionByName(rest)
-    sums = both.groupBy("doc_id", "held", "h").agg(*(F.sum(c).alias(c) for c in ("m", "n", "known", "base", "lp")))
-    each = sums.select("doc_id", "held", *((F.col(c) / F.col("m")).alias(c) for c in ("n", "known", "base", "lp")), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    rest = rest.select("doc_id", "held", "h", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"), F.expr("IF(c > 0, tf, 0L)").alias("known"), (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("base"), *((F.col("tf") * F.col(c)).alias(c) for c in ("lp", "lp2")))
+    both = first.select("doc_id", "held", "h", F.lit(1).cast("long").alias("m"), "n", "known", "base", "lp", "lp2").unionByName(rest)
+    sums = both.groupBy("doc_id", "held", "h").agg(*(F.sum(c).alias(c) for c in ("m", "n", "known", "base", "lp", "lp2")))
+    each = sums.select("doc_id", "held", *((F.col(c) / F.col("m")).alias(c) for c in ("n", "known", "base", "lp", "lp2")), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     return each.select(
         "doc_id",
         F.col("held").alias("held_out"),
@@ -309,6 +404,7 @@ def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.round("n") * F.lit(denominator)).alias("base_score"),
         F.col("lp").alias("score"),
+        *([F.col("lp2").alias("fitted_score")] if fitted else []),
     )
 
 
@@ -316,11 +412,11 @@ _tables: dict[str, dict] = {}
 
 
 def _ready(bound) -> dict:
-    """The broadcast words with (known, log10(c + 0.5), lp), made once a worker
+    """The broadcast words with (known, log10(c + 0.5), lp, lp2), made once a worker
     and broadcast; the key goes with the value, as workers serve many queries."""
     key, rows = bound.value
     if key not in _tables:
         _tables.clear()
-        logs = np.log10(np.array([n for n, _ in rows.values()], np.float64) + 0.5).tolist()
-        _tables[key] = {w: (int(n > 0), b, lp) for (w, (n, lp)), b in zip(rows.items(), logs)}
+        logs = np.log10(np.array([r[0] for r in rows.values()], np.float64) + 0.5).tolist()
+        _tables[key] = {w: (int(n > 0), b, lp, lp2) for (w, (n, lp, lp2)), b in zip(rows.items(), logs)}
     return _tables[key]

@@ -63,7 +63,7 @@ def op9_warc(spark, sf_dir):
 
 
 def op10_lattice_lm(spark, sf_dir):
-    return latticelm.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return latticelm.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), fitted=True)
 
 
 def op11_divergence(spark, sf_dir):

@@ -541,7 +541,43 @@ def test_lattice_sums_over_all_segmentations():
         return out
 
     own = [latticelm.MARK + w for w in ("the", "letters", "a", "漢字x", "zürich")]
-    assert np.allclose(latticelm.word_logs(v, logp, own), [math.log(total(w)) for w in own])
+    assert np.allclose(latticelm.word_logs(v, [logp], own)[0], [math.log(total(w)) for w in own])
+
+
+def test_long_words_by_windows(monkeypatch):
+    """Probability and expected uses are those of the whole lattice, wherever windows end."""
+    v = latticelm.vocabulary(PIECES)
+    logp = np.log(v.prior)
+    rng = random.Random(3)
+    own = [latticelm.MARK + w for w in ("a", "internationalisation", "漢字zürich漢", "x" * 70, "".join(rng.choice("etaoin shrdlu漢") for _ in range(150)).replace(" ", "_"))]
+    counts = np.array([1.0, 3.0, 2.0, 1.0, 5.0])
+    logs, uses = latticelm.word_logs(v, [logp, logp / 2], own), latticelm.expected(v, logp, own, counts)
+    monkeypatch.setattr(latticelm, "LONG", 0)
+    for window in (1, 3, 16, 64, 1000):
+        monkeypatch.setattr(latticelm, "WINDOW", window)
+        assert np.allclose(latticelm.word_logs(v, [logp, logp / 2], own), logs)
+        assert np.allclose(latticelm.expected(v, logp, own, counts), uses)
+
+
+def test_a_very_long_word_takes_time_in_proportion_and_little_memory():
+    import time
+    import tracemalloc
+
+    v = latticelm.vocabulary(PIECES)
+    logp = np.log(v.prior)
+    rng = random.Random(4)
+    took = []
+    for n in (100_000, 400_000):
+        word = latticelm.MARK + "".join(rng.choice("abcdefgh") for _ in range(n))
+        began = time.process_time()
+        assert -20 * n < latticelm.word_logs(v, [logp], [word])[0, 0] < 0
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+    tracemalloc.start()
+    latticelm.word_logs(v, [logp], [word])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
 
 
 def test_word_tables_of_two_corpora_are_kept_apart(spark):
@@ -555,17 +591,17 @@ def test_word_tables_of_two_corpora_are_kept_apart(spark):
 
 def test_fitted_probabilities_are_better_on_held_out_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    per_token = {}
-    for fitted in (True, False):
-        r = latticelm.score(docs, PIECES, fitted=fitted).where("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
-        per_token[fitted] = r["sum(score)"] / r["sum(n_tokens)"]
-    print("log10 probability a held-out token, fitted and not:", per_token)
-    assert per_token[True] > per_token[False]
+    r = latticelm.score(docs, PIECES, fitted=True).where("held_out").agg({"score": "sum", "fitted_score": "sum", "n_tokens": "sum"}).first()
+    own, fitted = r["sum(score)"] / r["sum(n_tokens)"], r["sum(fitted_score)"] / r["sum(n_tokens)"]
+    print("log10 probability a held-out token by the vocabulary's scores and fitted:", own, fitted)
+    assert fitted > own
+    alone = latticelm.score(docs, PIECES).where("held_out").agg({"score": "sum"}).first()
+    assert alone["sum(score)"] == pytest.approx(r["sum(score)"])
 
 
 @pytest.mark.parametrize("frequent", [300_000, 50])
 def test_scores_against_brute_force(spark, frequent):
-    rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()] + [(10_001, None), (10_002, "unheardofword unheardofword the")]
+    rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()] + [(10_001, None), (10_002, "unheardofword unheardofword the"), (10_003, "y" * 100)]  # the last is too long to broadcast
     train = Counter()
     for i, t in rows:
         if crc(i) % 5 != 1:
