@@ -55,7 +55,10 @@ def op7_byte_bpe(spark, sf_dir):
 def op8_url_filter(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("try_cast(regexp_extract(url, '/[a-z]+/([0-9]+)', 1) AS BIGINT)").alias("doc_id"))
-    return urltree.judge(pages.join(labels, "doc_id", "left").select("page_id", "url", "bad"), RULES, ["page_id"])
+    # pages that name no document would be one key of the join
+    named = pages.where("doc_id IS NOT NULL").join(labels, "doc_id", "left").select("page_id", "url", "bad")
+    other = pages.where("doc_id IS NULL").select("page_id", "url", F.lit(None).cast("int").alias("bad"))
+    return urltree.judge(named.unionByName(other), RULES, ["page_id"])
 
 
 def op9_warc(spark, sf_dir):

@@ -4,10 +4,11 @@ Method of the tree, in DataFrame functions throughout: a path's segments are
 first generalised by form (runs of digits become ``#``; long segments become
 ``*``), then by the tree: below one (host, template so far), where a node has at
 least ``BRANCHES`` children, a child that holds less than 1/BRANCHES of the
-node's URLs is variable and becomes ``*``.  The tree is made level by level: what
-stands below all variable values of a node is pooled before the next level is
-judged.  Levels go on to the deepest segment; a node of fewer than ``BRANCHES``
-forms is left out of further ones, as nothing below it can branch.  Sibling templates whose share of bad
+node's URLs is variable and becomes ``*``.  The tree is made branching by branching:
+what all forms of a node begin with is taken at once, then the segment in which
+they differ is judged, and what stands below all variable values is pooled before
+the next one is.  So rounds follow how deep paths branch, not how long they are; a
+node of fewer than ``BRANCHES`` forms is left out, as nothing below it can branch.  Sibling templates whose share of bad
 labels is statistically the same as that of all siblings together (``Z``
 standard errors) are merged.  A template is rejected if its purity, the share of
 bad labels smoothed by ``PRIOR`` labels at the corpus's rate, reaches ``REJECT``.
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, written
+from .common import dropped, hot_join, written
 
 BRANCHES, LONG, Z, PRIOR, REJECT = 8, 24, 2.0, 10.0, 0.5
 #: Templates (rows of a few dozen bytes) that may be broadcast to the URLs.
@@ -64,24 +65,27 @@ def rule_of(rules: list[Rule]):
 
 def templates(forms: DataFrame) -> DataFrame:
     """(host, form, template) from (host, form, n): forms generalised by the tree."""
-    # a form's template up to a level, what is left of its segments, and whether its node can still branch
-    now = forms.select("host", "form", "n", F.lit("").alias("above"), F.split("form", "/").alias("left"))
-    done, level = [], 0
+    # a form's template so far, what is left of its segments, and whether its node can still branch
+    now = forms.select("host", "form", "n", F.array().cast("array<string>").alias("above"), F.split("form", "/").alias("left"))
+    own, done = ["host", "above"], []
     while True:
-        own = ["host", "above"]
-        room = now.groupBy(*own).agg(F.count("*").alias("forms"))
-        child = now.groupBy(*own, F.col("left")[0].alias("seg")).agg(F.sum("n").alias("seg_n"))
-        node = child.groupBy(*own).agg(F.count("*").alias("kids"), F.sum("seg_n").alias("total"))
-        wild = child.join(node, own).where((F.col("kids") >= BRANCHES) & (F.col("seg_n") * BRANCHES < F.col("total"))).select(*own, "seg", F.lit("*").alias("wild"))
-        named = now.withColumn("seg", F.col("left")[0]).join(room, own).join(wild, [*own, "seg"], "left")
-        step = F.coalesce("wild", "seg")
-        above = step if not level else F.concat_ws("/", "above", step)
-        rest = F.slice("left", 2, F.greatest(F.size("left") - 1, F.lit(0)))
-        now = named.select("host", "form", "n", above.alias("above"), rest.alias("left"), ((F.size("left") > 1) & (F.col("forms") >= BRANCHES)).alias("goes_on"))
-        now = written(now, "level")
-        ended = now.where("NOT goes_on")
-        done.append(ended.select("host", "form", F.when(F.size("left") > 0, F.concat_ws("/", "above", F.array_join("left", "/"))).otherwise(F.col("above")).alias("template")))
-        now, level = now.where("goes_on").drop("goes_on"), level + 1
+        # what all forms of a node begin with is no branching: those of the least and of the greatest have it in common
+        node = now.groupBy(*own).agg(F.count("*").alias("forms"), F.min("left").alias("lo"), F.max("left").alias("hi"))
+        differ = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        node = node.select(*own, "forms", F.when(differ > 0, differ - 1).otherwise(F.size("lo")).cast("int").alias("common"))
+        after = lambda n: F.slice("left", n + 1, F.greatest(F.size("left") - n, F.lit(0)))
+        at = now.join(node, own).select("host", "form", "n", "forms", F.concat("above", F.slice("left", F.lit(1), F.col("common"))).alias("above"), after(F.col("common")).alias("left"))
+        at = written(at, "level")
+        child = at.groupBy(*own, F.get("left", F.lit(0)).alias("seg")).agg(F.sum("n").alias("seg_n"))
+        whole = child.groupBy(*own).agg(F.count("*").alias("kids"), F.sum("seg_n").alias("total"))
+        wild = child.join(whole, own).where((F.col("kids") >= BRANCHES) & (F.col("seg_n") * BRANCHES < F.col("total"))).select(*own, "seg", F.lit("*").alias("wild"))
+        named = at.withColumn("seg", F.get("left", F.lit(0))).join(wild, [*own, "seg"], "left")
+        above = F.concat("above", F.array_compact(F.array(F.coalesce("wild", "seg"))))
+        goes_on = (F.size("left") > 1) & (F.col("forms") >= BRANCHES)
+        now = written(named.select("host", "form", "n", above.alias("above"), after(F.lit(1)).alias("left"), goes_on.alias("goes_on")), "level")
+        dropped(at)
+        done.append(now.where("NOT goes_on").select("host", "form", F.array_join(F.concat("above", "left"), "/").alias("template")))
+        now = now.where("goes_on").drop("goes_on")
         if now.isEmpty():
             break
     out = done[0]

@@ -14,7 +14,7 @@ import xxhash
 
 import corpus_pipeline
 from quillgrid.llm import bytebpe, html_text, isomedia, langid, latticelm, mixing, registry, simhash, syncmers, urltree, warc
-from quillgrid.llm.common import table
+from quillgrid.llm.common import table, written
 from tests.compare import SMALL, check_against_duckdb
 
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -762,6 +762,21 @@ def test_url_templates_pool_below_wildcards(spark):
     assert (got["h", "/about"], got["g", "/a/b"], got["g", ""]) == ("/about", "/a/b", "")
 
 
+def test_url_rounds_follow_branching_and_not_length(spark, monkeypatch):
+    """Paths that are long and branch once, at their end or in their middle, take as few rounds as short ones."""
+    rounds = []
+    monkeypatch.setattr(urltree, "written", lambda df, label: (rounds.append(label), written(df, label))[1])
+    kept = {}
+    for deep in (5, 80):
+        rounds.clear()
+        chain, tail = "/".join(f"word{chr(97 + k % 26)}" for k in range(deep)), "/".join(["end"] * deep)
+        forms = [("h", f"/{chain}/name{chr(97 + k)}{tail_}", 1) for k in range(20) for tail_ in ("", f"/{tail}")]
+        got = {r.template for r in urltree.templates(spark.createDataFrame(forms, "host string, form string, n long")).collect()}
+        assert got == {f"/{chain}/*", f"/{chain}/*/{tail}"}
+        kept[deep] = len(rounds)
+    assert kept[5] == kept[80] <= 6
+
+
 def test_url_oddities_and_the_join_beyond_broadcast(spark, monkeypatch):
     """Repeated rows, very long paths, clashing columns; forms too many to broadcast, one of them hot."""
     from quillgrid.functions import joins
