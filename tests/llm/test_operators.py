@@ -734,6 +734,61 @@ def test_html_tables_align_and_keep_all_text(spark):
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract(pages).collect()) == [(0, ""), (1, "a")]
 
 
+HTML_STYLES = [
+    ('<span style="display:block">alpha</span><span style="display:block">beta</span>', "alpha\nbeta"),
+    ("<style>.b{display:block}</style><span class=b>alpha</span><span class=b>beta</span>", "alpha\nbeta"),
+    ('<div style="display:inline">one</div><div style="display: inline">two</div>', "onetwo"),
+    ('<div style="display:flex"><span>one</span><span>two</span></div>three', "one\ntwo\nthree"),
+    ('<p style="white-space:pre">a  b\n  c</p>', "a  b\n  c"),
+    ('<p style="white-space:pre-line">a  b\n  c</p>', "a b\nc"),
+    ('<pre>a  b<span style="white-space:normal">c  d\ne</span></pre>', "a  bc d e"),
+    ("<ol start=3><li>a<li value=9>b<li>c</ol>", "3. a\n9. b\n10. c"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ul style='display:inline'><li>a</ul>", "- a"),
+    ("<ruby>K<rp>(</rp><rt>k</rt><rp>)</rp></ruby>", "K k"),
+    ("a<plaintext><b>not bold</b> <!-- no note -->", "a\n<b>not bold</b> <!-- no note -->"),
+    ("<style>.x * {display:none} .x > b {display:block}</style><div class=x>a<b>b</b><i>c</i><p><i>d</i></p></div><i>e</i>", "a\nb\ne"),
+    ("<style>.x > * {display:none}</style><div class=x>a<b>b</b></div><b>c</b><div><b>d</b></div>", "a\nc\nd"),
+    ("<style>* {display:none} b {display:inline} body, html, p {display:block}</style><p>x<b>y</b><i>z</i>", "xy"),
+    ("<style>#m .c u {display:none} .c {visibility:hidden} .c .v {visibility:visible}</style><div id=m><p class=c>a<u>b</u><i class=v>c</i></p></div><u>d</u>", "c\n\nd"),
+    ("<style>.c{display:none}.c{display:block}</style><i class=c>a</i><i class=c>b</i>", "a\nb"),
+    ("<style>.c{display:none!important}.c{display:block}</style><i class=c>a</i>b", "b"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), HTML_STYLES)
+def test_html_styles(page, want):
+    assert html_text.page_text(page) == want
+
+
+def test_html_spans_are_ranges():
+    rows = "<tr><td>x<td rowspan=3 colspan=2>big<td>y<tr><td>a<td>b<tr><td rowspan=2>c<td>d<tr><td>e<td>f"
+    assert html_text.page_text(f"<table>{rows}</table>").split("\n") == ["x | big   | y", "a |       | b", "c |       | d", "  | e | f"]
+
+
+def test_html_time_follows_length_with_many_rules_and_spans():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.page_text(page)
+        return time.process_time() - began
+
+    pages = {
+        "rules for all": lambda n: f"<style>{' '.join(f'.r{i} * {{display:block}}' for i in range(n))}</style>" + "<p class=r1>a<b>b</b></p>" * n,
+        "rules below": lambda n: f"<style>{' '.join(f'.r{i} b {{display:block}}' for i in range(n))}</style>" + "<p class=r1>a<b>b</b></p>" * n,
+        "the same rule": lambda n: f"<style>{'* {display:inline} b{visibility:visible}' * n}</style>" + "<b>b</b>" * n,
+        "deep": lambda n: f"<style>{' '.join(f'.r{i} * {{display:block}}' for i in range(n))}</style>" + "<div class=r2>" * n,
+        "one wide cell": lambda n: "<table><tr><td colspan=1000 rowspan=0>a" + "<tr><td>b" * n,
+        "many cells": lambda n: "<table><tr>" + "<td rowspan=0>a" * 900 + "<tr><td>b" * n,
+    }
+    for name, page in pages.items():
+        took(page(200))
+        small, large = took(page(2_000)), took(page(8_000))
+        assert large < 8 * max(small, 0.05) + 0.5, (name, small, large)
+        assert large < 6, (name, small, large)
+
+
 def test_url_rules_and_templates(spark):
     urls = ["http://A.net/x", "https://www.example.net/en/1?q#f", "ftp://example.com/de/", "http://notexample.com/de/", "no url", None, "http://x.org?q", "http://x.org/fr/9"]
     rows = [(i, u, None) for i, u in enumerate(urls)]
