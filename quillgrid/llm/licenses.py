@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-GAP = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]")
+#: What stands between words, before letters are lower-cased.
+GAP = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 MARK = re.compile(r"<<(.*?)>>")
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
