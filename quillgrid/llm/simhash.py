@@ -166,7 +166,7 @@ def _at_anchors(fps: DataFrame, level: int, bits: int, blocks: int) -> DataFrame
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` that differ in at most
     ``BITS`` bits: all of them."""
-    blocks = 2 if fps.limit(TWO_BLOCKS + 1).count() <= TWO_BLOCKS else 3
+    blocks = 2 if fps.count() <= TWO_BLOCKS else 3
     home, near, edges = fps.select("fp"), fps.select("fp"), None
     for level in range(len(ORDERS)):
         at = [f"a{i}" for i in range(level + 1)]
