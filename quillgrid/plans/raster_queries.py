@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_path
 from ..operators import classify, contours
 from ..operators import raster as r
 from ..operators import resample
+from ..sources import files
 from . import views as v
 from .registry import query
 
@@ -334,3 +336,11 @@ def trace_polygons(s, d):
     """Outlines of despeckled masks within 1.5 pixels, as paths."""
     mask = r.despeckled(r.labelled(coarse(s, d)), 2)
     return contours.outlines(contours.simplified(contours.rings(mask), 1.5))
+
+
+@query("image_scan", f"WITH {v.RGB} SELECT image_id, y, x, r, g, b FROM rgb")
+def image_scan(s, d):
+    """The colour images as files in the shared folder, read again."""
+    at = shared_path(s, "images")
+    files.write_images(v.rgb(s, d), at).count()
+    return files.read_images(s, at).withColumn("image_id", F.regexp_extract("image_id", r"(\d+)\.png$", 1).cast("long"))

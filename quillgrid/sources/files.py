@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,35 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return at.select("image_id", "y", "x", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
 
 
+def png(pixels: np.ndarray) -> bytes:
+    """A picture (height, width, 3) of bytes as a PNG file."""
+    height, width, _ = pixels.shape
+    rows = np.concatenate((np.zeros((height, 1), np.uint8), pixels.reshape(height, width * 3)), axis=1)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def write_images(pixels: DataFrame, path: str) -> DataFrame:
+    """(image_id, file) of the PNG files, one for each image of (image_id, y, x, r,
+    g, b), that are written under a path; pixels that are missing are black.  A file
+    that a task writes again replaces the one before it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        y, x = (rows.column(c).to_numpy() for c in "yx")
+        picture = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
+        picture[y, x] = np.stack([rows.column(c).to_numpy() for c in "rgb"], 1)
+        store.create_dir(base, recursive=True)
+        name = f"{base}/{rows.column('image_id')[0].as_py()}.png"
+        with store.open_output_stream(name, compression=None) as out:
+            out.write(png(picture))
+        return pa.table({"image_id": rows.column("image_id").slice(0, 1), "file": pa.array([name])})
+
+    return pixels.select("image_id", "y", "x", "r", "g", "b").groupBy("image_id").applyInArrow(run, f"image_id {dict(pixels.dtypes)['image_id']}, file string")
+
+
 def read_ppm_palette(spark: SparkSession, path: str) -> DataFrame:
     """(src, cindex, color) of plain-text pixel maps, last colour first; comments
     and blank lines do not count, an incomplete last colour is dropped."""
