@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.storage import written
 from .graph import components
@@ -213,10 +214,9 @@ def labelled_each(masks: list[DataFrame], tile: int = TILE) -> list[DataFrame]:
     for k, mask in enumerate(masks):
         own = mask.select(F.lit(k).alias("mask"), "image_id", "y", "x")
         pixels = own if pixels is None else pixels.unionByName(own)
-    kinds = dict(pixels.dtypes)
     at = ["mask", "image_id", "y", "x"]
     tiles = pixels.distinct().withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)}).groupBy("mask", "image_id", "ty", "tx")
-    found = written(tiles.applyInArrow(_in_tile, ", ".join([*(f"{c} {kinds[c]}" for c in at), "own long"])), "tiles")
+    found = written(tiles.applyInArrow(_in_tile, T.StructType([*(pixels.schema[c] for c in at), T.StructField("own", T.LongType())])), "tiles")
     last = {c: F.pmod(F.col(c), F.lit(tile)) == tile - 1 for c in "yx"}
     edge = found.where(last["y"] | last["x"] | (F.pmod("y", F.lit(tile)) == 0) | (F.pmod("x", F.lit(tile)) == 0))
     place = lambda dy, dx: F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))

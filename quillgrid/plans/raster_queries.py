@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import shared_path
 from ..operators import classify, contours
 from ..operators import raster as r
-from ..operators import resample
+from ..operators import resample, trace
 from ..sources import files
 from . import views as v
 from .registry import query
@@ -309,7 +309,7 @@ def dither_riemersma(s, d):
 
 
 #: Sides of pixels that face the background one by one, then walked from each ring's first until it comes round.
-RINGS = f"""{LABELS}, side AS (SELECT m.image_id, m.y, m.x, s.dir, m.y + s.fy AS y0, m.x + s.fx AS x0, m.y + s.ty AS y1, m.x + s.tx AS x1
+WALKED = """side AS (SELECT m.image_id, m.y, m.x, s.dir, m.y + s.fy AS y0, m.x + s.fx AS x0, m.y + s.ty AS y1, m.x + s.tx AS x1
   FROM mask m, (VALUES (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 1), (2, 1, 0, 1, 1, 1, 0), (3, 0, -1, 1, 0, 0, 0)) s(dir, dy, dx, fy, fx, ty, tx)
   WHERE NOT EXISTS (SELECT 1 FROM mask n WHERE n.image_id = m.image_id AND n.y = m.y + dy AND n.x = m.x + dx)),
 go AS MATERIALIZED (SELECT a.image_id, a.y0, a.x0, a.dir, a.y, a.x, arg_min([b.y0, b.x0, b.dir], CASE (b.dir - a.dir + 4) % 4 WHEN 3 THEN 0 ELSE 1 END) AS nxt FROM side a JOIN side b ON a.image_id = b.image_id AND a.y1 = b.y0 AND a.x1 = b.x0 GROUP BY ALL),
@@ -320,7 +320,8 @@ ends AS (SELECT DISTINCT w.image_id, root FROM walk2 w JOIN hop ON hop.image_id
 cor AS (SELECT w.image_id, root, w.e, step, lag(w.e[3]) OVER (PARTITION BY w.image_id, root ORDER BY step) AS was FROM walk2 w JOIN ends USING (image_id, root)),
 outl AS (SELECT image_id, root, count(*) AS n_corners, string_agg(e[2] || ',' || e[1], ' L ' ORDER BY step) AS points FROM cor WHERE was IS NULL OR was <> e[3] GROUP BY ALL),
 -- the area by Green: down along the right of a pixel, up along its left
-ar AS (SELECT image_id, root, CAST(sum(CASE e[3] WHEN 1 THEN e[2] WHEN 3 THEN -e[2] ELSE 0 END) AS DOUBLE) AS area FROM cor GROUP BY ALL)
+ar AS (SELECT image_id, root, CAST(sum(CASE e[3] WHEN 1 THEN e[2] WHEN 3 THEN -e[2] ELSE 0 END) AS DOUBLE) AS area FROM cor GROUP BY ALL)"""
+RINGS = f"""{LABELS}, {WALKED}
 SELECT o.image_id, l.label, o.root[1] * {4 * (STRIDE // 8)} + o.root[2] * 4 + o.root[3] AS ring, n_corners, area, 'M ' || points || ' Z' AS d
 FROM outl o JOIN ar USING (image_id, root) JOIN hop ON hop.image_id = o.image_id AND hop.e = o.root JOIN labels l ON l.image_id = o.image_id AND l.y = hop.y AND l.x = hop.x"""
 
@@ -344,3 +345,23 @@ def image_scan(s, d):
     at = shared_path(s, "images")
     files.write_images(v.rgb(s, d), at).count()
     return files.read_images(s, at).withColumn("image_id", F.regexp_extract("image_id", r"(\d+)\.png$", 1).cast("long"))
+
+
+#: Every colour of an image as a mask; an image's number and its colour's make that of the mask.
+TRACED = f"""{PAL}, mask AS (SELECT image_id * 100 + cindex AS image_id, y, x FROM rgb JOIN pal USING (image_id, r, g, b)), {WALKED},
+layer AS (SELECT image_id // 100 AS img, image_id % 100 AS cindex, string_agg('M ' || points || ' Z', ' ' ORDER BY root) AS d FROM outl GROUP BY ALL),
+docs AS (SELECT img, string_agg('<g id="layer' || l.cindex || '"><path fill="' || color || '" fill-rule="evenodd" d="' || d || '"/></g>' || chr(10), '' ORDER BY l.cindex) AS body FROM layer l JOIN pal ON pal.image_id = img AND pal.cindex = l.cindex GROUP BY img),
+size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM rgb GROUP BY image_id)
+SELECT image_id, '<svg xmlns="http://www.w3.org/2000/svg" version="1.1" width="' || w || '" height="' || h || '" viewBox="0 0 ' || w || ' ' || h || '">' || chr(10) || body || '</svg>' AS document FROM size JOIN docs ON img = image_id"""
+
+
+@query("trace_image", f"WITH RECURSIVE {TRACED}")
+def trace_image(s, d):
+    """All colours, every pixel's outline: the document is the image."""
+    return trace.traced(v.rgb(s, d), 0, 0, 0.0)
+
+
+@query("trace_image_simplified", None)
+def trace_image_simplified(s, d):
+    """The whole conversion with its usual steps: eight colours, no speckles, stacked and simplified layers."""
+    return trace.traced(v.rgb(s, d), 8, 2, 1.5, True)
