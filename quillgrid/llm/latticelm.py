@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, remainder, written
+from .common import hot_join, map_arrow, remainder, written
 
 MARK = "▁"
 #: Distinct words that a task counts before it passes them on.
@@ -391,7 +391,9 @@ def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     first = written(map_arrow(docs, run, f"doc_id {kind}, held boolean, h long, n long, known long, base double, lp double, lp2 double, rare array<struct<word:binary,tf:long>>"), "first-sums")
-    rest = first.select("doc_id", "held", "h", F.explode("rare").alias("r")).select("doc_id", "held", "h", "r.word", "r.tf").join(known, "word")
+    rest = first.select("doc_id", "held", "h", F.explode("rare").alias("r")).select("doc_id", "held", "h", "r.word", "r.tf")
+    # a long word may be in very many texts; its training count tells
+    rest = hot_join(rest, known.withColumn("copies", F.col("c")), "word", F.col("h"))
     rest = rest.select("doc_id", "held", "h", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"), F.expr("IF(c > 0, tf, 0L)").alias("known"), (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("base"), *((F.col("tf") * F.col(c)).alias(c) for c in ("lp", "lp2")))
     both = first.select("doc_id", "held", "h", F.lit(1).cast("long").alias("m"), "n", "known", "base", "lp", "lp2").unionByName(rest)
     sums = both.groupBy("doc_id", "held", "h").agg(*(F.sum(c).alias(c) for c in ("m", "n", "known", "base", "lp", "lp2")))

@@ -589,6 +589,15 @@ def test_word_tables_of_two_corpora_are_kept_apart(spark):
         assert all(r.n_known == r.n_tokens == 2 for r in latticelm.score(two, PIECES).collect())
 
 
+def test_hot_long_words_give_the_same_scores(spark, monkeypatch):
+    from quillgrid.functions import joins
+
+    rows = [(i, f"{'h' * 100} the word {i % 7} {'z' * (70 + i % 3)}") for i in range(300)]
+    want = sorted(map(tuple, latticelm.score(frame(spark, rows), PIECES).collect()))
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    assert np.allclose(np.array(sorted(map(tuple, latticelm.score(frame(spark, rows), PIECES).collect())), float), np.array(want, float), rtol=1e-12)
+
+
 def test_fitted_probabilities_are_better_on_held_out_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     r = latticelm.score(docs, PIECES, fitted=True).where("held_out").agg({"score": "sum", "fitted_score": "sum", "n_tokens": "sum"}).first()
