@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .raster import sizes
+from .raster import remapped, sizes
 
 #: Weights are multiples of 1 / UNIT; the first pass keeps PLACES more binary digits.
 UNIT = 1 << 16
@@ -253,3 +253,69 @@ def riemersma(pixels: DataFrame, palette: DataFrame, length: int = QUEUE, ratio:
 
     along = pixels.withColumn("along", hilbert(F.col("x"), F.col("y")))
     return _stream(along, palette, F.shiftright("along", STEP), F.col("along"), run)
+
+
+class NeuralMap:
+    """A line of neurons that learns an image's colours, pixel by pixel.
+
+    The neuron that is nearest to a pixel, less a bias for those that win seldom,
+    moves toward it, its neighbours by less; rate and reach fall as pixels go by.
+    """
+
+    BETA, GAMMA = 1 / 1024, 1024.0
+
+    def __init__(self, colours: int, pixels: int):
+        self.n, self.left, self.seen = colours, pixels, 0
+        self.at = np.repeat(255.0 * np.arange(colours)[:, None] / max(1, colours - 1), 3, axis=1)
+        self.often = np.full(colours, 1.0 / colours)
+        self.bias = np.zeros(colours)
+
+    def learn(self, colour: np.ndarray) -> None:
+        part = self.seen / self.left
+        self.seen += 1
+        far = ((self.at - colour) ** 2).sum(1)
+        won = int((far - self.bias).argmin())
+        self.often *= 1 - self.BETA
+        self.often[won] += self.BETA
+        self.bias = self.GAMMA * (1.0 / self.n - self.often)
+        rate, reach = 0.5 * (1 - part) ** 2 + 0.002, int(self.n / 8 * (1 - part) ** 2)
+        lo, hi = max(0, won - reach), min(self.n, won + reach + 1)
+        share = rate * (1 - (np.abs(np.arange(lo, hi) - won) / (reach + 1)) ** 2)
+        self.at[lo:hi] += share[:, None] * (colour - self.at[lo:hi])
+
+    def palette(self) -> np.ndarray:
+        return np.floor(np.clip(self.at, 0, 255) + 0.5).astype(np.int64)
+
+
+def neural_palettes(pixels: DataFrame, colours: int) -> DataFrame:
+    """(image_id, cindex, r, g, b): what a line of so many neurons has learned
+    from all pixels of an image, which it sees in the order of a hash of their places."""
+    if colours < 1:
+        raise ValueError("at least one colour")
+    count = pixels.groupBy("image_id").agg(F.count("*").cast("int").alias("r")).select("image_id", F.lit(0).alias("cindex"), "r", F.lit(0).alias("g"), F.lit(0).alias("b"))
+
+    def told(image, net):
+        own = net.palette()
+        return image, np.column_stack((np.arange(colours), np.zeros(colours, np.int64), own))
+
+    def run(steps):
+        before, net = None, None
+        for image, rows in steps:
+            if rows[0, 0] < 0:  # how many pixels follow
+                if net is not None:
+                    yield told(before, net)
+                before, net = image, NeuralMap(colours, int(rows[0, 3]))
+                continue
+            for colour in rows[:, 3:].astype(np.float64):
+                net.learn(colour)
+        if net is not None:
+            yield told(before, net)
+
+    place = F.xxhash64("y", "x")
+    return _stream(pixels, count, F.pmod(F.shiftright(place, 44), F.lit(1024)), place, run).select("image_id", F.col("y").alias("cindex"), "r", "g", "b")
+
+
+def neural(pixels: DataFrame, colours: int) -> DataFrame:
+    """Pixels in the nearest colour of their image's neural palette."""
+    palettes = neural_palettes(pixels, colours).select("image_id", "cindex", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb"))
+    return remapped(pixels, palettes)

@@ -365,3 +365,8 @@ def trace_image(s, d):
 def trace_image_simplified(s, d):
     """The whole conversion with its usual steps: eight colours, no speckles, stacked and simplified layers."""
     return trace.traced(v.rgb(s, d), 8, 2, 1.5, True)
+
+
+@query("quantize_neural", None)
+def quantize_neural(s, d):
+    return resample.neural(v.rgb(s, d), 12)

@@ -173,3 +173,39 @@ def test_octree_parent_by_parent(pixels, most):
         own = {(y, x): c for (i, y, x), c in got.items() if i == k}
         assert own == tree_colours(px, most)
         assert len(set(own.values())) <= most
+
+
+def learned(px, order, n):
+    """A neural map in plain numbers."""
+    at = [[255.0 * i / max(1, n - 1)] * 3 for i in range(n)]
+    often, bias = [1.0 / n] * n, [0.0] * n
+    for t, p in enumerate(sorted(px, key=order.__getitem__)):
+        part, c = t / len(px), px[p]
+        far = [(a[0] - c[0]) ** 2 + (a[1] - c[1]) ** 2 + (a[2] - c[2]) ** 2 - b for a, b in zip(at, bias)]
+        won = far.index(min(far))
+        often = [o * (1 - 1 / 1024) + (1 / 1024 if i == won else 0) for i, o in enumerate(often)]
+        bias = [1024.0 * (1.0 / n - o) for o in often]
+        rate, reach = 0.5 * (1 - part) ** 2 + 0.002, int(n / 8 * (1 - part) ** 2)
+        for i in range(max(0, won - reach), min(n, won + reach + 1)):
+            share = rate * (1 - (abs(i - won) / (reach + 1)) ** 2)
+            at[i] = [a + share * (v - a) for a, v in zip(at[i], c)]
+    return [tuple(math.floor(min(255, max(0, v)) + 0.5) for v in a) for a in at]
+
+
+@pytest.mark.parametrize("n", [1, 5, 24])
+def test_neural_palettes_pixel_by_pixel(pixels, n):
+    hashes = {(r.image_id, r.y, r.x): (r.s, r.h) for r in pixels.select("image_id", "y", "x", F.expr("pmod(shiftright(xxhash64(y, x), 44), 1024) AS s"), F.xxhash64("y", "x").alias("h")).collect()}
+    got = {}
+    for r in resample.neural_palettes(pixels, n).orderBy("image_id", "cindex").collect():
+        got.setdefault(r.image_id, []).append((r.r, r.g, r.b))
+    assert got == {k: learned(px, {(y, x): hashes[k, y, x] for y, x in px}, n) for k, px in IMAGES.items()}
+    shown = collected(resample.neural(pixels, n))
+    for (k, y, x), c in shown.items():
+        d = [sum((a - b) ** 2 for a, b in zip(IMAGES[k][y, x], p)) for p in got[k]]
+        assert c == got[k][d.index(min(d))]
+
+
+def test_neural_palette_of_two_colours_finds_them(spark):
+    rows = [(1, y, x, *((250, 10, 20) if (x // 8) % 2 else (5, 200, 90))) for y in range(40) for x in range(40)]
+    got = {(r.r, r.g, r.b) for r in resample.neural(spark.createDataFrame(rows, RGB), 8).distinct().select("r", "g", "b").distinct().collect()}
+    assert len(got) == 2 and all(min(sum(abs(a - b) for a, b in zip(c, w)) for w in ((250, 10, 20), (5, 200, 90))) < 30 for c in got)
