@@ -9,9 +9,15 @@ probability is the sum over its words plus the end symbol.
 The vocabulary is taken as it is; its scores give the piece probabilities that
 ``score`` is made of.  The file at hand scores pieces by rank (minus the place in
 the order of merges), which is no log probability: p is taken as 1 / (10 + rank),
-normalised.  With ``fitted`` there is a second score, ``fitted_score``, by the
-probabilities that one step of expectation maximisation over the counts of all
-training words makes of these, smoothed by them.
+normalised.  With ``fitted`` there are two more scores, which learn from the
+training texts.  ``fitted_score`` is by the probabilities that one step of
+expectation maximisation over the counts of all training words, their segmentations
+weighted by the vocabulary's scores, makes of these, smoothed by them.
+``learned_score`` adds one arc to the lattice of a training word, the word as a
+whole: a token is a word seen c times with (c - d) / (N + 1), N tokens in all, and
+with what is left, (d V + 1) / (N + 1), spelt by the fitted lattice, whatever the
+word.  The discount d follows from the words seen once and twice.  The words' and
+the end's probabilities add up to 1 at most.
 
 Spark's part: word counts of the whole corpus (counted in each task, summed by
 key), expected piece counts per partition, a lattice score for every distinct
@@ -24,7 +30,7 @@ window by window; what is kept of them is a few numbers a window.
 Tokens: ASCII lower case, split at ASCII white space; each text has one end
 token more.  Defined cases: null text is the empty text (one token); characters
 outside the vocabulary are spelt in byte pieces; no training text gives the
-vocabulary's own probabilities and a base score of log10(1/1) a token; rows with
+vocabulary's own probabilities in all scores and a base score of log10(1/1) a token; rows with
 equal id and text are scored once and returned as often as they occur; other
 columns are not read.
 """
@@ -54,6 +60,8 @@ WORD_BYTES = 64
 LONG = 2_000
 WINDOW = 1 << 14
 LOG10 = np.log(10.0)
+#: Columns of a word's or text's log probabilities: by the vocabulary, fitted, learned.
+LOGS = ("lp", "lp2", "lp3")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -335,69 +343,81 @@ def train(counted: DataFrame, ends: int, vocab_path: str) -> np.ndarray:
     return np.log(n / n.sum())
 
 
-def with_logs(counted: DataFrame, logps: list[np.ndarray], vocab_path: str) -> DataFrame:
-    """(word, c, lp, lp2): log10 of each word's marginal probability by one or two
-    kinds of piece probabilities; lp2 is 0 where there is one."""
+def learned(counts: np.ndarray, lp: np.ndarray, tokens: int, kinds: int, discount: float) -> np.ndarray:
+    """log10 of the probability of words seen so often, spelt with 10**lp, among so
+    many training tokens of so many kinds."""
+    with np.errstate(divide="ignore"):  # no arc of its own for a word that was not seen
+        whole = np.log(np.maximum(counts - discount, 0))
+    return (np.logaddexp(whole, np.log(discount * kinds + 1) + lp * LOG10) - np.log(tokens + 1)) / LOG10
+
+
+def with_logs(counted: DataFrame, logps: list[np.ndarray], vocab_path: str, seen: tuple[int, int, float]) -> DataFrame:
+    """(word, c, lp, lp2, lp3): log10 of each word's marginal probability by one or two
+    kinds of piece probabilities, and learned from the second (``seen``: tokens, kinds
+    and discount); lp2 and lp3 are 0 where there is one."""
 
     def run(batches):
         v = vocabulary(vocab_path)
         for b in batches:
             logs = word_logs(v, logps, _marked(b.column("word"))) / LOG10
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(logs[0]), pa.array(logs[1] if len(logs) > 1 else np.zeros(b.num_rows))], names=["word", "c", "lp", "lp2"])
+            more = [logs[1], learned(b.column("c").to_numpy(zero_copy_only=False), logs[1], *seen)] if len(logs) > 1 else [np.zeros(b.num_rows)] * 2
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), *map(pa.array, (logs[0], *more))], names=["word", "c", *LOGS])
 
-    return map_arrow(counted, run, "word binary, c long, lp double, lp2 double", WORD_ROWS)
+    return map_arrow(counted, run, "word binary, c long, lp double, lp2 double, lp3 double", WORD_ROWS)
 
 
 def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and, with
-    ``fitted``, fitted_score."""
+    ``fitted``, fitted_score and learned_score."""
     spark = documents.sparkSession
     held = remainder(F.col("doc_id"), 5) == 1
     docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), held.alias("held"))
     counted = written(word_counts(docs), "word-counts")
     ends = docs.where(~F.col("held")).select("doc_id").count()
-    total = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2))).first()
     n = (total["n"] or 0) + ends
-    denominator = float(np.log10(n + 0.5 * (total["v"] + (1 if ends else 0) + 1)))
+    kinds = total["v"] + (1 if ends else 0)
+    denominator = float(np.log10(n + 0.5 * (kinds + 1)))
+    seen = (n, kinds, total["n1"] / max(1, total["n1"] + 2 * total["n2"]))
     logps = [own_logs(vocab_path), *([train(counted, ends, vocab_path)] if fitted else [])]
-    known = written(with_logs(counted, logps, vocab_path), "word-scores")
+    known = written(with_logs(counted, logps, vocab_path, seen), "word-scores")
     top = known.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(frequent).toArrow()
-    bound = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(zip(top.column("word").to_pylist(), zip(*(top.column(c).to_pylist() for c in ("c", "lp", "lp2")))))))
-    end_base, end_lp, end_lp2 = float(np.log10(ends + 0.5)), *(float(logps[min(k, len(logps) - 1)][-1] / LOG10) for k in (0, 1))
+    bound = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(zip(top.column("word").to_pylist(), zip(*(top.column(c).to_pylist() for c in ("c", *LOGS)))))))
+    spelt = [float(logps[min(k, len(logps) - 1)][-1] / LOG10) for k in (0, 1)]
+    end = [float(np.log10(ends + 0.5)), *spelt, float(learned(np.array([ends]), np.array(spelt[1:]), *seen)[0])]
 
     def run(batches):
         import xxhash
 
         table = _ready(bound)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for value in batch.column("text"):
                 text = value.as_py()
                 own = Counter(words(text))
-                base, lp, lp2, known_, rare = [end_base], [end_lp], [end_lp2], int(ends > 0), []
+                logs, known_, rare = [[x] for x in end], int(ends > 0), []
                 for w, tf in own.items():
                     hit = table.get(w)
                     if hit is None:
                         rare.append({"word": w, "tf": tf})
                     else:
-                        base.append(tf * hit[1])
-                        lp.append(tf * hit[2])
-                        lp2.append(tf * hit[3])
+                        for x, lp in zip(logs, hit[1:]):
+                            x.append(tf * lp)
                         known_ += tf * hit[0]
-                for c, x in zip(cols, (xxhash.xxh3_64_intdigest(text or b"") - (1 << 63), own.total() + 1, known_, float(np.sum(base)), float(np.sum(lp)), float(np.sum(lp2)), rare)):
+                for c, x in zip(cols, (xxhash.xxh3_64_intdigest(text or b"") - (1 << 63), own.total() + 1, known_, *(float(np.sum(x)) for x in logs), rare)):
                     c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "held", "h", "n", "known", "base", "lp", "lp2", "rare"])
+            types = (*[pa.int64()] * 3, *[pa.float64()] * 4, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), *(pa.array(c, k) for c, k in zip(cols, types))], names=["doc_id", "held", "h", "n", "known", "base", *LOGS, "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    first = written(map_arrow(docs, run, f"doc_id {kind}, held boolean, h long, n long, known long, base double, lp double, lp2 double, rare array<struct<word:binary,tf:long>>"), "first-sums")
+    first = written(map_arrow(docs, run, f"doc_id {kind}, held boolean, h long, n long, known long, base double, lp double, lp2 double, lp3 double, rare array<struct<word:binary,tf:long>>"), "first-sums")
     rest = first.select("doc_id", "held", "h", F.explode("rare").alias("r")).select("doc_id", "held", "h", "r.word", "r.tf")
     # a long word may be in very many texts; its training count tells
     rest = hot_join(rest, known.withColumn("copies", F.col("c")), "word", F.col("h"))
-    rest = rest.select("doc_id", "held", "h", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"), F.expr("IF(c > 0, tf, 0L)").alias("known"), (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("base"), *((F.col("tf") * F.col(c)).alias(c) for c in ("lp", "lp2")))
-    both = first.select("doc_id", "held", "h", F.lit(1).cast("long").alias("m"), "n", "known", "base", "lp", "lp2").unionByName(rest)
-    sums = both.groupBy("doc_id", "held", "h").agg(*(F.sum(c).alias(c) for c in ("m", "n", "known", "base", "lp", "lp2")))
-    each = sums.select("doc_id", "held", *((F.col(c) / F.col("m")).alias(c) for c in ("n", "known", "base", "lp", "lp2")), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    rest = rest.select("doc_id", "held", "h", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"), F.expr("IF(c > 0, tf, 0L)").alias("known"), (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("base"), *((F.col("tf") * F.col(c)).alias(c) for c in LOGS))
+    both = first.select("doc_id", "held", "h", F.lit(1).cast("long").alias("m"), "n", "known", "base", *LOGS).unionByName(rest)
+    sums = both.groupBy("doc_id", "held", "h").agg(*(F.sum(c).alias(c) for c in ("m", "n", "known", "base", *LOGS)))
+    each = sums.select("doc_id", "held", *((F.col(c) / F.col("m")).alias(c) for c in ("n", "known", "base", *LOGS)), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     return each.select(
         "doc_id",
         F.col("held").alias("held_out"),
@@ -406,7 +426,7 @@ def score(documents: DataFrame, vocab_path: str, frequent: int = 300_000, fitted
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.round("n") * F.lit(denominator)).alias("base_score"),
         F.col("lp").alias("score"),
-        *([F.col("lp2").alias("fitted_score")] if fitted else []),
+        *([F.col("lp2").alias("fitted_score"), F.col("lp3").alias("learned_score")] if fitted else []),
     )
 
 
@@ -414,11 +434,11 @@ _tables: dict[str, dict] = {}
 
 
 def _ready(bound) -> dict:
-    """The broadcast words with (known, log10(c + 0.5), lp, lp2), made once a worker
+    """The broadcast words with (known, log10(c + 0.5), lp, lp2, lp3), made once a worker
     and broadcast; the key goes with the value, as workers serve many queries."""
     key, rows = bound.value
     if key not in _tables:
         _tables.clear()
         logs = np.log10(np.array([r[0] for r in rows.values()], np.float64) + 0.5).tolist()
-        _tables[key] = {w: (int(n > 0), b, lp, lp2) for (w, (n, lp, lp2)), b in zip(rows.items(), logs)}
+        _tables[key] = {w: (int(n > 0), b, *lps) for (w, (n, *lps)), b in zip(rows.items(), logs)}
     return _tables[key]

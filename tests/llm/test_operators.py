@@ -608,6 +608,48 @@ def test_fitted_probabilities_are_better_on_held_out_texts(spark):
     assert alone["sum(score)"] == pytest.approx(r["sum(score)"])
 
 
+def test_lattice_query_learns_from_training_texts(spark):
+    """All scores are there and finite; those of held-out texts are near the base score."""
+    got = registry.op10_lattice_lm(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == table(spark, "/root/testdata/sf0.01", "documents").count()
+    assert all(math.isfinite(x) and x < 0 for r in got for x in (r.score, r.fitted_score, r.vocabulary_score))
+    held = [r for r in got if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    score, base, fitted, own = (sum(r[c] for r in held) / tokens for c in ("score", "base_score", "fitted_score", "vocabulary_score"))
+    print("log10 probability a held-out token: base, learned, fitted, by the vocabulary's scores:", base, score, fitted, own)
+    assert own < fitted < score and score > base - 1
+
+
+def test_learned_scores_against_brute_force(spark):
+    """Seen words have an arc of their own, all are spelt by the fitted lattice; probabilities stay below 1."""
+    rows = [(i, "the cat sat on the mat" if i % 3 else f"a dog number{i // 6} and number{i} ran") for i in range(60)] + [(100 + i, "q" * 500 + " the") for i in range(9)] + [(300, None), (301, "漢字 cat unheardofword")]
+    train = Counter()
+    for i, t in rows:
+        if crc(i) % 5 != 1:
+            train.update([*words(t), 0])
+    once, twice = (sum(c == k for c in train.values()) for k in (1, 2))
+    n, v, d = train.total(), len(train), once / (once + 2 * twice)
+    assert 0 < d < 1
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in latticelm.score(docs, PIECES, 5, fitted=True).collect()}
+    counted = latticelm.word_counts(docs.selectExpr("cast(text as binary) text", "doc_id", "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 1 held"))
+    logp = latticelm.train(counted, train[0], PIECES)
+    lat = latticelm.vocabulary(PIECES)
+    seen = {0: logp[lat.end]} | {w: latticelm.word_logs(lat, [logp], [latticelm.MARK + w])[0, 0] for i, t in rows for w in words(t)}
+
+    def log10(w):
+        whole, rest = max(train[w] - d, 0), math.log(d * v + 1) + seen[w]
+        top = max(math.log(whole), rest) if whole else rest
+        return (top + math.log((whole and math.exp(math.log(whole) - top)) + math.exp(rest - top)) - math.log(n + 1)) / math.log(10)
+
+    for i, t in rows:
+        assert got[i].learned_score == pytest.approx(sum(log10(w) for w in [*words(t), 0]), rel=1e-9)
+        assert got[i].fitted_score == pytest.approx(sum(seen[w] for w in [*words(t), 0]) / math.log(10), rel=1e-9)
+    assert sum(10 ** log10(w) for w in seen) <= 1
+    nothing = latticelm.score(frame(spark, [(i, t) for i, t in rows if crc(i) % 5 == 1]), PIECES, fitted=True).collect()
+    assert nothing and all(r.learned_score == pytest.approx(r.score) and r.train_tokens == 0 for r in nothing)
+
+
 @pytest.mark.parametrize("frequent", [300_000, 50])
 def test_scores_against_brute_force(spark, frequent):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()] + [(10_001, None), (10_002, "unheardofword unheardofword the"), (10_003, "y" * 100)]  # the last is too long to broadcast
