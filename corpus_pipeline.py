@@ -9,7 +9,8 @@ it kept.  All but the last return the columns of their input.
   two words lies within the noise of the vectors.
 - ``near_dedup`` keeps one row, that of the smallest doc_id, of each group of
   documents whose sets of five-word shingles are similar to 0.8 or more; rows are
-  told apart by id and text.
+  told apart by id and text.  Candidates are linked by SimHash with anchor-point
+  covering, as in ``op6_simhash``, and beyond its reach by samples of shingles.
 - ``mix`` puts the rows into the order of the mixture; the files that are written
   from it hold the mixture from first to last.  No row is dropped or repeated.
 - ``tokenise`` encodes and decodes every text.  Files that are read again come in

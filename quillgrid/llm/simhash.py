@@ -25,12 +25,13 @@ compared, by a join that Spark may deal out.
 
 Equal fingerprints are merged before the search.
 
-``near_duplicates`` (the pipeline's stage) asks for five-word shingles and a
-Jaccard similarity of 0.8.  One 64-bit fingerprint cannot give that: such pairs
-differ in 4 to 18 bits, where covering codes would replicate to everything.  It
-therefore takes several SimHash fingerprints a document, each of a few shingles
-sampled by least permuted hash: of equal samples, fingerprints are equal.  Those
-that share a fingerprint are candidates and are verified on whole shingle sets.
+``near_duplicates_removed`` (the pipeline's stage) goes by the same fingerprints of
+whole texts, anchors and links: documents of one component are candidates, and an
+exact check on five-word shingles, at a Jaccard similarity of 0.8, decides.  Pairs
+at that similarity may differ in 4 to 18 bits, where covering codes would replicate
+to everything.  For those, which are beyond the links, it takes several more SimHash
+fingerprints a document, each of a few shingles sampled by least permuted hash: of
+equal samples, fingerprints are equal.  Those that share one are candidates, too.
 Sets of up to seven shingles meet exactly, by their subsets of one shingle less.
 
 Defined cases: null text is the empty text; a text without words has
@@ -65,6 +66,8 @@ ORDERS = (0, 46, 23)
 HOT = 64
 #: Differing bits at which two fingerprints are linked.
 BITS = 2
+#: Words of a shingle of the fingerprints of whole texts.
+WORDS = 3
 SEED = 42
 
 
@@ -96,7 +99,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > hashes.size).tobytes(), "big", signed=True)
 
 
-def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
+def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every whole text."""
 
     def run(batches):
@@ -176,8 +179,9 @@ def links(fps: DataFrame) -> DataFrame:
             hot = written(home.groupBy(*at).count().where(F.col("count") > HOT).select(*at), "hot-anchors")
             any_hot = not hot.isEmpty()
         calm = home.join(hot, at, "left_anti") if any_hot else home
-        # the home anchor of the smaller fingerprint of a pair is enough
-        met = calm.withColumnRenamed("fp", "u").join(near.withColumnRenamed("fp", "v"), at).where(f"u < v AND bit_count(u ^ v) <= {BITS}").select("u", "v")
+        # the home anchor of the smaller fingerprint of a pair is enough; Spark does not know that each row of near
+        # is one of many, and would broadcast them
+        met = calm.withColumnRenamed("fp", "u").join(near.withColumnRenamed("fp", "v").hint("merge"), at).where(f"u < v AND bit_count(u ^ v) <= {BITS}").select("u", "v")
         edges = met if edges is None else edges.unionByName(met)
         if not any_hot:
             break
@@ -185,13 +189,19 @@ def links(fps: DataFrame) -> DataFrame:
     return edges
 
 
-def near_groups(documents: DataFrame, words: int = 3) -> DataFrame:
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes``, a written table of one row per fingerprint fp, with root, the least
+    one reachable over links."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_groups(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     reachable over links of at most ``BITS`` differing bits) of every document."""
     fps = written(fingerprints(documents, words), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(nodes)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.select("fp", "root", "copies").join(least, "root").select("fp", "copies", "component_id"), "named")
     return hot_join(fps, named, "fp", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -222,17 +232,19 @@ def _row():
 
 
 def _sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id; row, a hash of the text; node, a hash of the words; keys, for each table the SimHash of the
-    sampled shingles and the next least hash; shingles, the distinct shingles as 32-bit hashes."""
+    """doc_id; row, a hash of the text; node, a hash of the words; fp, the fingerprint of the whole text; keys, for
+    each table the SimHash of the sampled shingles and the next least hash; shingles, the distinct shingles as
+    32-bit hashes."""
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            node, keys, sets = [], [], []
+            node, fps, keys, sets = [], [], [], []
             for value in b.column("text"):
                 text = value.as_py() or ""
                 node.append(xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), SEED) - (1 << 63))
+                fps.append(fingerprint(shingle_hashes(text, WORDS)))
                 h = np.unique(shingle_hashes(text, words))
                 own = []
                 for k, odd in enumerate(_odd()):
@@ -252,14 +264,24 @@ def _sketches(documents: DataFrame, words: int) -> DataFrame:
                     b.column("doc_id"),
                     b.column("row"),
                     pa.array(node, pa.int64()),
+                    pa.array(fps, pa.int64()),
                     pa.array(keys, pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64()), ("tail", pa.int64())]))),
                     pa.array(sets, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "row", "node", "keys", "shingles"],
+                names=["doc_id", "row", "node", "fp", "keys", "shingles"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text", _row().alias("row")), run, f"doc_id {kind}, row long, node long, keys array<struct<place:int,key:long,tail:long>>, shingles array<int>")
+    return map_arrow(documents.select("doc_id", "text", _row().alias("row")), run, f"doc_id {kind}, row long, node long, fp long, keys array<struct<place:int,key:long,tail:long>>, shingles array<int>")
+
+
+def _linked_buckets(sketch: DataFrame) -> DataFrame:
+    """(node, at, tail): the nodes of ``sketch``, those of each component of linked
+    fingerprints in a bucket; place -1 tells these from the buckets of samples."""
+    prints = written(sketch.select("node", "fp").distinct(), "prints")
+    rooted = _rooted(written(prints.groupBy("fp").agg(F.count("*").alias("copies")), "fingerprints"))
+    # texts of equal fingerprints stand next to each other
+    return hot_join(prints, written(rooted, "components"), "fp", F.col("node")).select("node", F.struct(F.lit(-1).alias("place"), F.col("root").alias("key")).alias("at"), F.col("fp").alias("tail"))
 
 
 def _linked_roots(similarity: float):
@@ -387,16 +409,18 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
     are those of the smallest (doc_id, row) of its group of near-duplicates by
     shingle-set similarity; null ids come last.
 
-    Documents that share a fingerprint share a bucket.  First each is compared
-    with the least one and a few neighbours of its bucket, which joins almost all
-    that belong together: under the first ``FIRST`` fingerprints all, then under
-    the others those that are not joined yet.  Then buckets which still hold
+    Documents whose whole texts' fingerprints are linked share a bucket
+    (``_linked_buckets``), and so do those that share a fingerprint of a sample.
+    First each is compared with the least one and a few neighbours of its bucket,
+    which joins almost all that belong together: in the bucket of its links and under
+    the first ``FIRST`` samples all, then under the others those that are not joined yet.  Then buckets which still hold
     several components are compared whole (``_links_of_the_rest``), so no pair of
     a bucket is left out.  Pairs of the smallest sets, which have few samples, are
     found exactly (``_short_pairs``).
     """
     sketch = written(_sketches(documents, words), "sketches")
-    all_at = written(sketch.select("node", F.explode("keys").alias("k")).select("node", F.struct("k.place", "k.key").alias("at"), "k.tail").distinct(), "buckets")
+    sampled = sketch.select("node", F.explode("keys").alias("k")).select("node", F.struct("k.place", "k.key").alias("at"), "k.tail").distinct()
+    all_at = written(_linked_buckets(sketch).unionByName(sampled), "buckets")
     shared = all_at.groupBy("at").agg(F.count("*").alias("copies")).where("copies > 1")
     at = written(hot_join(all_at, shared, "at", F.col("node")), "shared-buckets")
     dropped(all_at)

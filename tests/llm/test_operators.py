@@ -428,6 +428,29 @@ def test_small_sets_meet_without_shared_fingerprints(spark, monkeypatch):
     assert found == root
 
 
+def test_near_duplicates_are_linked_by_anchors(spark, monkeypatch):
+    """Texts that share no sample are found by the links of their fingerprints, as ``near_groups`` finds them, and
+    an exact check decides: those with a fingerprint of much repeated words are linked, too, and stay."""
+    monkeypatch.setattr(simhash, "SAMPLE", 100_000)
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(2500)]
+        rows += [(10 * k + j, " ".join(w[: 1000 + j] + ["other"] * (j > 0) + w[1001 + j :])) for j in range(3)]
+    same = "round and round it goes "
+    rows += [(1000 + k, same * 400 + " ".join(f"v{k}x{i}" for i in range(40))) for k in range(4)]
+    fps = {i: simhash.fingerprint(simhash.shingle_hashes(t, 3)) for i, t in rows}
+    sets = {i: {" ".join(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t in rows}
+    close = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.BITS]
+    alike = [(a, b) for a, b in close if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    exact = {i: simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5))) for i, t in rows}
+    assert sum(exact[a] != exact[b] for a, b in alike) > 5 and len(close) > len(alike)
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, rows)).collect()}
+    found = {r.doc_id: r.keeper for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert all(groups[a] == groups[b] for a, b in close) and all(found[a] == found[b] for a, b in alike)
+    assert [found[1000 + k] for k in range(4)] == [1000, 1001, 1002, 1003]
+
+
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     """One bucket of families whose members resemble only some of their own, in many blocks."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
