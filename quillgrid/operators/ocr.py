@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TSV_COLUMNS = ["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"]
-LINE = ["src", "page_num", "block_num", "par_num", "line_num"]
+from ..functions.batches import map_whole
+from . import ocrbatches
+from .ocrbatches import LINE, TSV_COLUMNS
+
 #: Strips all Unicode white space and byte order marks at both ends.
 TRIM = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
 CONF_LEAST = 60
@@ -44,33 +46,29 @@ def tsv_lines(words: DataFrame) -> DataFrame:
     return words.select("src", "ord", F.concat_ws("\t", *map(_cell, TSV_COLUMNS)).alias("line"))
 
 
-def tsv_documents(words: DataFrame) -> DataFrame:
-    """(src, content): header and rows of each file."""
-    rows = F.array_sort(F.collect_list(F.struct("ord", "line")))
-    return tsv_lines(words).groupBy("src").agg(F.concat(F.lit("\t".join(TSV_COLUMNS) + "\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("content"))
+def _kind(rows: DataFrame, column: str) -> str:
+    return f"{column} {rows.schema[column].dataType.simpleString()}"
 
 
-def _whole(cell: str):
-    """Leading integer of a cell; null where there is none.  Most cells are
-    integers and need no pattern."""
-    return F.expr(rf"coalesce(try_cast({cell} AS INT), try_cast(regexp_extract({cell}, '^\\s*([+-]?[0-9]+)', 1) AS INT))")
+def tsv_documents(words: DataFrame) -> DataFrame:
+    """(src, content): header and rows of each file."""
+    rows = words.select("src", "ord", *TSV_COLUMNS).repartition("src").sortWithinPartitions("src", "ord")
+    return map_whole(rows, 1, ocrbatches.tsv, f"{_kind(words, 'src')}, content string")
 
 
 def parse_tsv(files: DataFrame) -> DataFrame:
     """Rows of (src, content) by position; the first line and lines of fewer
-    than 12 cells are dropped."""
-    lines = files.select("src", F.posexplode(F.split("content", "\n")).alias("ord", "line")).where("ord > 0")
-    cells = lines.select("src", F.col("ord").cast("long").alias("ord"), F.split("line", "\t").alias("c")).where("size(c) >= 12")
-    whole = [_whole(f"c[{i}]").alias(n) for i, n in enumerate(TSV_COLUMNS[:10])]
-    return cells.select("src", "ord", *whole, F.expr("try_cast(c[10] AS DOUBLE)").alias("conf"), trimmed(F.col("c")[11]).alias("text"))
+    than 12 cells are dropped.  A cell that begins with an integer is that one."""
+    whole = ", ".join(f"{c} int" for c in TSV_COLUMNS[:10])
+    return map_whole(files.select("src", "content"), 2, ocrbatches.parsed, f"{_kind(files, 'src')}, ord bigint, {whole}, conf double, text string")
 
 
 def parse_tsv_by_header(files: DataFrame) -> DataFrame:
     """(src, ord, row): each line as a map from the header's names."""
     body = files.select("src", F.split(trimmed(F.col("content")), "\n").alias("lines")).where("size(lines) >= 2")
     each = body.select("src", F.split(F.col("lines")[0], "\t").alias("names"), F.posexplode("lines").alias("ord", "line")).where("ord > 0")
-    cells = F.transform("names", lambda n, i: F.struct(n.alias("k"), F.get(F.split("line", "\t"), i).alias("v")))
-    return each.select("src", F.col("ord").cast("long").alias("ord"), F.map_from_entries(cells).alias("row"))
+    each = each.select("src", F.col("ord").cast("long").alias("ord"), "names", F.split("line", "\t").alias("cells"))
+    return each.select("src", "ord", F.expr("map_from_arrays(names, transform(names, (n, i) -> get(cells, i)))").alias("row"))
 
 
 def words_by_level(rows: DataFrame) -> DataFrame:
@@ -121,21 +119,9 @@ def word_gaps(words: DataFrame) -> DataFrame:
 def word_groups(words: DataFrame) -> DataFrame:
     """Runs of near words of a line as one: text in order, left and top of the
     first, right edge of the last, the largest height."""
-    w = f"(PARTITION BY {', '.join(LINE)} ORDER BY left, ord ROWS UNBOUNDED PRECEDING)"
-    islands = word_gaps(words).selectExpr("*", f"sum(brk) OVER {w} AS gid")
-    run = F.array_sort(F.collect_list(F.struct("left", "ord", "top", "width", "height", "text")))
-    g = islands.groupBy(*LINE, "gid").agg(run.alias("r"))
-    first, last = F.element_at("r", 1), F.element_at("r", -1)
-    return g.select(
-        *LINE,
-        "gid",
-        first["ord"].alias("ord"),
-        first["left"].alias("left"),
-        first["top"].alias("top"),
-        (last["left"] + last["width"] - first["left"]).alias("width"),
-        F.array_max(F.transform("r", lambda x: x["height"])).alias("height"),
-        F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"),
-    )
+    rows = words.select(*LINE, "left", "ord", "top", "width", "height", "text").repartition(*LINE).sortWithinPartitions(*LINE, "left", "ord")
+    out = ", ".join(_kind(words, c) for c in LINE) + f", gid bigint, {_kind(words, 'ord')}, left int, top int, width int, height int, text string"
+    return map_whole(rows, len(LINE), ocrbatches.word_groups, out)
 
 
 def long_or_numeric(groups: DataFrame) -> DataFrame:
@@ -145,10 +131,8 @@ def long_or_numeric(groups: DataFrame) -> DataFrame:
 
 def groups_as_json(groups: DataFrame) -> DataFrame:
     """(src, json): the groups of each file in the order of their lines."""
-    firsts = groups.withColumn("line_ord", F.expr("min(ord) OVER (PARTITION BY src, page_num, block_num, par_num, line_num)"))
-    rows = F.array_sort(F.collect_list(F.struct("line_ord", "gid", "left", "top", "width", "height", "text")))
-    cells = F.transform(rows, lambda r: F.struct(*(r[c].alias(c) for c in ("left", "top", "width", "height", "text"))))
-    return firsts.groupBy("src").agg(F.to_json(cells).alias("json"))
+    rows = groups.select(*LINE, "gid", "ord", *ocrbatches.BOX, "text").repartition("src").sortWithinPartitions(*LINE)
+    return map_whole(rows, 1, ocrbatches.groups_as_json, f"{_kind(groups, 'src')}, json string")
 
 
 def json_rows(files: DataFrame) -> DataFrame:

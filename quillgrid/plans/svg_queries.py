@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import geometry as g
-from ..operators import ocr
+from ..operators import ocr, ocrbatches
 from ..operators import svgtext as t
 from ..operators import svgtree as tree
 from . import views as v
@@ -80,7 +80,7 @@ def drawings(s, d):
 def word_tables(s, d):
     """(src, content): the OCR table of each document, with a row for its page."""
     page = F.concat(F.lit("$1" + "1\t1\t0\t0\t0\t0\t0\t0\t"), (1000 + F.col("src") % 700).cast("string"), F.lit("\t2000\t-1\t\n"))
-    return ocr.tsv_documents(v.words(s, d)).withColumn("content", F.regexp_replace("content", F.lit("^([^\n]*\n)"), page))
+    return v.over_documents(s, d, "content string", ocrbatches.tsv).withColumn("content", F.regexp_replace("content", F.lit("^([^\n]*\n)"), page))
 
 
 def converted(docs, tables):
