@@ -37,24 +37,45 @@ def _pattern(arg: Column, brackets: bool) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(hidden, r"\*", "[^/]*"), r"(?<!\()\?", "[^/]"), F.lit("$"))
 
 
+def compared_inputs(args: DataFrame, listing: DataFrame, brackets: bool = False) -> DataFrame:
+    """(ord, arg, pattern, path): the listed files (path) that each of the arguments
+    with wildcards (ord, arg) is compared with.
+
+    An argument meets files of its folder only, or, if the folder has wildcards, files
+    at its depth, and of these the ones that begin with its letters before the first
+    wildcard: an equi-join on both.  A path goes into it once for each length
+    of such beginnings, of which there are few.
+    """
+    marks = _marks(brackets)
+    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+    depth = lambda c: F.concat(F.lit("#"), F.size(F.split(c, "/")).cast("string"))
+    wild = args.where(F.col("arg").rlike(marks)).withColumn("begin", F.regexp_extract("arg", f"(?s)^(.*?){marks}", 1))
+    wild = wild.withColumn("at", F.when(folder(F.col("arg")).rlike(marks), depth(F.col("arg"))).otherwise(folder(F.col("arg"))))
+    lengths = wild.select(F.length("begin").alias("n")).distinct()
+    each = listing.join(F.broadcast(lengths), F.length("path") >= F.col("n")).withColumn("begin", F.expr("substr(path, 1, n)"))
+    each = each.withColumn("at", F.explode(F.array(folder(F.col("path")), depth(F.col("path"))))).select("at", "begin", "path")
+    return each.join(wild.withColumn("pattern", _pattern(F.col("arg"), brackets)), ["at", "begin"]).select("ord", "arg", "pattern", "path")
+
+
+def _marks(brackets: bool) -> str:
+    return r"[*?\[]" if brackets else "[*?]"
+
+
 def expanded_inputs(args: DataFrame, listing: DataFrame, brackets: bool = False, missing: bool = True, duplicates: bool = False) -> DataFrame:
     """(ord, path): the files that arguments (ord, arg) name, of those listed (path).
 
     Arguments with * or ? take the listed files that match, others themselves;
     without ``missing`` only if they are listed.  With ``brackets`` these are
     character classes.  Of a file that comes several times the first counts,
-    unless ``duplicates``.  Arguments meet files of their folder only, or, if the
-    folder has wildcards, files at their depth: an equi-join on either.
+    unless ``duplicates``.  Arguments that are said several times are compared once.
     """
-    marks = r"[*?\[]" if brackets else "[*?]"
-    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
-    depth = lambda c: F.concat(F.lit("#"), F.size(F.split(c, "/")).cast("string"))
-    wild = args.where(F.col("arg").rlike(marks)).withColumn("at", F.when(folder(F.col("arg")).rlike(marks), depth(F.col("arg"))).otherwise(folder(F.col("arg"))))
     files = listing.select("path").distinct()
-    met = files.withColumn("at", F.explode(F.array(folder(F.col("path")), depth(F.col("path"))))).join(wild.withColumn("pattern", _pattern(F.col("arg"), brackets)), "at")
-    found = met.where(F.rlike("path", "pattern")).select("ord", "path")
-    plain = args.where(~F.col("arg").rlike(marks)).select("ord", F.col("arg").alias("path"))
-    found = found.unionByName(plain if missing else plain.join(files, "path", "left_semi"))
+    first = args.groupBy("arg").agg(F.min("ord").alias("ord"))
+    found = compared_inputs(first, files, brackets).where(F.rlike("path", "pattern"))
+    if duplicates:
+        found = found.drop("ord").join(args.select("ord", "arg"), "arg")
+    plain = (args if duplicates else first).where(~F.col("arg").rlike(_marks(brackets))).select("ord", F.col("arg").alias("path"))
+    found = found.select("ord", "path").unionByName(plain if missing else plain.join(files, "path", "left_semi"))
     return found if duplicates else found.groupBy("path").agg(F.min("ord").alias("ord")).select("ord", "path")
 
 
