@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import dropped, written
 
 FILL = "#666666"
 FONT = "Arial, sans-serif"
@@ -59,7 +59,8 @@ def tree_transforms(nodes: DataFrame) -> DataFrame:
         above = now.select("page", F.col("node_id").alias("up"), F.col("up").alias("further"), *(F.col(c).alias(f"a{c}") for c in ("sx", "sy", "tx", "ty")))
         both = now.join(above, ["page", "up"], "left")
         outer = lambda c: F.coalesce(f"a{c}", F.lit(float(c[0] == "s")))
-        now = written(both.select("page", "node_id", F.col("further").alias("up"), *((outer(f"s{k}") * F.col(f"s{k}")).alias(f"s{k}") for k in "xy"), *((outer(f"t{k}") + F.col(f"t{k}") * outer(f"s{k}")).alias(f"t{k}") for k in "xy")), "tree")
+        before, now = now, written(both.select("page", "node_id", F.col("further").alias("up"), *((outer(f"s{k}") * F.col(f"s{k}")).alias(f"s{k}") for k in "xy"), *((outer(f"t{k}") + F.col(f"t{k}") * outer(f"s{k}")).alias(f"t{k}") for k in "xy")), "tree")
+        dropped(before)  # its round is over
     raise ValueError("elements whose parents run in a circle")
 
 

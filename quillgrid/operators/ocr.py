@@ -46,6 +46,10 @@ def tsv_lines(words: DataFrame) -> DataFrame:
     return words.select("src", "ord", F.concat_ws("\t", *map(_cell, TSV_COLUMNS)).alias("line"))
 
 
+#: Columns of a parsed table but for its file.
+PARSED = f"ord bigint, {', '.join(f'{c} int' for c in TSV_COLUMNS[:10])}, conf double, text string"
+
+
 def _kind(rows: DataFrame, column: str) -> str:
     return f"{column} {rows.schema[column].dataType.simpleString()}"
 
@@ -59,8 +63,13 @@ def tsv_documents(words: DataFrame) -> DataFrame:
 def parse_tsv(files: DataFrame) -> DataFrame:
     """Rows of (src, content) by position; the first line and lines of fewer
     than 12 cells are dropped.  A cell that begins with an integer is that one."""
-    whole = ", ".join(f"{c} int" for c in TSV_COLUMNS[:10])
-    return map_whole(files.select("src", "content"), 2, ocrbatches.parsed, f"{_kind(files, 'src')}, ord bigint, {whole}, conf double, text string")
+    return map_whole(files.select("src", "content"), 2, ocrbatches.parsed, f"{_kind(files, 'src')}, {PARSED}")
+
+
+def parse_tsv_to_scale(files: DataFrame) -> DataFrame:
+    """``parse_tsv`` of (src, content, view_box), a row for each file, ``scaled`` by
+    its ``scale_factors``, file by file."""
+    return map_whole(files.select("src", "content", "view_box"), 3, ocrbatches.parsed_to_scale, f"{_kind(files, 'src')}, {PARSED}")
 
 
 def parse_tsv_by_header(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import dropped, written
 from .svgtext import SVG
 
 TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Za-z](?:[^>\[]++|\[.*?\])*+>|</[^>]*+>|<[^\s<>!?/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
@@ -150,8 +150,12 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     out of a table takes all of its content; circles are an error.
     """
     now = nodes.select("doc_id", "node", F.col("parent").alias("up"), F.array(F.col("ord").cast("long")).alias("path"))
+    before = None
     for _ in range(ROUNDS):
         now = written(now, "paths")
+        if before is not None:  # its round is over
+            dropped(before)
+        before = now
         if now.where("up IS NOT NULL").isEmpty():
             return nodes.join(now.select("doc_id", "node", "path"), ["doc_id", "node"])
         above = now.select("doc_id", F.col("node").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import dropped, lasting, temporary
 from ..operators import geometry as g
 from ..operators import ocr, ocrbatches
 from ..operators import svgtext as t
@@ -78,19 +79,19 @@ def drawings(s, d):
 
 
 def word_tables(s, d):
-    """(src, content): the OCR table of each document, with a row for its page."""
+    """(src, content): the OCR table of each document that has a drawing, with a row for its page."""
+    drawn = v.table(s, d, "events").selectExpr(f"event_id div {PER} AS doc_id").distinct()
     page = F.concat(F.lit("$1" + "1\t1\t0\t0\t0\t0\t0\t0\t"), (1000 + F.col("src") % 700).cast("string"), F.lit("\t2000\t-1\t\n"))
-    return v.over_documents(s, d, "content string", ocrbatches.tsv).withColumn("content", F.regexp_replace("content", F.lit("^([^\n]*\n)"), page))
+    return v.over_documents(s, d, "content string", ocrbatches.tsv, only=drawn).withColumn("content", F.regexp_replace("content", F.lit("^([^\n]*\n)"), page))
 
 
 def converted(docs, tables):
     """(doc_id, document) of drawings (doc_id, svg, view_box) and OCR tables (src,
     content) of the same ids: paths that begin in a confident word go, three groups
     get their colours, and the word groups come in as a layer of text."""
-    nodes = g.written(tree.parsed(docs), "nodes")
-    rows = g.written(ocr.parse_tsv(tables.join(docs.select(F.col("doc_id").alias("src")).distinct(), "src", "left_semi")), "ocr-rows")
-    scales = ocr.scale_factors(rows, docs.select(F.col("doc_id").alias("src"), "view_box"))
-    scaled = g.written(ocr.scaled(rows.join(scales, "src"), F.col("scale")).drop("scale"), "scaled")
+    with temporary(docs.sparkSession):
+        nodes = lasting(g.written(tree.parsed(docs), "nodes"))
+    scaled = g.written(ocr.parse_tsv_to_scale(tables.join(docs.select(F.col("doc_id").alias("src"), "view_box"), "src")), "scaled")
     at = nodes.where("kind = 'element'").select(F.col("doc_id").alias("page"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), "tag", F.col("attrs")["transform"].alias("transform"), F.col("attrs")["d"].alias("d"))
     moves = g.tree_transforms(at.drop("d"))
     points = g.moved_points(at.where("tag = 'path'").join(moves, ["page", "node_id"]).select("page", F.col("node_id").alias("path_id"), F.col("node_id").alias("path_ord"), "d", F.struct("sx", "sy", "tx", "ty").alias("m")))
@@ -101,7 +102,9 @@ def converted(docs, tables):
     lines = ocr.long_or_numeric(ocr.word_groups(ocr.words_by_level(scaled)))
     lines = lines.withColumn("ord", F.struct(F.expr(f"min(ord) OVER (PARTITION BY {LINE})").alias("line_ord"), "gid"))
     layer = g.text_layer(lines).withColumnRenamed("src", "doc_id")
-    return tree.serialised(g.written(tree.with_text_layer(tree.with_attribute(tree.without(nodes, gone), fills, "fill"), layer), "edited"))
+    edited = g.written(tree.with_text_layer(tree.with_attribute(tree.without(nodes, gone), fills, "fill"), layer), "edited")
+    dropped(nodes, scaled)
+    return tree.serialised(edited)
 
 
 # each side is made from the given tables without a parser: matched paths by arithmetic on their numbers
