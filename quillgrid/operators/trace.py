@@ -1,7 +1,8 @@
 """From pixels to a layered vector document: quantise, isolate, despeckle, outline.
 
-Each colour of an image is a mask of its own, so all layers of all images go
-through components, outlines and polygons together, as one table of masks.
+Each colour of an image is a mask of its own.  An image whose masks fit into a task's
+memory is traced there as a whole; the masks of larger ones go through components,
+outlines and polygons together, as one table, whose rounds know no bound.
 """
 
 from __future__ import annotations
@@ -9,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import map_whole
 from ..functions.storage import written
-from . import contours, raster, resample
+from . import contours, raster, resample, tracebatches
 from .svgtext import SVG
 
+#: Cells of all masks of an image that one task traces, and its pixels' rows.
+CELLS = 1 << 22
+
 
 def colour_masks(pixels: DataFrame, palette: DataFrame, stack: bool = False) -> DataFrame:
     """(image_id: struct of image_id and cindex, y, x): where an image has a colour
@@ -33,6 +38,22 @@ def traced(pixels: DataFrame, colours: int, speckle: int = 2, tolerance: float =
     as the image has.
     """
     flat = written(resample.octree(pixels, colours) if colours else pixels.select("image_id", "y", "x", "r", "g", "b"), "flat")
+    span = lambda c: F.max(c).cast("long") - F.min(c) + 3
+    size = flat.groupBy("image_id").agg((span("y") * span("x")).alias("area"), F.count("*").alias("n"))
+    seen = flat.select("image_id", "r", "g", "b").distinct().groupBy("image_id").agg(F.count("*").alias("colours"))
+    large = written(size.join(seen, "image_id").where((F.col("area") * F.col("colours") > CELLS) | (F.col("n") > CELLS)).select("image_id"), "large-images")
+    if large.isEmpty():
+        return _as_a_whole(flat, speckle, tolerance, stack)
+    return _as_a_whole(flat.join(large, "image_id", "left_anti"), speckle, tolerance, stack).unionByName(_in_rounds(written(flat.join(large, "image_id", "left_semi"), "flat"), speckle, tolerance, stack))
+
+
+def _as_a_whole(flat: DataFrame, speckle: int, tolerance: float, stack: bool) -> DataFrame:
+    rows = flat.select("image_id", "y", "x", "r", "g", "b").repartition("image_id").sortWithinPartitions("image_id")
+    kind = flat.schema["image_id"].dataType.simpleString()
+    return map_whole(rows, 1, lambda part: tracebatches.documents(part, speckle, tolerance, stack), f"image_id {kind}, document string")
+
+
+def _in_rounds(flat: DataFrame, speckle: int, tolerance: float, stack: bool) -> DataFrame:
     palette = written(raster.palette(flat), "palette")
     masks = colour_masks(flat, palette, stack)
     if speckle:
